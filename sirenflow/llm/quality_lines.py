@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import GAP, ascii_lower, cut
+from sirenflow.llm.common import GAP, ascii_lower, saved
 
 SYMBOLS = "#*$%&|<>"  # fixed values
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -71,7 +71,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: s
     lines = host_lines(src)
     per_host = src.select("host", "tk").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     spread = lines.select("host", "line", "tk").distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    over = cut(spread.join(per_host, "host").where(F.col("docs") * 100 > F.col("host_docs") * max_percent).select("host", "line"))
+    over = saved(spread.join(per_host, "host").where(F.col("docs") * 100 > F.col("host_docs") * max_percent).select("host", "line"))
     hits = lines.join(over, ["host", "line"]).groupBy("id", "tk", "host").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
     lost = hits.select("id", "tk", "host", F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("lost"))
     counts = F.pandas_udf(_counts, _BASE)

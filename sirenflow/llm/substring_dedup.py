@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import cut, text_key
+from sirenflow.llm.common import saved, text_key
 
 #: Shorter units are left alone: a short line or sentence repeats by chance.
 MIN_WORDS = 8
@@ -91,7 +91,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(text_key(text)).alias("tk"), F.col(text).alias("text"))
     occ = _unit_rows(src, min_words)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "tk", "start")
-    first = cut(occ.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("unit", "first"))
+    first = saved(occ.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("unit", "first"))
     again = occ.join(first, "unit").where(rank != F.col("first"))
     gone = again.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
