@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import cut, shared_dir
+from sirenflow.llm.common import cut, saved, shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -42,7 +42,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", ht
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
-    groups = cut(p.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1").select("digest", "top"))
+    groups = saved(p.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1").select("digest", "top"))
     p = p.join(groups, "digest", "left")
     again = F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))
     return p.select("id", "url", "html", "digest", "size", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("top")).alias("refers_to"))
@@ -127,7 +127,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     out = "file string, block long, seq long, head string, offset long, owner long, reached boolean, sha string, whole boolean"
     seen = cut(slim.groupBy("file").applyInPandas(_verify, out))
     records = seen.where("reached")
-    parts = records.where("not whole").select("file", F.col("offset").alias("owner")).join(seen.select("file", "owner", "block", "seq"), ["file", "owner"])
+    parts = saved(records.where("not whole").select("file", F.col("offset").alias("owner")).join(seen.select("file", "owner", "block", "seq"), ["file", "owner"]))
     glued = parts.join(found.select("file", "block", "seq", "data"), ["file", "block", "seq"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "data"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["data"].cast("string")), MAGIC)
     glued = glued.select("file", F.col("owner").alias("offset"), joined.alias("text"))
