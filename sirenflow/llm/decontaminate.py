@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import cut, text_key
+from sirenflow.llm.common import cut, saved, text_key
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -86,6 +86,6 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item (see ``contained``). Null texts and ids stay; all columns stay."""
-    bad = cut(contained(docs, items, id_col, text, **how).select("id", "tk").distinct())
+    bad = saved(contained(docs, items, id_col, text, **how).select("id", "tk").distinct())
     named = docs.withColumns({"__id": F.col(id_col), "__tk": text_key(text)})
     return named.join(bad, named["__id"].eqNullSafe(bad.id) & named["__tk"].eqNullSafe(bad.tk), "left_anti").drop("__id", "__tk")
