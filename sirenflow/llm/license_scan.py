@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import cut
+from sirenflow.llm.common import cut, saved
 
 #: Short public notices, fixed values: (licence, notice). A licence may have several.
 TEMPLATES = (
@@ -64,18 +64,19 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
         vectors += [(t, k, name, c * idf[t] / norm) for t, c in tf.items()]
     terms = F.broadcast(spark.createDataFrame(vectors, "term string, template int, own_license string, weight double"))  # fixed and small
     # a line without two terms of one notice cannot reach the cosine, nor can one with fewer than two of all
-    line = src.select("path", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("tokens", _tokens(F.col("line")))
+    # what a line matches depends on its text alone, so copies of a text share their rows
+    line = src.select("th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("tokens", _tokens(F.col("line")))
     line = line.where(F.size(F.array_intersect("tokens", words)) >= 2).withColumn("words", F.size("tokens"))
-    tf = line.select("path", "th", "pos", "words", F.explode("tokens").alias("term")).groupBy("path", "th", "pos", "words", "term").agg(F.count("*").alias("tf"))
+    tf = line.select("th", "pos", "words", F.explode("tokens").alias("term")).groupBy("th", "pos", "words", "term").agg(F.count("*").alias("tf"))
     weigh = F.coalesce(F.try_element_at(F.create_map(*[x for t in vocab for x in (F.lit(t), F.lit(idf[t]))]), F.col("term")), F.lit(other))
     tf = tf.withColumn("w", F.col("tf") * weigh)
-    norms = tf.groupBy("path", "th", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(terms, "term").groupBy("path", "th", "pos", "words", "template", "own_license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    hit = dots.join(norms, ["path", "th", "pos"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= cosine)
-    per_line = hit.groupBy("path", "th", "pos", "words").agg(F.max(F.struct("score", "own_license")).alias("best"))
-    own = cut(per_line.groupBy("path", "th").agg(F.max("best").alias("best"), F.sum("words").alias("license_words")))
+    norms = tf.groupBy("th", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = tf.join(terms, "term").groupBy("th", "pos", "words", "template", "own_license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    hit = dots.join(norms, ["th", "pos"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= cosine)
+    per_line = hit.groupBy("th", "pos", "words").agg(F.max(F.struct("score", "own_license")).alias("best"))
+    own = saved(per_line.groupBy("th").agg(F.max("best").alias("best"), F.sum("words").alias("license_words")))
     all_words = F.coalesce(F.size(_tokens(F.col("text"))), F.lit(0))
-    rows = src.select("path", "th", all_words.alias("n")).join(own.withColumnsRenamed({"path": "p2", "th": "t2"}), F.col("path").eqNullSafe(F.col("p2")) & (F.col("th") == F.col("t2")), "left")
+    rows = src.select("path", "th", all_words.alias("n")).join(own, "th", "left")
     rows = cut(rows.select("path", F.col("best.own_license").alias("own_license"), F.round("best.score", 6).alias("score"), (F.coalesce(F.col("license_words") * 2 >= F.col("n"), F.lit(False))).alias("is_license_file")))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     cover = rows.where("is_license_file and path is not null").groupBy(folder.alias("dir")).agg(F.min(F.struct("path", "own_license")).alias("by"))

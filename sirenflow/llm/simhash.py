@@ -29,7 +29,7 @@ from sirenflow.llm.components import components
 
 MAX_BITS = 3
 EVEN = 0x5555555555555555
-PAIR = "a long, b long"
+LINK = "s int, a long, b long"
 
 
 def _signed(x: int) -> int:
@@ -135,33 +135,33 @@ def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def _cell_links(cells: DataFrame, max_bits: int) -> DataFrame:
-    """Links inside cells given as (fps array<long>); one forest a cell."""
+    """Links inside cells given as (s, fps array<long>); one forest a cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [p for fps in pdf["fps"] for p in _forest(np.asarray(fps, np.int64), max_bits)]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            out = [(s, *p) for s, fps in zip(pdf["s"], pdf["fps"], strict=True) for p in _forest(np.asarray(fps, np.int64), max_bits)]
+            yield pd.DataFrame(out, columns=["s", "a", "b"], dtype="int64").astype({"s": "int32"})
 
-    return cells.mapInPandas(run, PAIR)
+    return cells.mapInPandas(run, LINK)
 
 
 def _grid(fps: DataFrame, masks: list[int], value) -> DataFrame:
-    """(cell, part, fp): the part of each fingerprint's vector that each mask keeps."""
+    """(s, cell, part, fp): the part of each fingerprint's vector that each mask keeps."""
     parts = F.array(*[value.bitwiseAND(F.lit(m)) for m in masks])
-    return fps.select("fp", F.posexplode(parts).alias("cell", "part"))
+    return fps.select("s", "fp", F.posexplode(parts).alias("cell", "part"))
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, cell_limit: int = 256) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (column fp, long), enough to span every component exactly."""
+    """Links (s, a, b) of distinct fingerprints (s int, fp long), within each s; enough to span every component exactly."""
     if max_bits != 3:
         raise ValueError("the grid is laid out for 3 bits")
+    cell = ["s", "cell", "part"]
     cells = _grid(fps, _masks(6, 3, 2), embed(F.col("fp")))
-    sizes = cells.groupBy("cell", "part").count().where("count > 1")
-    sizes = cut(sizes)
-    small = cells.join(sizes.where(F.col("count") <= cell_limit), ["cell", "part"]).groupBy("cell", "part").agg(F.collect_set("fp").alias("fps")).select("fps")
-    dense = cut(cells.join(sizes.where(F.col("count") > cell_limit), ["cell", "part"], "left_semi").select("fp").distinct())
-    exact = _grid(dense, _masks(16, 3, 4), F.col("fp")).groupBy("cell", "part").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    return _cell_links(small, max_bits).union(_cell_links(exact, max_bits)).distinct()
+    sizes = cut(cells.groupBy(*cell).count().where("count > 1"))
+    small = cells.join(sizes.where(F.col("count") <= cell_limit), cell).groupBy(*cell).agg(F.collect_set("fp").alias("fps")).select("s", "fps")
+    dense = cut(cells.join(sizes.where(F.col("count") > cell_limit), cell, "left_semi").select("s", "fp").distinct())
+    exact = _grid(dense, _masks(16, 3, 4), F.col("fp")).groupBy(*cell).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("s", "fps")
+    return _cell_links(small.union(exact), max_bits).distinct()
 
 
 def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
@@ -174,7 +174,7 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     fps = cut(with_fingerprints(src, ["id"], k=k, seeds=(seed,)).withColumnRenamed("fp0", "fp"))
     by_fp = cut(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    found = components(fingerprint_links(by_fp.select("fp")))
+    found = components(fingerprint_links(by_fp.select(F.lit(0).alias("s"), "fp")))
     linked = by_fp.join(found, by_fp.fp == found.node).select("fp", "root", "low")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
     moved = cut(linked.join(lowest, "root").select("fp", "component"))
@@ -208,16 +208,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     rows = rows.withColumn("node", F.coalesce(F.xxhash64("tk"), F.lit(0)))
     fp_cols = [f"fp{i}" for i in range(len(seeds))]
     fps = cut(with_fingerprints(rows, ["node"], seeds=seeds, distinct_words=True).distinct())
-    pairs = None
-    for col in fp_cols:
-        own = fps.select(F.col(col).alias("fp"), "node")
-        by_fp = cut(own.groupBy("fp").agg(F.min("node").alias("rep")))
-        links = fingerprint_links(by_fp.select("fp"))
-        far = links.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        near = own.join(by_fp, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        both = far.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = both if pairs is None else pairs.union(both)
-    pairs = cut(pairs.distinct())
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).alias("fp")) for i, c in enumerate(fp_cols)]))
+    own = fps.select("node", each.alias("x")).select("node", "x.s", "x.fp")
+    by_fp = cut(own.groupBy("s", "fp").agg(F.min("node").alias("rep")))
+    links = fingerprint_links(by_fp.select("s", "fp"))
+    rep_of = lambda c, r: by_fp.select("s", F.col("fp").alias(c), F.col("rep").alias(r))
+    far = links.join(rep_of("a", "ra"), ["s", "a"]).join(rep_of("b", "rb"), ["s", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    near = own.join(by_fp, ["s", "fp"]).where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = cut(far.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = cut(_shingle_sets(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), k))
     tested = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")

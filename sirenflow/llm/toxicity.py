@@ -2,8 +2,8 @@
 
 Numpy classifiers are trained from confirmed toxic examples and unlabelled text. With class prior pi, the risk is
 ``pi R_p+ + max(0, R_u- - pi R_p-)``; where the second part turns negative its gradient is reversed, which keeps
-a flexible model from fitting the unlabelled positives as negatives. Several classifiers are trained on
-disjoint bags of the sample, one task each, and their scores are averaged.
+a flexible model from fitting the unlabelled positives as negatives. Several classifiers are trained,
+one task each, on the toxic examples and disjoint bags of unlabelled text, and their scores are averaged.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ BAGS = 3
 FEATURES = 1 << 20
 #: Features a classifier looks at: those whose rates in toxic and in unlabelled text differ most.
 TOP = 1_000
+#: Standard errors by which a feature's rates must differ; keeps a small sample's chance features out.
+MIN_Z = 4.0
 THRESHOLD = 0.7
 _PUNCT = string.punctuation
 _CACHE_WORDS = 200_000
@@ -88,7 +90,8 @@ def train_nnpu(pos: tuple[list, list], unl: tuple[list, list], prior: float, ste
     cu = np.where(u_ids[at] == seen, u_n[at], 0) if len(u_ids) else np.zeros(len(seen))
     rp, ru = cp / n_p, cu / n_u
     gain = (rp - ru) / np.sqrt((cp + cu + 1.0) / (n_p + n_u) * (1 / n_p + 1 / n_u))
-    chosen = np.sort(seen[np.argsort(-np.abs(gain), kind="stable")[:top]])
+    order = np.argsort(-np.abs(gain), kind="stable")[:top]
+    chosen = np.sort(seen[order[np.abs(gain[order]) >= MIN_Z]])
     p, u = Rows(*pos, chosen), Rows(*unl, chosen)
     size = len(chosen)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
@@ -139,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     unl = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold("id") != 1)).distinct().orderBy(order, "id").limit(max_unlabelled).select("id", F.lit(False).alias("toxic"))
     wanted = F.broadcast(cut(pos.union(unl)))  # at most max_positive + max_unlabelled ids
     sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id")
-    sample = sample.withColumn("bag", F.pmod(F.xxhash64("id"), F.lit(bags)))
+    own = F.array(F.pmod(F.xxhash64("id"), F.lit(bags)).cast("int"))
+    sample = sample.withColumn("bag", F.explode(F.when(F.col("toxic"), F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(own)))
     got = sample.groupBy("bag").applyInPandas(_bag(prior, steps), "bag int, ids array<int>, w array<double>, b double").orderBy("bag").collect()  # one row a bag
     return [(np.array(r["ids"], np.int32), np.array(r["w"]), r["b"]) for r in got] or [(np.empty(0, np.int32), np.empty(0), float(np.log(prior / (1 - prior))))]
 
