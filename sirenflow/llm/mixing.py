@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import WORD, cut
+from sirenflow.llm.common import WORD, cut, saved
 
 MAX_EPOCHS = 3
 ROWS_PER_RANGE = 20_000
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     d = cut(docs.select(F.col(id_col).alias("id"), src.alias("src"), words_in(text).alias("size"), key.alias("key")))
     sizes = d.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     plan = source_targets(sizes.withColumn("source", F.when(~F.col("src.none"), F.col("src.name"))), weights, max_epochs)
-    plan = plan.select("src", F.ceil(F.col("n") / rows_per_range).alias("ranges"), "source_size", "target")
+    plan = saved(plan.select("src", F.ceil(F.col("n") / rows_per_range).alias("ranges"), "source_size", "target"))
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     d = d.join(plan, "src").withColumn("range", F.floor(head * F.col("ranges") / F.lit(1 << 32)).cast("long"))
     totals = d.groupBy("src", "range").agg(F.sum("size").alias("total"))
