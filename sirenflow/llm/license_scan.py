@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import cut, saved
+from sirenflow.llm.common import saved
 
 #: Short public notices, fixed values: (licence, notice). A licence may have several.
 TEMPLATES = (
@@ -25,16 +28,55 @@ TEMPLATES = (
     ("proprietary", "All rights reserved"),
 )
 COSINE = 0.8
-_TERM = "[^a-z0-9.+-]+"
+_TERM = re.compile(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9])?")
 
 
 def _terms(text: str) -> list[str]:
-    return [w for w in (x.strip(".+-") for x in re.split(_TERM, text.lower())) if w]
+    return _TERM.findall(text.lower())
 
 
-def _tokens(c):
-    clean = F.regexp_replace(F.lower(c), r"(?<![a-z0-9])[.+-]+|[.+-]+(?![a-z0-9])", " ")
-    return F.array_remove(F.split(clean, _TERM), "")
+def _text_counts(vocab: frozenset[str]):
+    """Per batch of texts: how many hold each term of the notices."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: Counter[str] = Counter()
+            for text in pdf["text"]:
+                seen.update(set().union(*(vocab.intersection(_terms(x)) for x in (text or "").split("\n"))))
+            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}, columns=["term", "n"]).astype({"term": "object", "n": "int64"})
+
+    return run
+
+
+def _text_licenses(vectors: list[tuple[str, dict[str, float]]], idf: dict[str, float], other: float, cosine: float):
+    """Per text: the best licence of its lines, its score, and whether matching lines hold half of the words."""
+    vocab = frozenset(idf)
+
+    def best_of(tf: Counter) -> tuple[float, str]:
+        norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in tf.items()))
+        return max((sum(n * idf[t] * v.get(t, 0.0) for t, n in tf.items() if t in idf) / norm, name) for name, v in vectors)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, score, is_file = [], [], []
+            for text in pdf.pop("text"):
+                words, matching, best = 0, 0, (cosine, "")
+                for line in (text or "").split("\n"):
+                    terms = _terms(line)
+                    words += len(terms)
+                    # a line without two terms of one notice cannot reach the cosine, nor can one with fewer than two of all
+                    if len(vocab.intersection(terms)) < 2:
+                        continue
+                    got = best_of(Counter(terms))
+                    if got[0] >= cosine:
+                        matching += len(terms)
+                        best = max(best, got)
+                own.append(best[1] or None)
+                score.append(round(best[0], 6) if best[1] else None)
+                is_file.append(bool(best[1]) and 2 * matching >= words)
+            yield pdf.assign(own_license=pd.Series(own, dtype=object, index=pdf.index), score=pd.Series(score, dtype=float, index=pdf.index), is_license_file=pd.Series(is_file, dtype=bool, index=pdf.index))
+
+    return run
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
@@ -48,36 +90,19 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     Null text has no licence; a null path has no directory; repeated rows give repeated results; empty
     tables give empty results. Extra columns are not read.
     """
-    spark = files.sparkSession
-    vocab = sorted({t for _, n in templates for t in _terms(n)})  # fixed and small
-    words = F.array(*[F.lit(v) for v in vocab])
-    src = files.select(F.col(path).alias("path"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    vocab = frozenset(t for _, n in templates for t in _terms(n))  # fixed and small
+    src = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
     n = src.count()
-    df = src.select(F.explode(F.array_intersect(_tokens(F.col("text")), words)).alias("term")).groupBy("term").count()
-    counts = {r["term"]: r["count"] for r in df.collect()}  # at most one row a term of the notices
-    idf = {t: float(_idf(n, counts.get(t, 0))) for t in vocab}
-    other = float(_idf(n, 1))
+    df = src.select("text").mapInPandas(_text_counts(vocab), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = {r["term"]: r["n"] for r in df.collect()}  # at most one row a term of the notices
+    idf = {t: _idf(n, counts.get(t, 0)) for t in vocab}
     vectors = []
-    for k, (name, notice) in enumerate(templates):
+    for name, notice in templates:
         tf = Counter(_terms(notice))
-        norm = sum((c * idf[t]) ** 2 for t, c in tf.items()) ** 0.5
-        vectors += [(t, k, name, c * idf[t] / norm) for t, c in tf.items()]
-    terms = F.broadcast(spark.createDataFrame(vectors, "term string, template int, own_license string, weight double"))  # fixed and small
-    # a line without two terms of one notice cannot reach the cosine, nor can one with fewer than two of all
-    # what a line matches depends on its text alone, so copies of a text share their rows
-    line = src.select("th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("tokens", _tokens(F.col("line")))
-    line = line.where(F.size(F.array_intersect("tokens", words)) >= 2).withColumn("words", F.size("tokens"))
-    tf = line.select("th", "pos", "words", F.explode("tokens").alias("term")).groupBy("th", "pos", "words", "term").agg(F.count("*").alias("tf"))
-    weigh = F.coalesce(F.try_element_at(F.create_map(*[x for t in vocab for x in (F.lit(t), F.lit(idf[t]))]), F.col("term")), F.lit(other))
-    tf = tf.withColumn("w", F.col("tf") * weigh)
-    norms = tf.groupBy("th", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(terms, "term").groupBy("th", "pos", "words", "template", "own_license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    hit = dots.join(norms, ["th", "pos"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= cosine)
-    per_line = hit.groupBy("th", "pos", "words").agg(F.max(F.struct("score", "own_license")).alias("best"))
-    own = saved(per_line.groupBy("th").agg(F.max("best").alias("best"), F.sum("words").alias("license_words")))
-    all_words = F.coalesce(F.size(_tokens(F.col("text"))), F.lit(0))
-    rows = src.select("path", "th", all_words.alias("n")).join(own, "th", "left")
-    rows = cut(rows.select("path", F.col("best.own_license").alias("own_license"), F.round("best.score", 6).alias("score"), (F.coalesce(F.col("license_words") * 2 >= F.col("n"), F.lit(False))).alias("is_license_file")))
+        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
+        vectors.append((name, {t: c * idf[t] / norm for t, c in tf.items()}))
+    schema = src.select("path").schema.add("own_license", "string").add("score", "double").add("is_license_file", "boolean")
+    rows = saved(src.mapInPandas(_text_licenses(vectors, idf, _idf(n, 1), cosine), schema).withColumn("score", F.nanvl("score", F.lit(None).cast("double"))))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     cover = rows.where("is_license_file and path is not null").groupBy(folder.alias("dir")).agg(F.min(F.struct("path", "own_license")).alias("by"))
     # every ancestor directory of every directory that needs one, the root ("") included
@@ -85,12 +110,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     parts = F.split("of", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("dir")))
     near = need.select("of", F.explode(up).alias("a")).select("of", "a.*").join(cover, "dir").groupBy("of").agg(F.max(F.struct("depth", F.col("by.path").alias("path"), F.col("by.own_license").alias("license"))).alias("near"))
-    out = rows.withColumn("of", folder).join(near, "of", "left")
+    out = rows.withColumn("of", folder).join(saved(near), "of", "left")
     gets = F.col("own_license").isNull()
     return out.select("path", "own_license", "score", "is_license_file", F.coalesce("own_license", F.col("near.license")).alias("license"), F.when(gets, F.col("near.path")).alias("inherited_from"))
 
 
 def _idf(n: int, df: int) -> float:
-    from math import log
-
-    return log((n + 1) / (df + 1)) + 1
+    return math.log((n + 1) / (df + 1)) + 1
