@@ -47,7 +47,7 @@ def hydrants_per_hall(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_sql("dispatches", "hydrants")
-    + f""", t AS (SELECT dispatch_id, lat, lng FROM dispatches WHERE id % 10 = id % 10), n AS (
+    + f""", t AS (SELECT dispatch_id, lat, lng FROM dispatches), n AS (
   SELECT dispatch_id, object_id, flow_class, {_HAV.format(a="t.lat", b="h.lat", c="t.lng", d="h.lng")} AS m FROM t JOIN hydrants h
   ON abs(t.lat - h.lat) < 0.0075 AND abs(t.lng - h.lng) < 0.0115 WHERE upper(coalesce(status, '')) NOT IN ('ABANDONED', 'OUT_OF_SERVICE', 'INACTIVE')
 ), c AS (SELECT dispatch_id, arg_min(object_id, (m, object_id)) AS city_id, min(m) AS city_m FROM n WHERE flow_class IS NOT NULL AND m <= 800 GROUP BY 1),

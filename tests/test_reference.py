@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sirenflow.functions import fuzzy, geo, text
-from sirenflow.operators import dispatch, geocode, spatial, upsert
+from sirenflow.operators import dispatch, geocode, reports, spatial, upsert
 from sirenflow.sources import readers
 from sirenflow.streaming import changes as ch
 
@@ -133,3 +133,27 @@ def test_tiles_and_geometry(spark):
     assert one(spark, geo.tms_row(F.lit(0), F.lit(3))) == 7
     g = spark.sql("select array(named_struct('lat', 1D, 'lng', 2D), named_struct('lat', cast(null as double), 'lng', 2D)) as p").select(geo.geometry(F.col("p")).alias("g")).first().g
     assert (g.type, g.coordinates) == ("Point", [[2.0, 1.0]])
+
+
+def test_reports(spark):
+    same = lambda a, b: one(spark, reports.address_match(F.col("a"), F.col("b")), a=a, b=b)
+    assert same("3030 Gordon Avenue", "3030 GORDON AVE, Coquitlam") and same("Main St and Oak Road", "oak rd & main street")
+    assert not same("", "x") and not same("3030 Gordon Ave", "3031 Gordon Ave")
+    assert one(spark, reports.channel_name(F.col("a")), a="Coquitlam Talk Group 5") == "5" and one(spark, reports.channel_name(F.col("a")), a="Coquitlam") == "Coquitlam"
+    clips = spark.createDataFrame([("Engine", [1002.0, 1002.5, 997.5]), ("Ladder", [1001.0, None]), (None, [7.0])], "category string, freqs array<double>")
+    got = {(r.category, r.bucket): r.n for r in reports.frequency_histogram(clips).collect()}
+    assert got == {("Engine", 1000): 3, ("Ladder", 1000): 1, (None, 5): 1, ("All", 1000): 4, ("All", 5): 1}
+    roads = spark.createDataFrame([(" ave",), ("Mews",), (None,), ("",)], "roadtype string")
+    vocabulary = spark.createDataFrame([("street_suffix", "AVE", True)], "category string, term string, is_active boolean")
+    with pytest.raises(ValueError, match="MEWS"):
+        reports.require_suffixes(roads, vocabulary)
+    reports.require_suffixes(roads.limit(1), vocabulary)
+
+
+def test_reports_on_empty_tables(spark):
+    pair = spark.createDataFrame([], "ref_address string, hyp_address string, ref_units array<string>, hyp_units array<string>, ref_incident string, hyp_incident string, ref_grid string, hyp_grid string, ref_channel string, hyp_channel string, ref_text string, hyp_text string")
+    assert reports.match_rates(pair).first().overall is None
+    zones = spark.createDataFrame([("1", "Q5")], "zone_id string, unit_id string")
+    rows = spark.createDataFrame([("a", "1", None), ("b", None, None)], "closure_id string, zone_id string, start_time timestamp")
+    assert [(r.closure_id, r.hall) for r in reports.closures_by_hall(rows, zones, "3").collect()] == [("a", "3"), ("b", "OTHER")]
+    assert reports.closures_by_hall(rows.limit(0), zones).count() == 0
