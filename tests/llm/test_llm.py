@@ -273,3 +273,19 @@ def test_license_scan_and_inheritance(spark):
     assert got[("a/b/c/y", "Apache-2.0")].license == "Apache-2.0" and got[("z/q", None)].license is None and got[("a/b/c/n", None)].license == "MIT"
     assert got[(None, "proprietary")].inherited_from is None
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_license_scores_against_brute_force(spark):
+    notices = (("A", "alpha beta gamma"), ("A", "alpha beta beta delta"), ("B", "alpha 2.0 beta"))
+    rows = [(str(k), "\n".join(" ".join(rng.choices(["Alpha", "beta", "gamma,", "delta", "(2.0)", "other"], k=rng.randint(0, 5))) for _ in range(3))) for k in range(40)]
+    term = lambda t: [w for w in (x.strip(".+-") for x in re.split("[^a-z0-9.+-]+", t.lower())) if w]
+    df = {t: sum(t in term(x) for _, x in rows) for _, n in notices for t in term(n)}
+    idf = lambda t: np.log((len(rows) + 1) / (df.get(t, 1) + 1)) + 1
+    vec = lambda w: {t: w.count(t) * idf(t) for t in set(w)}
+    cos = lambda a, b: sum(x * b.get(t, 0) for t, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string"), templates=notices).collect()}
+    for p, text in rows:
+        lines = [vec(term(x)) for x in text.split("\n") if len(set(term(x)) & set(df)) >= 2]
+        best = max((cos(v, vec(term(n))) for v in lines for _, n in notices), default=0)
+        if abs(best - 0.8) > 1e-9:
+            assert (got[p].score is not None) == (best > 0.8) and (best < 0.8 or abs(got[p].score - best) < 1e-5)
