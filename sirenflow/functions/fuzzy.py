@@ -101,6 +101,22 @@ def char_error_rate(ref, hyp):
     return F.when(empty, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
 
 
+def best_of(terms, floor: int):
+    """Arrow function: the term of the best token-set score at or above ``floor``, ties by place; each distinct text of a batch is scored once."""
+    terms = list(terms)
+
+    def best(t: str) -> str | None:
+        score, place = max(((token_set(t, x), -i) for i, x in enumerate(terms)), default=(0, 0))
+        return terms[-place] if terms and score >= floor else None
+
+    @F.pandas_udf("string")
+    def pick(text: pd.Series) -> pd.Series:
+        known = {t: best(t) for t in text.dropna().unique()}
+        return text.map(lambda t: known.get(t))
+
+    return pick
+
+
 def register(spark) -> None:
     """SQL names of the helpers."""
     for name, fn, kind in (("fuzzy_ratio", indel, "int"), ("token_set_ratio", token_set, "int"), ("word_error_rate", wer, "double")):
