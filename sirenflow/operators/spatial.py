@@ -88,7 +88,7 @@ def line_crossings(segments: DataFrame, size: float = 0.01) -> DataFrame:
     ax, ay, bx, by = (F.col("a.x2") - F.col("a.x1")), (F.col("a.y2") - F.col("a.y1")), (F.col("b.x2") - F.col("b.x1")), (F.col("b.y2") - F.col("b.y1"))
     det = ax * by - ay * bx
     ox, oy = F.col("b.x1") - F.col("a.x1"), F.col("b.y1") - F.col("a.y1")
-    m = m.where(F.abs(det) > 1e-18).select(F.col("a.canon").alias("canon_a"), F.col("b.canon").alias("canon_b"), F.col("a.x1").alias("x0"), F.col("a.y1").alias("y0"), ax.alias("ax"), ay.alias("ay"), ((ox * by - oy * bx) / det).alias("t"), ((ox * ay - oy * ax) / det).alias("u"))
+    m = m.where(F.abs(det) > 1e-18).select(F.col("a.canon").alias("canon_a"), F.col("b.canon").alias("canon_b"), F.col("a.x1").alias("x0"), F.col("a.y1").alias("y0"), ax.alias("ax"), ay.alias("ay"), F.try_divide(ox * by - oy * bx, det).alias("t"), F.try_divide(ox * ay - oy * ax, det).alias("u"))
     hit = m.where(F.col("t").between(-1e-9, 1 + 1e-9) & F.col("u").between(-1e-9, 1 + 1e-9))
     return hit.select("canon_a", "canon_b", F.round(F.col("x0") + F.col("t") * F.col("ax"), 6).alias("x"), F.round(F.col("y0") + F.col("t") * F.col("ay"), 6).alias("y")).distinct()
 

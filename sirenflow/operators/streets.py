@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sirenflow.functions import geo
 from sirenflow.operators.spatial import NEAR_CELL, ZONE_CELL, with_zone, zone_cells
 
-REACH = (0.002, 0.01, 0.05, 0.25)  # degrees; each next one is searched only for points that found nothing
+REACH = (0.005, 0.03, 0.25)  # degrees; each next one is searched only for points that found nothing
 JUNCTION_M = 25.0
 TOUCH_M = 2.0
 NEAR_HYDRANT_M, ON_ROUTE_M, HYDRANTS = 300.0, 25.0, 3
@@ -26,7 +26,7 @@ def _place_on(x: Column, y: Column) -> Column:
     k = F.cos(F.radians(y))
     dx, dy = (F.col("x2") - F.col("x1")) * k, F.col("y2") - F.col("y1")
     n = dx * dx + dy * dy
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("x1")) * k * dx + (y - F.col("y1")) * dy) / n))).otherwise(0.0)
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((x - F.col("x1")) * k * dx + (y - F.col("y1")) * dy, n)))).otherwise(0.0)
 
 
 def _in_cells(s: DataFrame, size: float) -> DataFrame:
@@ -57,6 +57,8 @@ def nearest_road(points: DataFrame, key: str, segments: DataFrame, reach: tuple[
         got = _closest(met.where(geo.edge_distance_m(F.col("px"), F.col("py"), _edge(*SEGMENT)) <= F.col("limit")))
         out = got if out is None else out.unionByName(got)
         p = p.join(got.select("__k"), "__k", "left_anti")
+        if points.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            p = p.checkpoint()  # the next round would search this one's cells again
     return out.withColumnRenamed("__k", key)
 
 
@@ -108,7 +110,7 @@ def _crossing(e: Column) -> Column:
     """Fraction of the segment x1..y2 where it crosses the edge; null if it does not."""
     ax, ay, bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), e["x2"] - e["x1"], e["y2"] - e["y1"]
     det, ox, oy = ax * by - ay * bx, e["x1"] - F.col("x1"), e["y1"] - F.col("y1")
-    t, u = (ox * by - oy * bx) / det, (ox * ay - oy * ax) / det
+    t, u = F.try_divide(ox * by - oy * bx, det), F.try_divide(ox * ay - oy * ax, det)
     return F.when((F.abs(det) > 1e-18) & t.between(0, 1) & u.between(-1e-9, 1 + 1e-9), t)
 
 
