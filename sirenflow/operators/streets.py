@@ -30,8 +30,13 @@ def _place_on(x: Column, y: Column) -> Column:
 
 
 def _in_cells(s: DataFrame, size: float) -> DataFrame:
+    """Segments once in every cell they pass: cells of their box whose centre is within half a diagonal of them."""
     span = lambda k: F.explode(F.sequence(geo.cell(F.least(f"{k}1", f"{k}2"), size), geo.cell(F.greatest(f"{k}1", f"{k}2"), size)))
-    return s.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    boxed = s.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    ax, ay = (F.col("cx") + 0.5) * size - F.col("x1"), (F.col("cy") + 0.5) * size - F.col("y1")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(ax * dx + ay * dy, dx * dx + dy * dy), F.lit(0.0))))
+    return boxed.where(F.pow(ax - t * dx, 2) + F.pow(ay - t * dy, 2) <= 0.5001 * size * size)
 
 
 def _closest(met: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def nearest_road(points: DataFrame, key: str, segments: DataFrame, reach: tuple[
         met = near.join(_in_cells(s, size), ["cx", "cy"])
         got = _closest(met.where(geo.edge_distance_m(F.col("px"), F.col("py"), _edge(*SEGMENT)) <= F.col("limit")))
         out = got if out is None else out.unionByName(got)
-        p = p.join(got.select("__k"), "__k", "left_anti")
+        p = p.join(got, "__k", "left").where("road_id is null").select("__k", "px", "py")  # not an anti join: the planner reuses the shuffle of got
         if points.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             p = p.checkpoint()  # the next round would search this one's cells again
     return out.withColumnRenamed("__k", key)
