@@ -40,10 +40,13 @@ def _in_cells(s: DataFrame, size: float) -> DataFrame:
 
 
 def _closest(met: DataFrame) -> DataFrame:
-    """(__k, road_id, dist_m, front_lat, front_lng): the nearest segment per point, ties by road id; partial minima, no sort."""
+    """(__k, road_id, dist_m, front_lat, front_lng): the nearest segment per point; partial minima, no sort.
+
+    Distances are compared in micrometres, so that a point on a crossing goes to the lowest road id whatever the rounding noise.
+    """
     x, y = F.col("px"), F.col("py")
     t = _place_on(x, y)
-    at = met.select("__k", "road_id", geo.edge_distance_m(x, y, _edge(*SEGMENT)).alias("dist_m"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("front_lat"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("front_lng"))
+    at = met.select("__k", "road_id", F.round(geo.edge_distance_m(x, y, _edge(*SEGMENT)), 6).alias("dist_m"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("front_lat"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("front_lng"))
     return at.groupBy("__k").agg(F.min(F.struct("dist_m", "road_id", "front_lat", "front_lng")).alias("b")).select("__k", "b.*")
 
 

@@ -36,13 +36,13 @@ def _shifted_sql(extra: str = "") -> str:
     return with_sql("segments", "zones") + f", segs AS (SELECT {_SHIFTED.replace('D AS', ' AS')} FROM segments)" + _BOXES + extra
 
 
-@query(with_sql("parcels", "segments") + f", n AS (SELECT parcel_id, road_id, {_AT} AS m FROM parcels p, segments) SELECT parcel_id, arg_min(road_id, (m, road_id)) AS road_id, round(min(m), 3) AS dist_m FROM n GROUP BY parcel_id")
+@query(with_sql("parcels", "segments") + f", n AS (SELECT parcel_id, road_id, {_AT} AS m FROM parcels p, segments) SELECT parcel_id, arg_min(road_id, (round(m, 6), road_id)) AS road_id, round(min(m), 3) AS dist_m FROM n GROUP BY parcel_id")
 def nearest_road(spark: SparkSession, d: str) -> DataFrame:
     """SPJ-07 for all parcels."""
     return streets.nearest_road(load(spark, d, "parcels"), "parcel_id", load(spark, d, "segments")).select("parcel_id", "road_id", F.round("dist_m", 3).alias("dist_m"))
 
 
-@query(with_sql("parcels", "segments") + f", n AS (SELECT parcel_id, road_id, {_AT} AS m FROM parcels p JOIN segments ON canon || ' AVE' = street || ' ' || street_type) SELECT parcel_id, arg_min(road_id, (m, road_id)) AS road_id, round(min(m), 3) AS dist_m FROM n GROUP BY parcel_id")
+@query(with_sql("parcels", "segments") + f", n AS (SELECT parcel_id, road_id, {_AT} AS m FROM parcels p JOIN segments ON canon || ' AVE' = street || ' ' || street_type) SELECT parcel_id, arg_min(road_id, (round(m, 6), road_id)) AS road_id, round(min(m), 3) AS dist_m FROM n GROUP BY parcel_id")
 def own_street_front(spark: SparkSession, d: str) -> DataFrame:
     """SPJ-08 for all parcels."""
     s = load(spark, d, "segments").withColumn("fullname", F.concat("canon", F.lit(" Ave")))
