@@ -11,6 +11,9 @@ cell. Only distinct fingerprints enter the grid; copies never multiply. A cell k
 forest of its links rather than all its pairs. Cells above ``cell_limit`` members (dense groups of near copies) are not
 compared there: their members go to a second, exact grid on the bits themselves (16 nibbles, any 13 equal),
 whose cells hold at most 4096 distinct fingerprints by construction.
+
+Near copies by Jaccard similarity (``near_dedup``) are searched by shingle prefixes instead: at similarity 0.8 the
+fingerprints often differ in more than three bits.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from sirenflow.llm.components import components
 MAX_BITS = 3
 EVEN = 0x5555555555555555
 LINK = "s int, a long, b long"
+#: Of near_dedup: texts sampled for the order of shingles, shingles in that order, bits of a text's parity sketch.
+SAMPLE_TEXTS, COMMON_SHINGLES, SKETCH_BITS = 20_000, 100_000, 512
 
 
 def _signed(x: int) -> int:
@@ -68,12 +73,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", k: int = 3, seeds: tuple[int, ...] = (42,), distinct_words: bool = False) -> DataFrame:
-    """``keep`` columns and one fingerprint column ``fp<i>`` per seed. Null text has no words: fingerprint 0.
-
-    ``distinct_words`` takes each different word once (k = 1), which makes the fingerprint insensitive to
-    common words' counts.
-    """
+def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", k: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """``keep`` columns and one fingerprint column ``fp<i>`` per seed. Null text has no words: fingerprint 0."""
     schema = docs.select(*keep).schema
     for i in range(len(seeds)):
         schema = schema.add(f"fp{i}", "long")
@@ -84,10 +85,8 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", k: i
             out = [[] for _ in seeds]
             for t in texts:
                 words = t.encode().lower().split() if isinstance(t, str) else []
-                if distinct_words:
-                    words = list(dict.fromkeys(words))
                 for col, seed in zip(out, seeds, strict=True):
-                    col.append(fingerprint(shingle_hashes(words, 1 if distinct_words else k, seed)))
+                    col.append(fingerprint(shingle_hashes(words, k, seed)))
             yield pdf.assign(**{f"fp{i}": np.array(col, np.int64) for i, col in enumerate(out)})
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
@@ -182,23 +181,114 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``k``-word shingles of a text."""
+    return np.unique(shingle_hashes(text.encode().lower().split() if isinstance(text, str) else [], k, 7).view(np.int64))
+
+
 def _shingle_sets(nodes: DataFrame, k: int) -> DataFrame:
     """(node, sh): the sorted distinct hashes of the ``k``-word shingles of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [np.unique(shingle_hashes(t.encode().lower().split() if isinstance(t, str) else [], k, 7)).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"node": pdf["node"], "sh": sets})
+            yield pd.DataFrame({"node": pdf["node"], "sh": [_shingle_set(t, k) for t in pdf["text"]]})
 
     return nodes.mapInPandas(run, "node long, sh array<long>")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+def _common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several texts of a sample share, sorted, and their counts. They only order prefixes: any order gives the same pairs."""
+    every = max(1, rows.count() // SAMPLE_TEXTS)
+    some = rows.where(F.pmod("node", F.lit(every)) == 0).dropDuplicates(["node"])
+    found = _shingle_sets(some, k).select(F.explode("sh").alias("h")).groupBy("h").count().where("count > 1")
+    top = found.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).orderBy("h").collect()  # bounded
+    return np.array([r["h"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+
+
+def _prefixes(rows: DataFrame, k: int, similarity: float, common: np.ndarray, count: np.ndarray) -> DataFrame:
+    """(node, n, sketch, prefix) of each text: size of its shingle set, parity bits, and its first shingles in the global order.
+
+    The order is by count in the sample, then hash. Two sets of the wanted similarity share a shingle of both
+    prefixes: each prefix leaves out fewer shingles than the two must share. Sets without a shingle share the prefix [0].
+    """
+
+    def one(s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return np.zeros(1, np.int64)
+        size = len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1
+        if not len(common):
+            return s[:size]
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        return s[np.lexsort((s, np.where(common[at] == s, count[at], 0)))[:size]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.drop_duplicates("node")
+            sets = [_shingle_set(t, k) for t in pdf["text"]]
+            sketch = [np.packbits(np.bincount(s & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1 == 1).view(np.int64) for s in sets]
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "n": np.array([len(s) for s in sets], np.int32), "sketch": sketch, "prefix": [one(s) for s in sets]})
+
+    return rows.mapInPandas(run, "node long, n int, sketch array<long>, prefix array<long>").dropDuplicates(["node"])
+
+
+def _can_match(similarity: float):
+    """Size and position bounds on a pair of occurrences (na, pa) and (nb, pb) of its first common shingle."""
+    fits = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return fits & (rest >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of distinct nodes whose shingle sets have the wanted Jaccard similarity.
+
+    Differing parity bits never outnumber the shingles in which two sets differ, so they reject pairs before
+    any set is built; the rest are compared exactly.
+    """
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    meta = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    near = pairs.join(meta("a"), "a").join(meta("b"), "b").where(differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6)
+    near = cut(near.select("a", "b"))
+    ends = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+    sets = cut(_shingle_sets(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), k))
+    tested = near.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return cut(tested.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def similar_links(texts: DataFrame, k: int = 5, similarity: float = 0.8, posting_limit: int = 64) -> DataFrame:
+    """Verified links (a, b) among texts (node long, text); they span the components of all pairs of the wanted similarity.
+
+    Every pair of that similarity meets in the posting of a prefix shingle. All pairs of a short posting are
+    tested. In a posting above ``posting_limit`` the members are tested with one of them first; then every
+    pair that these links left in different components is tested: one of its ends is outside the posting's
+    largest component.
+    """
+    sizes = cut(_prefixes(texts, k, similarity, *_common_shingles(texts, k)))
+    posting = sizes.select("node", "n", F.posexplode("prefix").alias("p", "h"))
+    many = cut(posting.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1"))
+    hits = cut(posting.join(many, "h"))
+    side = lambda df, c: df.select("h", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"))
+    short = hits.where(F.col("m") <= posting_limit)
+    inside = side(short, "a").join(side(short, "b"), "h").where(F.col("a") < F.col("b")).where(_can_match(similarity)).select("a", "b")
+    long = hits.where(F.col("m") > posting_limit)
+    star = side(long.where("node = first"), "a").join(side(long, "b"), "h").where(F.col("a") != F.col("b")).where(_can_match(similarity)).select("a", "b")
+    good = similar_pairs(inside.union(star), texts, sizes, k, similarity)
+    if long.isEmpty():
+        return good
+    rooted = cut(long.join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    split = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("h", "most")
+    open_ = cut(rooted.join(split, "h"))
+    rside = lambda df, c: df.select("h", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.col("root").alias(f"r{c}"))
+    rest = rside(open_.where("root != most"), "a").join(rside(open_, "b"), "h").where("ra != rb").where(_can_match(similarity)).select("a", "b")
+    return good.union(similar_pairs(rest, texts, sizes, k, similarity))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of exact or near copies: the one with the smallest id (nulls last).
 
-    Candidates: fingerprints of the distinct words, one per seed, that differ in at most 3 bits (a pair may
-    miss under one seed and meet under another). Verification: exact Jaccard similarity of the sets of
-    ``k``-word shingles, at least ``similarity``. Equal texts are one node, so copies cost nothing more; texts
+    A link is an exact Jaccard similarity of the sets of ``k``-word shingles of at least ``similarity``; groups
+    are the components of all such links. Equal texts are one node, so copies cost nothing more; texts
     without a word (null, empty, blank) form one group. Repeated rows collapse to one.
     """
     if not docs.columns:
@@ -206,22 +296,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     low = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tk"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_key(text).alias("tk"))
     rows = rows.withColumn("node", F.coalesce(F.xxhash64("tk"), F.lit(0)))
-    fp_cols = [f"fp{i}" for i in range(len(seeds))]
-    fps = cut(with_fingerprints(rows, ["node"], seeds=seeds, distinct_words=True).distinct())
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).alias("fp")) for i, c in enumerate(fp_cols)]))
-    own = fps.select("node", each.alias("x")).select("node", "x.s", "x.fp")
-    by_fp = cut(own.groupBy("s", "fp").agg(F.min("node").alias("rep")))
-    links = fingerprint_links(by_fp.select("s", "fp"))
-    rep_of = lambda c, r: by_fp.select("s", F.col("fp").alias(c), F.col("rep").alias(r))
-    far = links.join(rep_of("a", "ra"), ["s", "a"]).join(rep_of("b", "rb"), ["s", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    near = own.join(by_fp, ["s", "fp"]).where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = cut(far.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = cut(_shingle_sets(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), k))
-    tested = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    good = tested.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    found = components(good)
+    found = components(similar_links(rows.select("node", "text"), k, similarity))
     heads = rows.groupBy("node").agg(F.min(low).alias("low"))
     heads = heads.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("low").alias("low")).select("low.id", "low.tk")
     heads = cut(heads)

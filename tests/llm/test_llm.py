@@ -289,3 +289,23 @@ def test_license_scores_against_brute_force(spark):
         best = max((cos(v, vec(term(n))) for v in lines for _, n in notices), default=0)
         if abs(best - 0.8) > 1e-9:
             assert (got[p].score is not None) == (best > 0.8) and (best < 0.8 or abs(got[p].score - best) < 1e-5)
+
+
+def test_similar_links_find_every_pair(spark):
+    r = random.Random(8)
+    texts = []
+    for n in (12, 40, 150, 400):
+        for edits in (1, 2, 3, 4, 8):
+            base = words(n, r).split()
+            texts.append(" ".join(base))
+            for _ in range(3):
+                other = base.copy()
+                for _ in range(max(1, n * edits // 200)):
+                    other[r.randrange(n)] = "x" + str(r.random())
+                texts.append(" ".join(other))
+    texts = sorted({*texts, "", "  ", "a b c", "a  b c"})
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) if len(t.split()) > 4 else {tuple(t.split())} - {()} for t in texts]
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = {(x.a, x.b) for x in simhash.similar_links(table).collect()}
+    assert got == want and len(want) > 30
