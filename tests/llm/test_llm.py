@@ -309,3 +309,18 @@ def test_similar_links_find_every_pair(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     got = {(x.a, x.b) for x in simhash.similar_links(table).collect()}
     assert got == want and len(want) > 30
+
+
+def test_dense_postings_test_every_open_pair(spark):
+    r = random.Random(9)
+    base = words(100, r).split()
+    texts = []
+    for k in range(40):  # half of the words in another order: equal word sets
+        far = base.copy()
+        tail = far[50:]
+        r.shuffle(tail)
+        texts.append(" ".join(far[:50] + tail))
+        texts.append(" ".join(far[:50] + tail[:-1] + [f"end{k}"]))
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    want = {(2 * k, 2 * k + 1) for k in range(40)}
+    assert {(x.a, x.b) for x in simhash.similar_links(table, posting_limit=1).collect()} == want
