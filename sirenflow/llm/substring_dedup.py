@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sirenflow.llm.common import saved, text_key
 
-#: Shorter units are left alone: a short line or sentence repeats by chance.
+#: A shorter sentence inside a line repeats by chance; it counts only as part of a run of sentences that has as many words.
 MIN_WORDS = 8
 _END = re.compile(r"[.!?]+(?=\s)")
 _SPAN = "array<struct<start:int,stop:int>>"
@@ -28,8 +28,22 @@ def _pieces(line: str) -> Iterator[tuple[int, int]]:
         yield start, len(line)
 
 
+def _short_runs(sizes: list[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """For each sentence below ``min_words`` words: the shortest runs (first, last) from it on, and up to it, with as many words."""
+    for k, n in enumerate(sizes):
+        if 0 < n < min_words:
+            for step in (1, -1):
+                total, at = n, k
+                while total < min_words and 0 <= at + step < len(sizes):
+                    at += step
+                    total += sizes[at]
+                if total >= min_words:
+                    yield min(k, at), max(k, at)
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, digest) of each line and each sentence of a longer line with at least ``min_words`` words.
+    """(start, stop, digest) of each line with a word, each sentence of a longer line with at least ``min_words`` words, and
+    the runs of sentences of a line that reach as many words around each shorter sentence.
 
     Offsets are code points of the original text. A unit is normalised by case folding and by turning white
     space into single spaces; the digest has 128 bits.
@@ -37,13 +51,17 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
     at = 0
     for line in text.split("\n"):
         words = line.lower().split()
-        if len(words) >= min_words:
+        if words:
             yield at, at + len(line), xxhash.xxh3_128_digest(" ".join(words))
+        if len(words) >= min_words:
             pieces = list(_pieces(line))
-            for s, e in pieces if len(pieces) > 1 else ():
-                part = line[s:e].lower().split()
+            parts = [line[s:e].lower().split() for s, e in pieces] if len(pieces) > 1 else []
+            for (s, e), part in zip(pieces, parts, strict=False):
                 if len(part) >= min_words:
                     yield at + s, at + e, xxhash.xxh3_128_digest(" ".join(part))
+            for a, b in sorted(set(_short_runs([len(x) for x in parts], min_words))):
+                if (a, b) != (0, len(parts) - 1):
+                    yield at + pieces[a][0], at + pieces[b][1], xxhash.xxh3_128_digest(" ".join(" ".join(x) for x in parts[a : b + 1]))
         at += len(line) + 1
 
 

@@ -324,3 +324,12 @@ def test_dense_postings_test_every_open_pair(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     want = {(2 * k, 2 * k + 1) for k in range(40)}
     assert {(x.a, x.b) for x in simhash.similar_links(table, posting_limit=1).collect()} == want
+
+
+def test_substring_dedup_cuts_short_lines_and_short_sentences_of_repeated_runs(spark):
+    passage = words(12) + ". Of, edti. " + words(12) + ". So it. Was so. " + words(12) + "."
+    rows = [(1, f"Short line.\n{words(20)}. {passage} {words(20)}.", "a"), (2, f"{words(20)}. So it. {words(20)}.\nshort  LINE.", "a"), (3, f"{words(20)}. {passage} {words(20)}.", "a")]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1].split("\n")[0] + "\n"
+    first, last = rows[2][1].split(". ")[0], rows[2][1].split(". ")[-1]
+    assert got[3] == f"{first}. {last}"
