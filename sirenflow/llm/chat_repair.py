@@ -111,25 +111,30 @@ def _join_blocks(key, pdf: pd.DataFrame) -> pd.DataFrame:
     for m, c in zip(reversed(ms), reversed(costs[:-1]), strict=True):
         ends.append(int((c + m[:, ends[-1]]).argmin()))
     ends = ends[::-1]
-    return pd.DataFrame({"conv": pdf["conv"], "block": pdf["block"], "first": ends[:-1], "last": ends[1:]}).astype({"conv": "Int64", "block": "Int64"})
+    return pd.DataFrame({"conv": pdf["conv"], "block": pdf["block"], "first": ends[:-1], "last": ends[1:], "ends": [False] * (len(ms) - 1) + [True]}).astype({"conv": "Int64", "block": "Int64"})
 
 
 def _render(key, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = _sorted(pdf)
-    first, last = pdf["first"].iloc[0], pdf["last"].iloc[0]
+    first, last, ends = pdf["first"].iloc[0], pdf["last"].iloc[0], pdf["ends"].iloc[0]
     got = repair(pdf["role"].tolist(), *((START, None) if pd.isna(first) else (int(first), int(last))))
     pieces = [
         "".join(f"<|{p}|>\n\n" for p in put) + ("" if action == "merge" else f"<|{role}|>\n") + (text or "") + "\n"
         for (action, role, put), text in zip(got, pdf["text"], strict=True)
     ]
+    after: list[tuple[str, ...]] = [()] * len(got)
+    if (pd.isna(ends) or ends) and got[-1][1] == HOLDS[SYSTEM]:  # the conversation ends here, on its system turn
+        after[-1] = (HOLDS[USER],)
+        pieces[-1] += f"<|{HOLDS[USER]}|>\n\n"
     return pd.DataFrame({
         "conv": pdf["conv"].astype("Int64"), "turn": pdf["turn"].astype("Int64"), "action": [g[0] for g in got], "new_role": [g[1] for g in got],
-        "inserted": [list(g[2]) for g in got], "rendered": pieces,
+        "inserted": [list(g[2]) for g in got], "inserted_after": [list(x) for x in after], "rendered": pieces,
     })
 
 
 def repair_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """One row per turn: conv_id, turn, action (keep, merge, relabel), new_role, inserted (empty turns put before it), rendered.
+    """One row per turn: conv_id, turn, action (keep, merge, relabel), new_role, inserted (empty turns put before it),
+    inserted_after (the empty user turn that a conversation of system turns only needs at its end), rendered.
 
     The ``rendered`` pieces of a conversation in turn order, joined, are its rendering. Turns of one number are
     ordered by role and text; null turns come first; a null conversation id is one conversation; null text is
@@ -141,8 +146,8 @@ def repair_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     long = t.groupBy("conv").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.max(F.col("block").isNull()).alias("none")).where("lo < hi or none and lo is not null").select(F.col("conv").alias("c2"))
     slim = t.withColumn("th", F.coalesce("text", F.lit(""))).drop("text")
     slim = slim.join(long, slim.conv.eqNullSafe(long.c2), "left_semi")
-    ends = slim.groupBy("conv", "block").applyInPandas(_block_matrix, "conv long, block long, m array<long>").groupBy("conv").applyInPandas(_join_blocks, "conv long, block long, first int, last int")
-    ends = ends.select(F.col("conv").alias("c2"), F.col("block").alias("b2"), "first", "last")
+    ends = slim.groupBy("conv", "block").applyInPandas(_block_matrix, "conv long, block long, m array<long>").groupBy("conv").applyInPandas(_join_blocks, "conv long, block long, first int, last int, ends boolean")
+    ends = ends.select(F.col("conv").alias("c2"), F.col("block").alias("b2"), "first", "last", "ends")
     t = t.join(ends, t.conv.eqNullSafe(ends.c2) & t.block.eqNullSafe(ends.b2), "left").drop("c2", "b2")
-    done = t.groupBy("conv", "block").applyInPandas(_render, "conv long, turn long, action string, new_role string, inserted array<string>, rendered string")
-    return done.select(F.col("conv").alias("conv_id"), "turn", "action", "new_role", "inserted", "rendered")
+    done = t.groupBy("conv", "block").applyInPandas(_render, "conv long, turn long, action string, new_role string, inserted array<string>, inserted_after array<string>, rendered string")
+    return done.select(F.col("conv").alias("conv_id"), "turn", "action", "new_role", "inserted", "inserted_after", "rendered")

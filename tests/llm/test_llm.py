@@ -333,3 +333,13 @@ def test_substring_dedup_cuts_short_lines_and_short_sentences_of_repeated_runs(s
     assert got[1] == rows[0][1] and got[2] == rows[1][1].split("\n")[0] + "\n"
     first, last = rows[2][1].split(". ")[0], rows[2][1].split(". ")[-1]
     assert got[3] == f"{first}. {last}"
+
+
+def test_chat_of_system_turns_only_gets_its_user_turn(spark):
+    rows = [(1, 0, "system", "a"), (1, 1, "system", "b"), (2, 0, "system", "a"), (2, 1, "user", "q"), *[(3, t, "system", "s") for t in range(20)]]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (4096, 7):
+        got = sorted(chat_repair.repair_chats(t, block_turns=block).collect(), key=lambda r: (r.conv_id, r.turn))
+        text = {c: "".join(r.rendered for r in got if r.conv_id == c) for c in (1, 2, 3)}
+        assert text[1] == "<|system|>\na\nb\n<|user|>\n\n" and text[2] == "<|system|>\na\n<|user|>\nq\n" and text[3].count("<|user|>") == 1
+        assert text[3].endswith("s\n<|user|>\n\n") and [r.inserted_after for r in got if r.conv_id == 1] == [[], ["user"]]
