@@ -2,8 +2,8 @@
 
 The standard library's parser emits events; block-level tags end a *line*. Each line has a text-to-tag ratio
 (characters of text outside links per tag). The ratios are smoothed with a Gaussian and lines above a threshold
-(the ratios' standard deviation) form clusters. The cluster with most text names the content region: the
-article or main element around it, or else its own container. Lines of that region are the article; menus,
+(the ratios' standard deviation) form clusters. The clusters name the content region: the article or main
+elements around them, or else their own containers. Lines of that region are the article; menus,
 headers, footers, sidebars, notices, adverts, forms, comments and the like are never part of it.
 """
 
@@ -161,8 +161,7 @@ def main_text(html: str | None, sigma: float = 1.0, spread: float = 1.0) -> str:
     if content and sum(content.values()) * 2 >= sum(lines[i][1] for i in seeds.tolist()):
         inside = [x[5] in content for x in lines]
     elif weight:
-        best = max(weight, key=lambda n: (weight[n], -n))
-        inside = [best in x[4] for x in lines]
+        inside = [bool(weight.keys() & set(x[4])) for x in lines]
     else:
         inside = [True] * len(lines)
     return "\n".join(x[0] for x, ok in zip(lines, inside, strict=True) if ok and x[0] and not x[3])

@@ -343,3 +343,11 @@ def test_chat_of_system_turns_only_gets_its_user_turn(spark):
         text = {c: "".join(r.rendered for r in got if r.conv_id == c) for c in (1, 2, 3)}
         assert text[1] == "<|system|>\na\nb\n<|user|>\n\n" and text[2] == "<|system|>\na\n<|user|>\nq\n" and text[3].count("<|user|>") == 1
         assert text[3].endswith("s\n<|user|>\n\n") and [r.inserted_after for r in got if r.conv_id == 1] == [[], ["user"]]
+
+
+def test_html_keeps_all_containers_of_a_page_without_article():
+    row = [f"Row {k} of the text has a good many words, enough to be read as prose." for k in range(3)]
+    for page in ("<div id=content>{}</div>", "<table><tr>{}</tr></table>"):
+        tag = "td" if "table" in page else "div"
+        body = page.format("".join(f"<{tag}><p>{x}</p></{tag}>" for x in row))
+        assert html_extract.main_text(f"<body><nav><a href=x>Home</a></nav>{body}<footer>foot</footer></body>") == "\n".join(row)
