@@ -2,8 +2,10 @@
 
 Numpy classifiers are trained from confirmed toxic examples and unlabelled text. With class prior pi, the risk is
 ``pi R_p+ + max(0, R_u- - pi R_p-)``; where the second part turns negative its gradient is reversed, which keeps
-a flexible model from fitting the unlabelled positives as negatives. Several classifiers are trained,
-one task each, on the toxic examples and disjoint bags of unlabelled text, and their scores are averaged.
+a flexible model from fitting the unlabelled positives as negatives. Features are counted over the whole training
+sample by all tasks, and only those that tell toxic text apart are kept, so a training row is a short sparse vector,
+however long its text. Several classifiers are trained, one task each, on the toxic examples and disjoint bags of
+unlabelled text, and their scores are averaged.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import string
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,11 +23,11 @@ from pyspark.sql.functions import PandasUDFType
 
 from sirenflow.llm.common import cut
 
-#: Bounds of the training sample: rows with a confirmed label, and unlabelled rows.
+#: Bounds of the training sample, both of rows of the labels table: confirmed toxic rows, and rows whose label is not looked at.
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 18_000
 BAGS = 3
 FEATURES = 1 << 20
-#: Features a classifier looks at: those whose rates in toxic and in unlabelled text differ most.
+#: Features the classifiers look at: those whose rates in toxic and in unlabelled text differ most.
 TOP = 1_000
 #: Standard errors by which a feature's rates must differ; keeps a small sample's chance features out.
 MIN_Z = 4.0
@@ -58,14 +61,12 @@ def features(text: str | None, cache: dict[str, tuple[int, ...]]) -> tuple[np.nd
 
 
 class Rows:
-    """Sparse rows on a selection of features."""
+    """Sparse rows: for each row the places of its features and their weights."""
 
-    def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], chosen: np.ndarray):
-        sizes, flat = np.array([len(x) for x in ids], np.int64), np.concatenate(ids) if ids else np.empty(0, np.int32)
-        at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
-        ok = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
-        self.n, self.row = len(ids), np.repeat(np.arange(len(ids)), sizes)[ok]
-        self.col, self.val = at[ok], (np.concatenate(values) if values else np.empty(0, np.float32))[ok].astype(np.float64)
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray]):
+        self.n, self.row = len(places), np.repeat(np.arange(len(places)), np.array([len(x) for x in places], np.int64))
+        self.col = np.concatenate(places).astype(np.int64) if places else np.empty(0, np.int64)
+        self.val = np.concatenate(values).astype(np.float64) if values else np.empty(0)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -78,36 +79,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def train_nnpu(pos: tuple[list, list], unl: tuple[list, list], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 5e-4, top: int = TOP) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature ids, weights, intercept) of a logistic model under the non-negative PU risk, by full-batch Adam."""
-    n_p, n_u = len(pos[0]), len(unl[0])
-    if not n_p or not n_u:
-        return np.empty(0, np.int32), np.empty(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    seen, cp = np.unique(np.concatenate(pos[0]), return_counts=True)
-    seen, cp = seen[cp >= 3], cp[cp >= 3]
-    u_ids, u_n = np.unique(np.concatenate(unl[0]), return_counts=True)
-    at = np.minimum(np.searchsorted(u_ids, seen), max(0, len(u_ids) - 1))
-    cu = np.where(u_ids[at] == seen, u_n[at], 0) if len(u_ids) else np.zeros(len(seen))
-    rp, ru = cp / n_p, cu / n_u
-    gain = (rp - ru) / np.sqrt((cp + cu + 1.0) / (n_p + n_u) * (1 / n_p + 1 / n_u))
-    order = np.argsort(-np.abs(gain), kind="stable")[:top]
-    chosen = np.sort(seen[order[np.abs(gain[order]) >= MIN_Z]])
-    p, u = Rows(*pos, chosen), Rows(*unl, chosen)
-    size = len(chosen)
+def pu_risk(w: np.ndarray, b: float, p: Rows, u: Rows, prior: float) -> tuple[float, float]:
+    """The two parts of the risk, with logistic loss: of the toxic rows as toxic, and of the unlabelled ones as not, less the toxic share among them."""
+    gp, gu = p.dot(w) + b, u.dot(w) + b
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def pu_gradient(w: np.ndarray, b: float, p: Rows, u: Rows, prior: float) -> np.ndarray:
+    """Gradient of the risk by (w, b); where its second part is negative, that part's gradient reversed instead."""
+    gp, gu = p.dot(w) + b, u.dot(w) + b
+    up, uu = _sigmoid(gp), _sigmoid(gu)
+    c_pos, c_p, c_u = -prior * (1 - up) / p.n, -prior * up / p.n, uu / u.n
+    if pu_risk(w, b, p, u, prior)[1] < 0:  # gone below its bound: step back from it
+        c_pos, c_p, c_u = np.zeros(p.n), -c_p, -c_u
+    return np.append(p.grad(c_pos + c_p, len(w)) + u.grad(c_u, len(w)), (c_pos + c_p).sum() + c_u.sum())
+
+
+def train_nnpu(p: Rows, u: Rows, size: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of a logistic model of ``size`` features under the non-negative PU risk, by full-batch Adam."""
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    if not p.n or not u.n:
+        return w, b
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        gp, gu = p.dot(w) + b, u.dot(w) + b
-        neg = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up, uu = _sigmoid(gp), _sigmoid(gu)
-        c_pos, c_p, c_u = -prior * (1 - up) / n_p, -prior * up / n_p, uu / n_u
-        if neg < 0:  # the corrected part has gone below its bound: step back from it
-            c_pos, c_p, c_u = np.zeros(n_p), -c_p, -c_u
-        g = np.append(p.grad(c_pos + c_p, size) + u.grad(c_u, size) + decay * w * prior, (c_pos + c_p).sum() + c_u.sum())
+        g = pu_gradient(w, b, p, u, prior)
+        g[:-1] += decay * w * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return chosen, w, float(b)
+    return w, float(b)
 
 
 def fold(id_col: str) -> Column:
@@ -115,37 +115,82 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def _bag(prior: float, steps: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many toxic and how many unlabelled rows of a task hold each feature."""
+    cache: dict[str, tuple[int, ...]] = {}
+    seen = np.zeros((2, FEATURES), np.int64)
+    for pdf in batches:
+        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+            seen[0 if toxic else 1, features(text, cache)[0]] += 1
+    ids = np.flatnonzero(seen.any(axis=0))
+    yield pd.DataFrame({"f": ids.astype(np.int32), "cp": seen[0, ids], "cu": seen[1, ids]})
+
+
+def telling_features(sample: DataFrame, n_p: int, n_u: int, top: int = TOP, min_z: float = MIN_Z) -> np.ndarray:
+    """Ids of the at most ``top`` features whose rates in toxic and in unlabelled rows differ most, by ``min_z`` standard errors at least."""
+    seen = sample.select("text", "toxic").mapInPandas(_rates, "f int, cp long, cu long").groupBy("f").agg(F.sum("cp").alias("cp"), F.sum("cu").alias("cu")).where("cp >= 3")
+    spread = F.sqrt((F.col("cp") + F.col("cu") + 1.0) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+    gain = F.abs(F.col("cp") / n_p - F.col("cu") / n_u) / spread
+    rows = seen.select("f", gain.alias("gain")).where(F.col("gain") >= min_z).orderBy(F.desc("gain"), "f").limit(top).collect()  # bounded
+    return np.sort(np.array([r["f"] for r in rows], np.int32))
+
+
+def _vectors(chosen: np.ndarray):
+    """Each row of the sample on the chosen features."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, tuple[int, ...]] = {}
-        got = [features(t, cache) for t in pdf["text"]]
+        for pdf in batches:
+            at, val = [], []
+            for text in pdf["text"]:
+                ids, weight = features(text, cache)
+                place = np.minimum(np.searchsorted(chosen, ids), len(chosen) - 1)
+                ok = chosen[place] == ids
+                at.append(place[ok].astype(np.int32)), val.append(weight[ok])
+            yield pd.DataFrame({"bag": pdf["bag"], "toxic": pdf["toxic"], "at": at, "val": val})
+
+    return run
+
+
+def _bag(prior: float, steps: int, size: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         toxic = pdf["toxic"].to_numpy(bool)
-        part = lambda on: ([g[0] for g, x in zip(got, on, strict=True) if x], [g[1] for g, x in zip(got, on, strict=True) if x])
-        ids, w, b = train_nnpu(part(toxic), part(~toxic), prior, steps)
-        return pd.DataFrame({"bag": [int(key[0])], "ids": [ids.astype(np.int32)], "w": [w], "b": [b]})
+        part = lambda on: Rows(pdf["at"][on].tolist(), pdf["val"][on].tolist())
+        w, b = train_nnpu(part(toxic), part(~toxic), size, prior, steps)
+        return pd.DataFrame({"bag": [int(key[0])], "w": [w], "b": [b]})
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bags: int = BAGS, steps: int = 300) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Classifiers from toxic rows and unlabelled text of the training folds (crc32 mod 3 is not 1).
+    """Classifiers (feature ids, weights, intercept) from rows of the training folds (crc32 mod 3 is not 1) of the labels table.
 
-    ``prior``: share of toxic text; by default the share among the labelled rows of the training folds. The
+    Toxic rows are the confirmed examples; rows taken without a look at their label are the unlabelled text. The
     sample takes the rows with the smallest hash of their id, at most ``max_positive`` and ``max_unlabelled``.
+    ``prior``: share of toxic text; by default its share among the labelled rows of the training folds.
     Contradicting labels of one id count as toxic. Without a toxic label every score is the prior.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(toxic).alias("y")).where(F.col("y").isNotNull() & (fold("id") != 1)).groupBy("id").agg(F.max("y").alias("y"))
     share = known.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     prior = min(0.9, max(1e-3, prior if prior is not None else share or 0.05))
+    none = [(np.empty(0, np.int32), np.empty(0), float(np.log(prior / (1 - prior))))]
     order = F.xxhash64("id", F.lit("pu"))
     pos = known.where("y = 1").orderBy(order, "id").limit(max_positive).select("id", F.lit(True).alias("toxic"))
-    unl = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold("id") != 1)).distinct().orderBy(order, "id").limit(max_unlabelled).select("id", F.lit(False).alias("toxic"))
+    unl = known.orderBy(order, "id").limit(max_unlabelled).select("id", F.lit(False).alias("toxic"))
     wanted = F.broadcast(cut(pos.union(unl)))  # at most max_positive + max_unlabelled ids
     sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id")
     own = F.array(F.pmod(F.xxhash64("id"), F.lit(bags)).cast("int"))
-    sample = sample.withColumn("bag", F.explode(F.when(F.col("toxic"), F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(own)))
-    got = sample.groupBy("bag").applyInPandas(_bag(prior, steps), "bag int, ids array<int>, w array<double>, b double").orderBy("bag").collect()  # one row a bag
-    return [(np.array(r["ids"], np.int32), np.array(r["w"]), r["b"]) for r in got] or [(np.empty(0, np.int32), np.empty(0), float(np.log(prior / (1 - prior))))]
+    sample = cut(sample.select("text", "toxic", F.when(F.col("toxic"), F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(own).alias("bag")))
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    if len(n) < 2:
+        return none
+    chosen = telling_features(sample, n[True], n[False])
+    if not len(chosen):
+        return none
+    rows = sample.mapInPandas(_vectors(chosen), "bag array<int>, toxic boolean, at array<int>, val array<float>")
+    rows = rows.select(F.explode("bag").alias("bag"), "toxic", "at", "val")
+    got = rows.groupBy("bag").applyInPandas(_bag(prior, steps, len(chosen)), "bag int, w array<double>, b double").orderBy("bag").collect()  # one row a bag
+    return [(chosen, np.array(r["w"]), r["b"]) for r in got]
 
 
 def scorer(models: list[tuple[np.ndarray, np.ndarray, float]]):
