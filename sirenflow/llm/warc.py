@@ -3,16 +3,17 @@
 Writing: a record's bytes are a text row and the record separator CRLF CRLF is the line separator, so Spark's
 own writer makes valid archives on any file system it knows. Reading: the magic is the line separator, so
 splits of one archive are read by many tasks; each piece after a magic is only a *candidate* record. Tasks emit
-each candidate's length and declared length; per archive, pieces add up to offsets, each candidate points at
+each candidate's length and declared length; per archive, pieces add up to byte offsets, each candidate points at
 the offset that its declared length leads to, and pointer jumping from the start of the file keeps the
-reachable ones. A magic inside a payload is reached by no chain and counts as payload.
+reachable ones. A magic inside a payload is reached by no chain and counts as payload. What takes an archive
+as a whole is numbers only: four a candidate.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sirenflow.llm.common import cut, saved, shared_dir
@@ -48,14 +49,17 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", ht
     return p.select("id", "url", "html", "digest", "size", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("top")).alias("refers_to"))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``plan_records`` rows as WARC/1.1 archives. Revisits carry no payload. CR and LF in URLs are percent-encoded."""
+def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write ``plan_records`` rows as WARC/1.1 archives. Revisits carry no payload. CR and LF in URLs are percent-encoded.
+
+    ``date``: the WARC-Date of all records, since pages have none. Repeated rows have equal record ids.
+    """
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda k, v: F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")), F.lit(""))
     body = F.when(F.col("kind") == "response", F.col("html")).otherwise("")
     head = F.concat(
-        F.lit(MAGIC), line("WARC-Type", F.col("kind")), line("WARC-Record-ID", name(F.col("id"))), line("WARC-Target-URI", uri),
+        F.lit(MAGIC), line("WARC-Type", F.col("kind")), line("WARC-Record-ID", name(F.col("id"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("size").cast("string")),
         F.when(F.col("kind") == "revisit", F.concat(line("WARC-Refers-To", name(F.col("refers_to"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Length", F.octet_length(body).cast("string")),
@@ -90,12 +94,10 @@ def chain(own: np.ndarray, declared: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["block", "seq"], kind="stable")
-    # what stands before the first magic is no candidate; an archive has nothing there
-    pdf = pdf.iloc[1:] if pdf["own"].iloc[0] == len(MAGIC) else pdf.iloc[:0]
+    """(file, offset, owner, reached) of the candidates of an archive; owner: the offset of the record that holds it."""
+    pdf = pdf.sort_values("offset", kind="stable")
     offset, reached = chain(pdf["own"].to_numpy(np.int64), pdf["declared"].to_numpy(np.int64))
-    pdf = pdf.assign(offset=offset, owner=np.maximum.accumulate(np.where(reached, offset, -1)), reached=reached)
-    return pdf[["file", "block", "seq", "head", "offset", "owner", "reached", "sha", "whole"]]
+    return pd.DataFrame({"file": pdf["file"], "offset": offset, "owner": np.maximum.accumulate(np.where(reached, offset, -1)), "reached": reached})
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -115,6 +117,17 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def placed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` of one scan with their byte offset in the archive, in place of (block, seq).
+
+    What stands before the first magic is no candidate; an archive has nothing there, or it gives no rows. Offsets
+    do not depend on how a scan is cut into tasks, so results of two scans meet on them.
+    """
+    order = Window.partitionBy("file").orderBy("block", "seq")
+    p = pieces.withColumns({"head_own": F.first("own").over(order), "before": F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    return p.where(F.col("before").isNotNull() & (F.col("head_own") == len(MAGIC))).withColumn("offset", F.col("before") - len(MAGIC)).drop("block", "seq", "head_own", "before")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per verified record: file, offset, record_id, type, uri, payload_digest, payload_length, refers_to, intact.
 
@@ -124,11 +137,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     found = candidates(spark, path)
     whole = F.col("own") >= F.col("declared")
     slim = found.select("file", "block", "seq", "own", "declared", "head", F.when(whole, base32_sha1(F.col("body"))).alias("sha"), whole.alias("whole"))
-    out = "file string, block long, seq long, head string, offset long, owner long, reached boolean, sha string, whole boolean"
-    seen = cut(slim.groupBy("file").applyInPandas(_verify, out))
-    records = seen.where("reached")
-    parts = saved(records.where("not whole").select("file", F.col("offset").alias("owner")).join(seen.select("file", "owner", "block", "seq"), ["file", "owner"]))
-    glued = parts.join(found.select("file", "block", "seq", "data"), ["file", "block", "seq"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "data"))).alias("p"))
+    slim = cut(placed(slim))
+    seen = cut(slim.select("file", "offset", "own", "declared").groupBy("file").applyInPandas(_verify, "file string, offset long, owner long, reached boolean"))
+    records = slim.join(seen.where("reached").select("file", "offset"), ["file", "offset"])
+    parts = saved(records.where("not whole").select("file", F.col("offset").alias("owner")).join(seen.select("file", "owner", "offset"), ["file", "owner"]))
+    torn = saved(parts.select("file").distinct())
+    again = placed(found.join(torn, "file", "left_semi").select("file", "block", "seq", "own", "data")).select("file", "offset", "data")
+    glued = parts.join(again, ["file", "offset"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["data"].cast("string")), MAGIC)
     glued = glued.select("file", F.col("owner").alias("offset"), joined.alias("text"))
     glued = glued.select("file", "offset", base32_sha1(F.expr(f"substring(cast(text as binary), cast({len(END) + 1} + octet_length(substring_index(text, '\r\n\r\n', 1)) as int), octet_length(text) - octet_length(substring_index(text, '\r\n\r\n', 1)) - {2 * len(END)})")).alias("glued_sha"))
