@@ -1,8 +1,8 @@
 """Mixing sources to target weights: DataFrame functions only.
 
-Every document gets a hash-random key. Within a source the documents are dealt into key ranges of about
-``rows_per_range`` rows (the key is uniform, so equal ranges hold equal shares, however hot the source), sorted
-inside each range, and the ranges' totals are prefix-summed, which gives each document its exact position
+Every document gets a hash-random key. Within a source the documents are dealt into key ranges (the key is
+uniform, so equal ranges hold equal shares, however hot the source) of at most about ``rows_per_range`` rows, and of
+fewer where the table is so small that its ranges would not occupy all tasks; they are sorted inside each range, and the ranges' totals are prefix-summed, which gives each document its exact position
 in the source's random order. A source whose target exceeds its size repeats whole epochs; the rest of
 the target is cut at the exact word.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sirenflow.llm.common import WORD, cut, saved
 
 MAX_EPOCHS = 3
-ROWS_PER_RANGE = 20_000
+#: Rows of a key range, at most and at least.
+ROWS_PER_RANGE, LEAST_ROWS = 20_000, 200
 
 
 def words_in(text: str = "text") -> Column:
@@ -61,7 +62,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     d = cut(docs.select(F.col(id_col).alias("id"), src.alias("src"), words_in(text).alias("size"), key.alias("key")))
     sizes = d.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     plan = source_targets(sizes.withColumn("source", F.when(~F.col("src.none"), F.col("src.name"))), weights, max_epochs)
-    plan = saved(plan.select("src", F.ceil(F.col("n") / rows_per_range).alias("ranges"), "source_size", "target"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = F.least(F.lit(rows_per_range), F.greatest(F.lit(LEAST_ROWS), F.sum("n").over(Window.partitionBy()) / (2 * tasks)))  # a row a source
+    plan = saved(plan.select("src", F.ceil(F.col("n") / each).alias("ranges"), "source_size", "target"))
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     d = d.join(plan, "src").withColumn("range", F.floor(head * F.col("ranges") / F.lit(1 << 32)).cast("long"))
     totals = d.groupBy("src", "range").agg(F.sum("size").alias("total"))
