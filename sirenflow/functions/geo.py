@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_000.0
 DEGREE_M = EARTH_M * pi / 180
 EDGE = 1e-9
+MERCATOR_M = pi * 6_378_137.0  # half the width of the EPSG:3857 plane
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -70,6 +71,19 @@ def tms_row(y: Column, zoom: Column) -> Column:
     return F.pow(F.lit(2.0), zoom).cast("long") - 1 - y
 
 
+def tile_corner(x: Column, y: Column, zoom: Column) -> Column:
+    """FN-02, the inverse: struct(lat, lng) of a tile's north-west corner."""
+    n = F.pow(F.lit(2.0), zoom)
+    return F.struct(F.degrees(F.atan(F.sinh(F.lit(pi) * (1 - 2 * y / n)))).alias("lat"), (x / n * 360.0 - 180.0).alias("lng"))
+
+
+def tile_box_m(x: Column, y: Column, zoom: Column) -> Column:
+    """FN-02: struct(west, south, east, north) of a tile in metres of EPSG:3857."""
+    size = F.lit(2 * MERCATOR_M) / F.pow(F.lit(2.0), zoom)
+    west, north = x * size - MERCATOR_M, F.lit(MERCATOR_M) - y * size
+    return F.struct(west.alias("west"), (north - size).alias("south"), (west + size).alias("east"), north.alias("north"))
+
+
 def geometry(pairs: Column) -> Column:
     """FN-05: struct(type, coordinates) from array<struct<lat, lng>>; null pairs are dropped, none is null."""
     ok = F.transform(F.filter(pairs, lambda p: p["lat"].isNotNull() & p["lng"].isNotNull()), lambda p: F.array(p["lng"], p["lat"]))

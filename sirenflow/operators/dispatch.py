@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sirenflow.functions.geo import haversine_m
 from sirenflow.functions.text import unit_class, unit_hall, unit_type
+from sirenflow.operators.views import call_tones
 
-QUIET_SEED, QUIET_ROWS, LOUD_FLOOR, LOUD_FACTOR = 16.0, 50, 40.0, 2.5
+QUIET_SEED, QUIET_ROWS, QUIET_BELOW, LOUD_FLOOR, LOUD_FACTOR = 16.0, 50, 60.0, 40.0, 2.5
 
 
 def unreviewed(d: DataFrame) -> DataFrame:
@@ -21,13 +22,22 @@ def training_rows(d: DataFrame) -> DataFrame:
     return d.where("feedback_submitted and coalesce(verified_transcript, '') != '' and coalesce(include_in_training, true)")
 
 
-def review_list(d: DataFrame, text: str | None = None, low_only: bool = False, unit: str | None = None) -> DataFrame:
-    """FLT-04: free text in four fields, confidence under 80 (null counts as 100), unit substring."""
+def review_list(d: DataFrame, text: str | None = None, status: str | None = None, tone: str | None = None, unit: str | None = None, low_only: bool = False) -> DataFrame:
+    """FLT-04: free text in four fields; status needs_review (no feedback), fine_tuned (feedback) or low_confidence (under 80, null
+    counts as 100; ``low_only`` is the same); a call tone (CLN-22, columns tone_name, verified_units, units); a unit substring in the verified units, else the others."""
     if text:
         d = d.where(F.exists(F.array("dispatch_id", "incident_type", "address", "raw_transcript"), lambda c: F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))))
-    if low_only:
+    seen = F.coalesce("feedback_submitted", F.lit(False)) if "feedback_submitted" in d.columns else F.lit(False)
+    if status not in (None, "needs_review", "fine_tuned", "low_confidence"):
+        raise ValueError(f"no such status: {status}")
+    if status in ("needs_review", "fine_tuned"):
+        d = d.where(seen if status == "fine_tuned" else ~seen)
+    if low_only or status == "low_confidence":
         d = d.where(F.coalesce("confidence_score", F.lit(100.0)) < 80)
-    return d.where(F.exists("units", lambda u: F.upper(u).contains(unit.upper()))) if unit else d
+    units = F.coalesce(F.when(F.size("verified_units") > 0, F.col("verified_units")), F.col("units")) if "verified_units" in d.columns else F.col("units")
+    if tone:
+        d = d.where(F.array_contains(call_tones(F.col("tone_name"), F.col("verified_units") if "verified_units" in d.columns else F.array().cast("array<string>"), F.col("units")), tone))
+    return d.where(F.coalesce(F.exists(units, lambda u: F.upper(u).contains(unit.upper())), F.lit(False))) if unit else d
 
 
 def page(d: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -104,14 +114,17 @@ def sync_closures(existing: DataFrame, notices: DataFrame, now) -> DataFrame:
 
 
 def loud_readings(r: DataFrame) -> DataFrame:
-    """WIN-05: (device, seq, rms, loud, triggered): loud above max(40, 2.5 x the mean of the last 50 quiet readings), triggered at 4 of 5.
+    """WIN-05: (device, seq, rms, loud, triggered): loud above max(40, 2.5 x the mean of the last 50 quiet readings), triggered at 4 loud ones of 5.
 
-    Quiet readings are those of 40 or less; before there is one the mean is 16. One window sort per device serves all.
+    Quiet readings are those below 60, the current one included; a reading of 16 stands before a device's first. The mean
+    runs over quiet rows only, however far back they are. A null reading is neither quiet nor loud. One shuffle by
+    device serves all windows.
     """
+    r = r.repartition("device").withColumn("quiet", F.coalesce(F.col("rms") < QUIET_BELOW, F.lit(False)))
+    own = Window.partitionBy("device", "quiet").orderBy("seq")
+    n, tail = F.row_number().over(own), F.sum("rms").over(own.rowsBetween(1 - QUIET_ROWS, 0))
+    mean = F.when(n < QUIET_ROWS, (tail + QUIET_SEED) / (n + 1)).otherwise(tail / QUIET_ROWS)
     w = Window.partitionBy("device").orderBy("seq")
-    quiet = F.col("rms") <= LOUD_FLOOR
-    last = F.collect_list(F.when(quiet, F.col("rms"))).over(w.rowsBetween(-4 * QUIET_ROWS, -1))
-    tail = F.slice(last, F.greatest(F.size(last) - QUIET_ROWS + 1, F.lit(1)), QUIET_ROWS)
-    mean = F.when(F.size(last) > 0, F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)).otherwise(QUIET_SEED)
-    r = r.withColumn("loud", F.col("rms") > F.greatest(F.lit(LOUD_FLOOR), LOUD_FACTOR * mean))
+    r = r.withColumn("mean", F.when(F.col("quiet"), mean)).withColumn("mean", F.coalesce(F.last("mean", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(QUIET_SEED)))
+    r = r.withColumn("loud", F.coalesce(F.col("rms") > F.greatest(F.lit(LOUD_FLOOR), LOUD_FACTOR * F.col("mean")), F.lit(False)))
     return r.select("device", "seq", "rms", "loud", (F.sum(F.col("loud").cast("int")).over(w.rowsBetween(-4, 0)) >= 4).alias("triggered"))

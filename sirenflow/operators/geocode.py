@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sirenflow.functions.fuzzy import token_set_ratio
-from sirenflow.functions.geo import haversine_m  # noqa: F401
+from sirenflow.functions.lines import point_at
 from sirenflow.functions.text import lookup_address
 
 STEPS = ("exact", "intersection", "block", "cross", "nearest civic", "street centroid", "road centroid")
@@ -41,40 +41,59 @@ def exact_parcel(requests: DataFrame, parcels: DataFrame) -> DataFrame:
 
 
 def block_range(requests: DataFrame, roads: DataFrame) -> DataFrame:
-    """JN-02 with LIN-02 on straight roads: the house number's place in a road's left or right range, either direction.
+    """JN-02 with LIN-02: the house number's place in a road's left or right range, either direction.
 
-    Roads: road_id, fullname, roadname, left_begin, left_end, right_begin, right_end, x1, y1, x2, y2. The left side
-    is preferred, then the lowest road id. Equal ends put the point in the middle.
+    Roads: road_id, fullname, roadname, left_begin, left_end, right_begin, right_end, and lines (array of parts, each an
+    array of lng, lat) or the ends of a straight road as x1, y1, x2, y2. The left side is preferred, then the lowest
+    road id. Equal ends put the point in the middle.
     """
     r = requests.select("request_id", F.expr("try_cast(house as int)").alias("n"), F.upper("street").alias("name"), F.upper(F.concat_ws(" ", "street", "street_type")).alias("full"))
     by_full = r.join(roads.withColumn("full", F.upper("fullname")), "full").drop("name", "full")
     by_name = r.join(roads.withColumn("name", F.upper("roadname")), "name").drop("name", "full")
-    both = by_full.unionByName(by_name)
-    hits = None
+    both, hits = by_full.unionByName(by_name), None
+    shape = F.col("lines") if "lines" in roads.columns else F.struct("x1", "y1", "x2", "y2")
     for rank, side in enumerate(("left", "right")):
         a, b = F.col(f"{side}_begin"), F.col(f"{side}_end")
         f = F.when(a == b, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("n") - a) / (b - a))))
-        one = both.where(F.col("n").between(F.least(a, b), F.greatest(a, b))).select("request_id", F.lit(rank).alias("side"), "road_id", (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("lat"), (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("lng"))
+        one = both.where(F.col("n").between(F.least(a, b), F.greatest(a, b))).select("request_id", F.struct(F.lit(rank).alias("side"), "road_id", f.alias("f"), shape.alias("shape")).alias("b"))
         hits = one if hits is None else hits.unionByName(one)
-    best = hits.groupBy("request_id").agg(F.min(F.struct("side", "road_id", "lat", "lng")).alias("b"))
-    return _answer(best.select("request_id", F.col("b.lat").alias("lat"), F.col("b.lng").alias("lng")), "block", 70)
+    best = hits.groupBy("request_id").agg(F.min_by("b", F.struct("b.side", "b.road_id")).alias("b")).select("request_id", F.col("b.f").alias("f"), F.col("b.shape").alias("s"))
+    if "lines" in roads.columns:
+        at = best.select("request_id", point_at(F.col("s"), F.col("f")).alias("p")).select("request_id", "p.lat", "p.lng")
+    else:
+        on = lambda k: F.col(f"s.{k}1") + F.col("f") * (F.col(f"s.{k}2") - F.col(f"s.{k}1"))
+        at = best.select("request_id", on("y").alias("lat"), on("x").alias("lng"))
+    return _answer(at, "block", 70)
 
 
 def nearest_civic(requests: DataFrame, parcels: DataFrame) -> DataFrame:
-    """JN-04: the parcel without unit whose number on the street is closest, then lowest; confidence 70, 60 or 55 by distance."""
-    p = parcels.where("unit is null and lat is not null and lng is not null and house rlike '^[0-9]+$'").select(F.col("house").cast("int").alias("p_n"), F.upper("street").alias("name"), F.upper("street_type").alias("kind"), "parcel_id", "lat", "lng")
-    r = requests.select("request_id", F.expr("try_cast(house as int)").alias("n"), F.upper("street").alias("name"), F.upper("street_type").alias("kind")).where("n is not null")
-    gap = F.abs(F.col("n") - F.col("p_n"))
-    best = r.join(p, ["name", "kind"]).groupBy("request_id").agg(F.min(F.struct(gap.alias("gap"), "p_n", "parcel_id", "lat", "lng")).alias("b"))
+    """JN-04: the parcel without unit (null or blank) whose number on the street is closest, then lowest; confidence 70, 60 or 55 by distance.
+
+    A request without a street type (null or blank) takes parcels of any type. Requests and parcels of a street are sorted
+    by number together, and each request looks at the next number below and above it, so a street's requests never
+    meet all its parcels.
+    """
+    digits = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("int"))
+    p = parcels.where("(unit is null or trim(unit) = '') and lat is not null and lng is not null").select(digits("house").alias("n"), F.upper("street").alias("name"), F.upper(F.coalesce("street_type", F.lit(""))).alias("kind"), F.struct("parcel_id", "lat", "lng").alias("p")).where("n is not null")
+    p = p.select("n", "name", F.explode(F.array_distinct(F.array("kind", F.lit("")))).alias("kind"), "p").groupBy("name", "kind", "n").agg(F.min("p").alias("p"))
+    r = requests.select("request_id", digits("house").alias("n"), F.upper("street").alias("name"), F.upper(F.trim(F.coalesce("street_type", F.lit("")))).alias("kind")).where("n is not null and name is not null")
+    both = r.withColumn("p", F.lit(None).cast(p.schema["p"].dataType)).unionByName(p.withColumn("request_id", F.lit(None).cast(r.schema["request_id"].dataType)))
+    near = F.when(F.col("p").isNotNull(), F.struct("n", "p"))
+    seen = lambda order: F.last(near, ignorenulls=True).over(Window.partitionBy("name", "kind").orderBy(order, F.col("p").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    m = both.withColumns({"below": seen(F.asc("n")), "above": seen(F.desc("n"))}).where("p is null")
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("n") - F.col(f"{c}.n")).alias("gap"), F.col(f"{c}.n").alias("p_n"), F.col(f"{c}.p.parcel_id").alias("parcel_id"), F.col(f"{c}.p.lat").alias("lat"), F.col(f"{c}.p.lng").alias("lng")))
+    best = m.select("request_id", F.least(side("below"), side("above")).alias("b")).where("b is not null")
     g = F.col("b.gap")
     note = F.concat(F.lit("nearest civic number "), F.col("b.p_n").cast("string"))
     return _answer(best.select("request_id", F.col("b.lat").alias("lat"), F.col("b.lng").alias("lng"), F.when(g <= 20, 70).when(g <= 100, 60).otherwise(55).alias("c"), note.alias("why")), "nearest civic", F.col("c"), F.col("why"))
 
 
 def street_centroid(requests: DataFrame, parcels: DataFrame) -> DataFrame:
-    """AGG-05: mean place of the parcels on the street and type, confidence 50."""
-    mean = parcels.where("lat is not null and lng is not null").groupBy(F.upper("street").alias("name"), F.upper("street_type").alias("kind")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
-    r = requests.select("request_id", F.upper("street").alias("name"), F.upper("street_type").alias("kind"))
+    """AGG-05: mean place of the parcels on the street and type, of all types for a request without one; confidence 50."""
+    kind = F.upper(F.trim(F.coalesce("street_type", F.lit(""))))
+    p = parcels.where("lat is not null and lng is not null").select(F.upper("street").alias("name"), kind.alias("kind"), "lat", "lng").groupBy("name", "kind").agg(F.sum("lat").alias("la"), F.sum("lng").alias("lo"), F.count("*").alias("k"))
+    mean = p.select("name", F.explode(F.array_distinct(F.array("kind", F.lit("")))).alias("kind"), "la", "lo", "k").groupBy("name", "kind").agg((F.sum("la") / F.sum("k")).alias("lat"), (F.sum("lo") / F.sum("k")).alias("lng"))
+    r = requests.select("request_id", F.upper("street").alias("name"), kind.alias("kind"))
     return _answer(r.join(mean, ["name", "kind"]), "street centroid", 50)
 
 
@@ -85,18 +104,34 @@ def road_centroid(requests: DataFrame, roads: DataFrame) -> DataFrame:
     return _answer(requests.select("request_id", F.upper("street").alias("name")).join(w, "name").where("lat is not null"), "road centroid", 45)
 
 
+def with_raw_keys(intersections: DataFrame, raw: str = "raw_key") -> DataFrame:
+    """JN-05: the index of intersections: each row under its normal key and, where it differs, under its raw key too."""
+    keys = F.array_distinct(F.array_compact(F.array("key", F.upper(F.trim(raw)))))
+    return intersections.select(F.explode(keys).alias("key"), *[c for c in intersections.columns if c not in ("key", raw)]).distinct()
+
+
 def intersection_lookup(requests: DataFrame, intersections: DataFrame) -> DataFrame:
     """JN-05, JN-07, JN-09: candidates by key, narrowed by map grid, decided.
 
-    Requests: request_id, key, map_grid. Intersections: key, candidate_index, lat, lng, zone_id. One row per request
-    with a candidate: resolved (one candidate, no conflict), grid_conflict, candidates, and the lowest candidate's place.
+    Requests: request_id, key, map_grid, and match_score where the key is a suggestion. Intersections: key,
+    candidate_index, lat, lng, zone_id. One row per request with a candidate: candidates, grid_conflict (a grid was given and
+    no candidate is in it), resolved (an exact key, one candidate, no conflict), the lowest candidate's place, its
+    match_score (100 for an exact key) and a note.
     """
-    m = requests.join(intersections, "key")
+    score = F.col("match_score") if "match_score" in requests.columns else F.lit(None)
+    m = requests.withColumn("score", score.cast("int")).join(intersections, "key")
     w = Window.partitionBy("request_id")
     m = m.withColumn("fits", F.coalesce(F.col("zone_id") == F.col("map_grid"), F.lit(False)))
     m = m.withColumn("any_fits", F.max("fits").over(w)).where("fits or not any_fits")
-    best = m.groupBy("request_id").agg(F.count("*").alias("candidates"), F.max(F.col("map_grid").isNotNull() & ~F.col("any_fits")).alias("grid_conflict"), F.min(F.struct("candidate_index", "lat", "lng")).alias("b"))
-    return best.select("request_id", "candidates", "grid_conflict", ((F.col("candidates") == 1) & ~F.col("grid_conflict")).alias("resolved"), F.col("b.lat").alias("lat"), F.col("b.lng").alias("lng"))
+    best = m.groupBy("request_id").agg(F.count("*").alias("candidates"), F.max(F.col("map_grid").isNotNull() & ~F.col("any_fits")).alias("grid_conflict"), F.max("score").alias("score"), F.min(F.struct("candidate_index", "lat", "lng")).alias("b"))
+    exact = F.col("score").isNull()
+    note = F.when(~exact, "suggested street names").when(F.col("grid_conflict"), "no junction of these streets in the map grid").when(F.col("candidates") > 1, F.concat(F.col("candidates").cast("string"), F.lit(" junctions of these streets")))
+    return best.select("request_id", "candidates", "grid_conflict", (exact & (F.col("candidates") == 1) & ~F.col("grid_conflict")).alias("resolved"), F.col("b.lat").alias("lat"), F.col("b.lng").alias("lng"), F.coalesce("score", F.lit(100)).alias("match_score"), note.alias("note"))
+
+
+def intersection_step(found: DataFrame) -> DataFrame:
+    """The cascade's intersection step from ``intersection_lookup``: resolved requests answer with confidence 100, ambiguous ones with their score and note."""
+    return _answer(found.withColumn("why", F.col("note")), "intersection", F.when(F.col("resolved"), 100).otherwise(F.col("match_score")), F.col("why"))
 
 
 def cascade(requests: DataFrame, *steps: DataFrame) -> DataFrame:
@@ -109,12 +144,24 @@ def cascade(requests: DataFrame, *steps: DataFrame) -> DataFrame:
 
 
 def parcel_lookup(queries: DataFrame, parcels: DataFrame) -> DataFrame:
-    """JN-11: (query, parcel_id, match): equality of the cleaned, raw or normal address or the id, in that order, then lowest id."""
+    """JN-11: (query, parcel_id, match): equality of the cleaned, raw or normal address or the id, in that order, then an address that
+    contains the cleaned query; lowest id.
+
+    Only queries without an equal parcel go to the last step; there a query meets the addresses that hold its
+    rarest three-letter piece, its rarest by the number of addresses.
+    """
     p = parcels.select("parcel_id", "gis_id", F.upper("address").alias("raw"), lookup_address(F.col("address")).alias("clean"), F.lower("address").alias("normal"))
-    q = queries.select("query", F.upper("query").alias("raw"), lookup_address(F.col("query")).alias("clean"), F.lower("query").alias("normal"), F.col("query").alias("gis_id"))
+    q = queries.select("query").distinct().select("query", F.upper("query").alias("raw"), lookup_address(F.col("query")).alias("clean"), F.lower("query").alias("normal"), F.col("query").alias("gis_id"))
     hits = None
     for rank, col in enumerate(("clean", "raw", "normal", "gis_id")):
         one = q.select("query", col).where(F.col(col) != "").join(p.select("parcel_id", col), col).select("query", F.lit(rank).alias("rank"), F.lit(col).alias("match"), "parcel_id")
         hits = one if hits is None else hits.unionByName(one)
     best = hits.groupBy("query").agg(F.min(F.struct("rank", "parcel_id", "match")).alias("b"))
-    return queries.select("query").join(best, "query", "left").select("query", F.col("b.parcel_id").alias("parcel_id"), F.col("b.match").alias("match"))
+    pieces_of = lambda c, sizes: F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, k)))))
+    held = p.where("raw is not null").select("parcel_id", "raw", F.explode(pieces_of("raw", F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("g"))
+    rest = q.join(best, "query", "left_anti").where("clean != ''").select("query", F.upper("clean").alias("part"))
+    pieces = rest.select("query", "part", F.explode(pieces_of("part", F.array(F.least(F.length("part"), F.lit(3))))).alias("g")).join(held.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
+    rare = pieces.groupBy("query", "part").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    found = rare.join(held, "g").where(F.contains("raw", "part")).groupBy("query").agg(F.min("parcel_id").alias("parcel_id")).select("query", "parcel_id", F.lit("contains").alias("match"))
+    got = best.select("query", "b.parcel_id", "b.match").unionByName(found)
+    return queries.select("query").join(got, "query", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sirenflow.functions import geo
 from sirenflow.functions.text import civic_address
 from sirenflow.operators.spatial import with_zone
+from sirenflow.operators.streets import touched_zones
 
 CITY = (49.20, 49.39, -122.92, -122.70)  # south, north, west, east; fixed values
 FOUND, SUGGESTED = 25, 6
@@ -28,6 +29,20 @@ def in_city(points: DataFrame, boundary: DataFrame, out: str = "in_city") -> Dat
     return got.withColumn(out, F.col("__b").isNotNull()).drop("__b")
 
 
+def lines_in_city(lines: DataFrame, boundary: DataFrame, key: str, out: str = "in_city") -> DataFrame:
+    """SPJ-04 for geometries: (key, in_city): whether any point of a line meets the boundary's area, its outline included.
+
+    Lines: key, points (array of x, y; one point is a place). Null points are left out; a line without points is outside.
+    Without a boundary row, FLT-02's box has to hold one of its points.
+    """
+    one = lines.select(key, F.explode_outer(F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull())).alias("p"))
+    if boundary.isEmpty():
+        hit = one.select(key, F.col("p.y").alias("lat"), F.col("p.x").alias("lng")).withColumn("hit", in_box(CITY))
+        return hit.groupBy(key).agg(F.max("hit").alias(out))
+    met = touched_zones(lines.select(F.col(key).alias("closure_id"), "points"), boundary.select(F.col("name").alias("map_name"), "rings"))
+    return lines.select(key).distinct().join(met.select(F.col("closure_id").alias(key), F.lit(True).alias("hit")).distinct(), key, "left").select(key, F.coalesce("hit", F.lit(False)).alias(out))
+
+
 def address_search(parcels: DataFrame, text: str) -> DataFrame:
     """FLT-03: addresses that contain the text in any case, by address; 25 is the feature."""
     return parcels.where(F.contains(F.lower("address"), F.lit(text.lower()))).orderBy("address", "parcel_id").limit(FOUND)

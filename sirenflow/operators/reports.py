@@ -14,6 +14,7 @@ COMPARED = (
 FIRST_DUE = {"E1": "1", "E2": "2", "E3": "3", "Q5": "3", "E4": "4"}
 HALL_ORDER = ("1", "2", "3", "4", "OTHER")
 TOP_PEAKS, BUCKET_HZ = 10, 5
+OPERATIONAL = 0.20
 
 
 def comparable(c: Column) -> Column:
@@ -132,3 +133,55 @@ def require_suffixes(roads: DataFrame, vocabulary: DataFrame) -> None:
 def repeated_keys(t: DataFrame, *keys: str) -> DataFrame:
     """QC-02: keys that more than one row has, with the number of rows."""
     return t.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def row_counts(tables: dict[str, DataFrame], bands: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """QC-02: (table, n, low, high, ok) of each table: whether its row count is in its band; a high of null has no upper end."""
+    out = None
+    for name, t in tables.items():
+        low, high = bands.get(name, (0, None))
+        ok = (F.col("n") >= low) & (F.col("n") <= high if high is not None else F.lit(True))
+        one = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n", F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"), ok.alias("ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rating(rate: Column) -> Column:
+    """AGG-09: perfect at 0, operational below 0.20, else failed; null stays null."""
+    return F.when(rate == 0, "perfect").when(rate < OPERATIONAL, "operational").when(rate.isNotNull(), "failed")
+
+
+def change(old: Column, new: Column) -> Column:
+    """AGG-09: improved, regression or unchanged against the old rate; null if either is."""
+    return F.when(new < old, "improved").when(new > old, "regression").when(new == old, "unchanged")
+
+
+def rating_distribution(scores: DataFrame, *keys: str) -> DataFrame:
+    """AGG-09: per group: n, the share in percent of each rating, and counts of improved, regression and unchanged rows.
+
+    Scores: the keys, old_rate, new_rate.
+    """
+    s = scores.withColumns({"__r": rating(F.col("new_rate")), "__c": change(F.col("old_rate"), F.col("new_rate"))})
+    share = lambda r: F.round(F.count_if(F.col("__r") == r) * 100.0 / F.count("*"), 4).alias(r)
+    return s.groupBy(*keys).agg(F.count("*").alias("n"), *[share(r) for r in ("perfect", "operational", "failed")], *[F.count_if(F.col("__c") == c).alias(c) for c in ("improved", "regression", "unchanged")])
+
+
+def per_hall(zones: DataFrame) -> DataFrame:
+    """AGG-03: zones per hall, null last."""
+    return zones.groupBy("hall_id").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("hall_id"))
+
+
+def per_category(vocabulary: DataFrame) -> DataFrame:
+    """AGG-03: active terms per vocabulary category."""
+    return vocabulary.where("is_active").groupBy("category").agg(F.count("*").alias("n"))
+
+
+def same_units(a: Column, b: Column) -> Column:
+    """SET-02: whether two unit lists are the same set; null is the empty list."""
+    units = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    return units(a) == units(b)
+
+
+def shared_units(a: Column, b: Column) -> Column:
+    """SET-02: the units of both lists, in the first one's order; null is the empty list."""
+    return F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))

@@ -9,30 +9,36 @@ from sirenflow.functions import geo
 
 ZONE_CELL = 0.01
 NEAR_CELL = 0.013  # above 800 m in both directions at the latitudes served (below 55 degrees)
-SLIVER_M = 5.0
+NEAR_LAT, NEAR_LNG = 0.0075, 0.013  # the same with cells no higher than need be
+SLIVER_M, SNAP_M = 5.0, 2.0
+CITY_M, PRIVATE_M = 800.0, 400.0
 OUT_OF_USE = ("ABANDONED", "OUT_OF_SERVICE", "INACTIVE")
 
 
 def zone_cells(zones: DataFrame, name: str = "map_name", rings: str = "rings", pad_m: float = SLIVER_M) -> DataFrame:
-    """(map_name, edges, cx, cy): each zone's edges once in every cell its padded box touches."""
+    """(map_name, edges, cx, cy): for every cell that a zone's padded box touches, the zone's edges at the height of the cell.
+
+    Crossing parity, edge and distance tests of a cell's points look at no other edges, so a long outline is not copied
+    whole into each cell.
+    """
     z = zones.select(F.col(name).alias("map_name"), geo.ring_edges(F.col(rings)).alias("edges"))
     pad = pad_m / geo.DEGREE_M * 2
     lo = lambda k: F.array_min(F.transform("edges", lambda e: F.least(e[f"{k}1"], e[f"{k}2"]))) - pad
     hi = lambda k: F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{k}1"], e[f"{k}2"]))) + pad
-    span = lambda k: F.explode(F.sequence(geo.cell(lo(k), ZONE_CELL), geo.cell(hi(k), ZONE_CELL)))
-    return z.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    z = z.withColumns({"xs": F.sequence(geo.cell(lo("x"), ZONE_CELL), geo.cell(hi("x"), ZONE_CELL)), "cy": F.explode(F.sequence(geo.cell(lo("y"), ZONE_CELL), geo.cell(hi("y"), ZONE_CELL)))})
+    south, north = F.col("cy") * ZONE_CELL - pad, (F.col("cy") + 1) * ZONE_CELL + pad
+    level = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
+    return z.select("map_name", level.alias("edges"), F.explode("xs").alias("cx"), "cy").where(F.size("edges") > 0)
 
 
 def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str = "lng", out: str = "zone_id", strict: bool = False) -> DataFrame:
     """SPJ-01: the zone of each point; with ``strict`` SPJ-02, 03 and 06, where a boundary point has none.
 
     Boundary-inclusive; of several zones the lowest numeric name (other names last); else the nearest zone
-    within 5 m; else null. Each point meets only the zones whose box touches its cell; partial minima are
-    taken per point. Points with a null coordinate get null.
+    within 5 m; else null. Each different place is looked up once and meets only the zones whose box touches its cell;
+    partial minima are taken per place. Points with a null coordinate get null; a column ``out`` is replaced.
     """
-    cols = points.columns
-    p = points.withColumn("__pid", F.monotonically_increasing_id())
-    keyed = p.select("__pid", F.col(lat).alias("__y"), F.col(lng).alias("__x")).where("__x is not null and __y is not null")
+    keyed = points.select(F.col(lat).alias("__y"), F.col(lng).alias("__x")).where("__x is not null and __y is not null").distinct()
     keyed = keyed.withColumns({"cx": geo.cell(F.col("__x"), ZONE_CELL), "cy": geo.cell(F.col("__y"), ZONE_CELL)})
     x, y = F.col("__x"), F.col("__y")
     met = keyed.join(zone_cells(zones), ["cx", "cy"])
@@ -41,23 +47,36 @@ def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str =
     away = F.when(hit, F.lit(-1.0)).otherwise(F.lit(None).cast("double") if strict else geo.edge_distance_m(x, y, F.col("edges")))
     number = F.col("map_name").try_cast("int")
     ranked = met.withColumn("__d", away).where(F.col("__d") <= SLIVER_M)
-    best = ranked.groupBy("__pid").agg(F.min(F.struct("__d", number.isNull().alias("word"), number.alias("number"), F.col("map_name").alias("name"))).alias("__z"))
-    return p.join(best, "__pid", "left").select(*[F.col(c) for c in cols], F.col("__z.name").alias(out))
+    best = ranked.groupBy("__x", "__y").agg(F.min(F.struct("__d", number.isNull().alias("word"), number.alias("number"), F.col("map_name").alias("name"))).alias("__z"))
+    own = [F.col(c) for c in points.columns if c != out]
+    return points.join(best, (points[lng] == best["__x"]) & (points[lat] == best["__y"]), "left").select(*own, F.col("__z.name").alias(out))
+
+
+def _around(things: DataFrame, thing: str, lat: str, lng: str, *more: str) -> DataFrame:
+    """Things in the nine cells around theirs."""
+    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    h = things.select(F.col(thing).alias("thing"), F.col(lat).alias("hy"), F.col(lng).alias("hx"), *more).where("hy is not null and hx is not null")
+    h = h.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    return h.withColumns({"cx": geo.cell(F.col("hx"), NEAR_LNG) + F.col("dx"), "cy": geo.cell(F.col("hy"), NEAR_LAT) + F.col("dy")}).drop("dx", "dy")
+
+
+def _met(targets: DataFrame, key: str, around: DataFrame, radius_m: float, lat: str, lng: str) -> DataFrame:
+    """Targets and things of the nine cells around whose box of the radius holds the target, with their distance."""
+    if radius_m > min(NEAR_LAT, NEAR_LNG * 0.57) * geo.DEGREE_M:
+        raise ValueError("the radius must fit a cell")
+    t = targets.select(F.col(key).alias("__k"), F.col(lat).alias("ty"), F.col(lng).alias("tx")).where("ty is not null and tx is not null")
+    t = t.withColumns({"cx": geo.cell(F.col("tx"), NEAR_LNG), "cy": geo.cell(F.col("ty"), NEAR_LAT), "reach": F.lit(radius_m / geo.DEGREE_M * 1.001) / F.cos(F.radians("ty"))})
+    box = (F.abs(F.col("ty") - F.col("hy")) <= radius_m / geo.DEGREE_M * 1.001) & (F.abs(F.col("tx") - F.col("hx")) <= F.col("reach") * 1.01)
+    return t.join(around, ["cx", "cy"]).where(box).withColumn("dist_m", geo.haversine_m(F.col("ty"), F.col("tx"), F.col("hy"), F.col("hx"))).where(F.col("dist_m") <= radius_m)
 
 
 def nearest_within(targets: DataFrame, key: str, things: DataFrame, thing: str, radius_m: float, n: int = 1, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """(key, thing, dist_m, rank): the ``n`` nearest things within the radius of each target, ties by id.
 
-    Things stay in one cell; targets visit the nine cells around theirs, so ``radius_m`` must be at most the cell.
+    Targets stay in one cell; things, the fewer, enter the nine cells around theirs, so ``radius_m`` must be at most the cell.
+    A box of the radius is tested before the distance.
     """
-    if radius_m > NEAR_CELL * geo.DEGREE_M * 0.57:
-        raise ValueError("the radius must fit a cell")
-    t = targets.select(F.col(key).alias("__k"), F.col(lat).alias("ty"), F.col(lng).alias("tx")).where("ty is not null and tx is not null")
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    t = t.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    t = t.withColumns({"cx": geo.cell(F.col("tx"), NEAR_CELL) + F.col("dx"), "cy": geo.cell(F.col("ty"), NEAR_CELL) + F.col("dy")})
-    h = things.select(F.col(thing).alias("thing"), F.col(lat).alias("hy"), F.col(lng).alias("hx")).withColumns({"cx": geo.cell(F.col("hx"), NEAR_CELL), "cy": geo.cell(F.col("hy"), NEAR_CELL)})
-    near = t.join(h, ["cx", "cy"]).withColumn("dist_m", geo.haversine_m(F.col("ty"), F.col("tx"), F.col("hy"), F.col("hx"))).where(F.col("dist_m") <= radius_m)
+    near = _met(targets, key, _around(things, thing, lat, lng), radius_m, lat, lng)
     if n == 1:  # a partial minimum, no sort
         got = near.groupBy("__k").agg(F.min(F.struct("dist_m", "thing")).alias("b")).select("__k", F.col("b.thing").alias("thing"), F.col("b.dist_m").alias("dist_m"), F.lit(1).alias("rank"))
     else:
@@ -67,32 +86,88 @@ def nearest_within(targets: DataFrame, key: str, things: DataFrame, thing: str,
 
 
 def nearest_hydrants(targets: DataFrame, hydrants: DataFrame, key: str = "dispatch_id") -> DataFrame:
-    """SPJ-12: nearest usable city hydrant within 800 m and nearest private one (no flow class) within 400 m, nulls where none."""
-    usable = hydrants.where(~F.coalesce(F.upper("status"), F.lit("")).isin(*OUT_OF_USE))
-    city = nearest_within(targets, key, usable.where("flow_class is not null"), "object_id", 800).select(key, F.col("object_id").alias("city_id"), F.col("dist_m").alias("city_m"))
-    private = nearest_within(targets, key, usable.where("flow_class is null"), "object_id", 400).select(key, F.col("object_id").alias("private_id"), F.col("dist_m").alias("private_m"))
-    return targets.select(key).join(city, key, "left").join(private, key, "left")
+    """SPJ-12: nearest usable city hydrant within 800 m and nearest private one (no flow class) within 400 m, nulls where none.
+
+    One join serves both, and one aggregate takes both minima.
+    """
+    usable = hydrants.where(~F.coalesce(F.upper("status"), F.lit("")).isin(*OUT_OF_USE)).withColumn("private", F.col("flow_class").isNull())
+    near = _met(targets, key, _around(usable, "object_id", "lat", "lng", "private"), CITY_M, "lat", "lng")
+    first = lambda ok: F.min(F.when(ok, F.struct("dist_m", "thing")))
+    got = near.groupBy("__k").agg(first(~F.col("private")).alias("c"), first(F.col("private") & (F.col("dist_m") <= PRIVATE_M)).alias("p"))
+    got = got.select(F.col("__k").alias(key), F.col("c.thing").alias("city_id"), F.col("c.dist_m").alias("city_m"), F.col("p.thing").alias("private_id"), F.col("p.dist_m").alias("private_m"))
+    return targets.select(key).join(got, key, "left")
+
+
+def in_grid(points: DataFrame, zones: DataFrame, grid: str = "map_grid", lat: str = "lat", lng: str = "lng", out: str = "in_grid") -> DataFrame:
+    """SPJ-03: whether each point lies strictly inside the zone it names ("GRID 7" and "ZONE 7" are 7); unknown names and null places are not."""
+    z = zones.select(F.upper(F.trim("map_name")).alias("__g"), geo.ring_edges(F.col("rings")).alias("__edges"))
+    p = points.withColumn("__g", F.upper(F.trim(F.regexp_replace(F.trim(grid), r"(?i)^(?:GRID|ZONE)\s*", ""))))
+    x, y, e = F.col(lng), F.col(lat), F.col("__edges")
+    return p.join(z, "__g", "left").withColumn(out, F.coalesce(geo.inside(x, y, e) & ~geo.on_edge(x, y, e), F.lit(False))).drop("__g", "__edges")
+
+
+def _segment_pairs(segments: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """Pairs of segments of two different streets that share a cell, each segment padded; a pair may come several times."""
+    s = segments.select("canon", "x1", "y1", "x2", "y2").dropna()
+    span = lambda k: F.explode(F.sequence(geo.cell(F.least(f"{k}1", f"{k}2") - pad, size), geo.cell(F.greatest(f"{k}1", f"{k}2") + pad, size)))
+    s = s.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    a, b = s.alias("a"), s.alias("b")
+    m = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.canon") < F.col("b.canon")))
+    return m.select(F.col("a.canon").alias("canon_a"), F.col("b.canon").alias("canon_b"), *[F.col(f"{t}.{k}{n}").alias(f"{t}{k}{n}") for t in "ab" for k in "xy" for n in "12"])
 
 
 def line_crossings(segments: DataFrame, size: float = 0.01) -> DataFrame:
     """SPJ-09: (canon_a, canon_b, x, y): points where segments of two different streets cross, each once.
 
     ``segments``: canon, x1, y1, x2, y2. Segments enter every cell their box touches; a pair that meets in several
-    cells gives one point. Parallel segments give none here; shared stretches are the snap rule's work.
+    cells gives one point. Parallel segments give none here; see ``street_nodes``.
     """
-    s = segments.select("canon", "x1", "y1", "x2", "y2")
-    s = s.withColumn("cx", F.explode(F.sequence(geo.cell(F.least("x1", "x2"), size), geo.cell(F.greatest("x1", "x2"), size))))
-    s = s.withColumn("cy", F.explode(F.sequence(geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size))))
-    a, b = s.alias("a"), s.alias("b")
-    m = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.canon") < F.col("b.canon")))
-    ax, ay, bx, by = (F.col("a.x2") - F.col("a.x1")), (F.col("a.y2") - F.col("a.y1")), (F.col("b.x2") - F.col("b.x1")), (F.col("b.y2") - F.col("b.y1"))
-    det = ax * by - ay * bx
-    ox, oy = F.col("b.x1") - F.col("a.x1"), F.col("b.y1") - F.col("a.y1")
-    m = m.where(F.abs(det) > 1e-18).select(F.col("a.canon").alias("canon_a"), F.col("b.canon").alias("canon_b"), F.col("a.x1").alias("x0"), F.col("a.y1").alias("y0"), ax.alias("ax"), ay.alias("ay"), F.try_divide(ox * by - oy * bx, det).alias("t"), F.try_divide(ox * ay - oy * ax, det).alias("u"))
+    ax, ay, bx, by = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"), F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
+    det, ox, oy = ax * by - ay * bx, F.col("bx1") - F.col("ax1"), F.col("by1") - F.col("ay1")
+    m = _segment_pairs(segments, size).where(F.abs(det) > 1e-18).select("canon_a", "canon_b", F.col("ax1").alias("x0"), F.col("ay1").alias("y0"), ax.alias("ax"), ay.alias("ay"), F.try_divide(ox * by - oy * bx, det).alias("t"), F.try_divide(ox * ay - oy * ax, det).alias("u"))
     hit = m.where(F.col("t").between(-1e-9, 1 + 1e-9) & F.col("u").between(-1e-9, 1 + 1e-9))
     return hit.select("canon_a", "canon_b", F.round(F.col("x0") + F.col("t") * F.col("ax"), 6).alias("x"), F.round(F.col("y0") + F.col("t") * F.col("ay"), 6).alias("y")).distinct()
 
 
+def shared_stretches(segments: DataFrame, size: float = 0.01) -> DataFrame:
+    """SPJ-09: (canon_a, canon_b, x, y): the middle of each stretch that collinear segments of two streets share (a common end is one too)."""
+    ax, ay = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1")
+    n = ax * ax + ay * ay
+    on = lambda i: F.try_divide((F.col(f"bx{i}") - F.col("ax1")) * ax + (F.col(f"by{i}") - F.col("ay1")) * ay, n)
+    off = lambda i: F.abs((F.col(f"bx{i}") - F.col("ax1")) * ay - (F.col(f"by{i}") - F.col("ay1")) * ax) <= geo.EDGE * F.sqrt(n)
+    m = _segment_pairs(segments, size).where((n > 0) & off(1) & off(2))
+    m = m.withColumns({"lo": F.greatest(F.lit(0.0), F.least(on(1), on(2))), "hi": F.least(F.lit(1.0), F.greatest(on(1), on(2)))}).where(F.col("hi") - F.col("lo") >= -1e-9)
+    t = (F.col("lo") + F.col("hi")) / 2
+    return m.select("canon_a", "canon_b", F.round(F.col("ax1") + t * ax, 6).alias("x"), F.round(F.col("ay1") + t * ay, 6).alias("y")).distinct()
+
+
+def endpoint_snaps(segments: DataFrame, met: DataFrame, size: float = 0.01, snap_m: float = SNAP_M) -> DataFrame:
+    """SPJ-09: (canon_a, canon_b, x, y): for streets that come within ``snap_m`` of each other and do not meet (``met``: canon_a, canon_b), the middle of their shortest link.
+
+    Segments that do not cross are closest at an end of one of them.
+    """
+    pad = snap_m / geo.DEGREE_M * 2
+    ends = []
+    for p, q in (("a", "b"), ("b", "a")):
+        k = F.cos(F.radians(F.col(f"{p}y1")))
+        dx, dy = (F.col(f"{q}x2") - F.col(f"{q}x1")) * k, F.col(f"{q}y2") - F.col(f"{q}y1")
+        n = dx * dx + dy * dy
+        for i in "12":
+            px, py = F.col(f"{p}x{i}"), F.col(f"{p}y{i}")
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - F.col(f"{q}x1")) * k * dx + (py - F.col(f"{q}y1")) * dy, n), F.lit(0.0))))
+            fx, fy = F.col(f"{q}x1") + t * (F.col(f"{q}x2") - F.col(f"{q}x1")), F.col(f"{q}y1") + t * (F.col(f"{q}y2") - F.col(f"{q}y1"))
+            ends.append(F.struct((F.sqrt(F.pow((px - fx) * k, 2) + F.pow(py - fy, 2)) * geo.DEGREE_M).alias("m"), ((px + fx) / 2).alias("x"), ((py + fy) / 2).alias("y")))
+    m = _segment_pairs(segments, size, pad).select("canon_a", "canon_b", F.array_min(F.array(*ends)).alias("e")).where(F.col("e.m") <= snap_m)
+    best = m.groupBy("canon_a", "canon_b").agg(F.min("e").alias("e")).join(met.select("canon_a", "canon_b").distinct(), ["canon_a", "canon_b"], "left_anti")
+    return best.select("canon_a", "canon_b", F.round("e.x", 6).alias("x"), F.round("e.y", 6).alias("y"))
+
+
+def street_nodes(segments: DataFrame, size: float = 0.01) -> DataFrame:
+    """SPJ-09 with SET-04: crossings, middles of shared stretches and endpoint snaps of all pairs of streets, each point once."""
+    meets = line_crossings(segments, size).unionByName(shared_stretches(segments, size)).distinct()
+    return meets.unionByName(endpoint_snaps(segments, meets, size))
+
+
 def number_candidates(nodes: DataFrame) -> DataFrame:
     """WIN-01: candidate_index from 0 per street pair, by (x, y)."""
     from pyspark.sql import Window

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenflow.functions import geo
+from sirenflow.operators.lineage import cut
+from sirenflow.operators.junction_lookup import with_canon
 from sirenflow.operators.spatial import NEAR_CELL, ZONE_CELL, with_zone, zone_cells
 
 REACH = (0.005, 0.03, 0.25)  # degrees; each next one is searched only for points that found nothing
@@ -21,14 +23,6 @@ def _edge(*cols: str) -> Column:
     return F.array(F.struct(*[F.col(c).alias(n) for c, n in zip(cols, SEGMENT)]))
 
 
-def _place_on(x: Column, y: Column) -> Column:
-    """Fraction of the segment x1..y2 closest to the point, on a local plane."""
-    k = F.cos(F.radians(y))
-    dx, dy = (F.col("x2") - F.col("x1")) * k, F.col("y2") - F.col("y1")
-    n = dx * dx + dy * dy
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((x - F.col("x1")) * k * dx + (y - F.col("y1")) * dy, n)))).otherwise(0.0)
-
-
 def _in_cells(s: DataFrame, size: float) -> DataFrame:
     """Segments once in every cell they pass: cells of their box whose centre is within half a diagonal of them."""
     span = lambda k: F.explode(F.sequence(geo.cell(F.least(f"{k}1", f"{k}2"), size), geo.cell(F.greatest(f"{k}1", f"{k}2"), size)))
@@ -39,41 +33,49 @@ def _in_cells(s: DataFrame, size: float) -> DataFrame:
     return boxed.where(F.pow(ax - t * dx, 2) + F.pow(ay - t * dy, 2) <= 0.5001 * size * size)
 
 
-def _closest(met: DataFrame) -> DataFrame:
+def _near(met: DataFrame) -> DataFrame:
+    """``met`` (px, py, x1..y2) with t, the closest place on the segment, and dist_m, in plain columns of a local plane."""
+    k = F.cos(F.radians("py"))
+    m = met.withColumns({"__dx": (F.col("x2") - F.col("x1")) * k, "__dy": F.col("y2") - F.col("y1"), "__ax": (F.col("x1") - F.col("px")) * k, "__ay": F.col("y1") - F.col("py")})
+    n = F.col("__dx") * F.col("__dx") + F.col("__dy") * F.col("__dy")
+    m = m.withColumn("t", F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(F.col("__ax") * F.col("__dx") + F.col("__ay") * F.col("__dy")) / n))).otherwise(0.0))
+    east, north = F.col("__ax") + F.col("t") * F.col("__dx"), F.col("__ay") + F.col("t") * F.col("__dy")
+    return m.withColumn("dist_m", F.sqrt(east * east + north * north) * geo.DEGREE_M).drop("__dx", "__dy", "__ax", "__ay")
+
+
+def _closest(near: DataFrame) -> DataFrame:
     """(__k, road_id, dist_m, front_lat, front_lng): the nearest segment per point; partial minima, no sort.
 
     Distances are compared in micrometres, so that a point on a crossing goes to the lowest road id whatever the rounding noise.
     """
-    x, y = F.col("px"), F.col("py")
-    t = _place_on(x, y)
-    at = met.select("__k", "road_id", F.round(geo.edge_distance_m(x, y, _edge(*SEGMENT)), 6).alias("dist_m"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("front_lat"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("front_lng"))
-    return at.groupBy("__k").agg(F.min(F.struct("dist_m", "road_id", "front_lat", "front_lng")).alias("b")).select("__k", "b.*")
+    at = near.select("__k", F.struct(F.round("dist_m", 6).alias("dist_m"), "road_id", (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("front_lat"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("front_lng")).alias("b"))
+    return at.groupBy("__k").agg(F.min("b").alias("b")).select("__k", "b.*")
 
 
 def nearest_road(points: DataFrame, key: str, segments: DataFrame, reach: tuple[float, ...] = REACH) -> DataFrame:
     """SPJ-07: (key, road_id, dist_m, front_lat, front_lng): the nearest point of the nearest road segment.
 
-    Points meet only segments in the nine cells around them; those that found nothing within a cell's width go on with
-    wider cells. Points with a null coordinate, or farther than the widest reach, give no row.
+    A point stays in its cell; segments enter the cells they pass and the ones around. Points that found nothing within a
+    cell's width go on with wider cells. Points with a null coordinate, or farther than the widest reach, give no row.
     """
-    p = points.select(F.col(key).alias("__k"), F.col("lng").alias("px"), F.col("lat").alias("py")).where("px is not null and py is not null")
+    p = cut(points.select(F.col(key).alias("__k"), F.col("lng").alias("px"), F.col("lat").alias("py")).where("px is not null and py is not null"))
     s, out, around = segments.select("road_id", *SEGMENT).dropna(), None, F.array(*[F.lit(d) for d in (-1, 0, 1)])
     for size in reach:
-        near = p.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        near = near.withColumns({"cx": geo.cell(F.col("px"), size) + F.col("dx"), "cy": geo.cell(F.col("py"), size) + F.col("dy"), "limit": F.lit(size * geo.DEGREE_M) * F.cos(F.radians("py"))})
-        met = near.join(_in_cells(s, size), ["cx", "cy"])
-        got = _closest(met.where(geo.edge_distance_m(F.col("px"), F.col("py"), _edge(*SEGMENT)) <= F.col("limit")))
+        wide = _in_cells(s, size).withColumn("__i", F.explode(around)).withColumn("__j", F.explode(around))
+        wide = wide.select("road_id", *SEGMENT, (F.col("cx") + F.col("__i")).alias("cx"), (F.col("cy") + F.col("__j")).alias("cy")).distinct()
+        met = p.withColumns({"cx": geo.cell(F.col("px"), size), "cy": geo.cell(F.col("py"), size)}).join(wide, ["cx", "cy"])
+        got = cut(_closest(_near(met).where(F.col("dist_m") <= size * geo.DEGREE_M * F.cos(F.radians("py")))))
         out = got if out is None else out.unionByName(got)
-        p = p.join(got, "__k", "left").where("road_id is null").select("__k", "px", "py")  # not an anti join: the planner reuses the shuffle of got
-        if points.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            p = p.checkpoint()  # the next round would search this one's cells again
+        p = cut(p.join(got.select("__k"), "__k", "left_anti"))
+        if p.isEmpty():
+            break
     return out.withColumnRenamed("__k", key)
 
 
 def own_street_front(parcels: DataFrame, segments: DataFrame) -> DataFrame:
     """SPJ-08: (parcel_id, road_id, dist_m, front_lat, front_lng) on the parcel's own street, street and type equal to the road's name."""
     p = parcels.select(F.col("parcel_id").alias("__k"), F.upper(F.trim(F.concat_ws(" ", "street", "street_type"))).alias("name"), F.col("lng").alias("px"), F.col("lat").alias("py")).where("px is not null and py is not null")
-    return _closest(p.join(segments.select(F.upper(F.trim("fullname")).alias("name"), "road_id", *SEGMENT), "name")).withColumnRenamed("__k", "parcel_id")
+    return _closest(_near(p.join(segments.select(F.upper(F.trim("fullname")).alias("name"), "road_id", *SEGMENT).dropna(), "name"))).withColumnRenamed("__k", "parcel_id")
 
 
 def with_front(parcels: DataFrame, fronts: DataFrame) -> DataFrame:
@@ -162,18 +164,30 @@ def self_paired(requests: DataFrame, parts: Column) -> DataFrame:
     return requests.where(same & (F.size(parts) == 2)).withColumn("street", F.upper(F.trim(parts[0])))
 
 
+def line_segments(lines: DataFrame) -> DataFrame:
+    """(closure_id, x1, y1, x2, y2) of lines (closure_id, points); one point gives a segment without length; null points are left out."""
+    c = lines.select("closure_id", F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("p")).where(F.size("p") > 0)
+    pair = lambda i: F.struct(*[F.get("p", k)[v].alias(f"{v}{n}") for n, k in (("1", i), ("2", F.least(i + 1, F.size("p") - 1))) for v in "xy"])
+    return c.select("closure_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("p") - 2, F.lit(0))), pair)).alias("s")).select("closure_id", "s.*")
+
+
+def touched_zones(lines: DataFrame, zones: DataFrame) -> DataFrame:
+    """(closure_id, map_name): the zones that each line (closure_id, points) meets, outline included."""
+    within = lambda x, y: geo.inside(x, y, F.col("edges")) | geo.on_edge(x, y, F.col("edges"))
+    # an end decides in its own cell only: a cell holds the edges of its height
+    here = lambda n: (geo.cell(F.col(f"x{n}"), ZONE_CELL) == F.col("cx")) & (geo.cell(F.col(f"y{n}"), ZONE_CELL) == F.col("cy")) & within(F.col(f"x{n}"), F.col(f"y{n}"))
+    meets = here(1) | here(2) | F.exists("edges", lambda e: _crossing(e).isNotNull())
+    return _in_cells(line_segments(lines), ZONE_CELL).join(zone_cells(zones), ["cx", "cy"]).where(meets).select("closure_id", "map_name").distinct()
+
+
 def closure_zones(closures: DataFrame, zones: DataFrame) -> DataFrame:
     """SPJ-05: (closure_id, zone_id, affected_zones, hall_id) of closures that touch a zone; others are dropped.
 
     Closures: closure_id, points (array of x, y; one point or a line). Affected zones are sorted by number, other names
     last; the zone is that of the line's length-weighted centroid, else the lowest touched one.
     """
-    c = closures.select("closure_id", F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("p")).where(F.size("p") > 0)
-    pair = lambda i: F.struct(*[F.get("p", k)[v].alias(f"{v}{n}") for n, k in (("1", i), ("2", F.least(i + 1, F.size("p") - 1))) for v in "xy"])
-    s = c.select("closure_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("p") - 2, F.lit(0))), pair)).alias("s")).select("closure_id", "s.*")
-    within = lambda x, y: geo.inside(x, y, F.col("edges")) | geo.on_edge(x, y, F.col("edges"))
-    meets = within(F.col("x1"), F.col("y1")) | within(F.col("x2"), F.col("y2")) | F.exists("edges", lambda e: _crossing(e).isNotNull())
-    touched = _in_cells(s, ZONE_CELL).join(zone_cells(zones), ["cx", "cy"]).where(meets).select("closure_id", "map_name").distinct()
+    s = line_segments(closures)
+    touched = touched_zones(closures, zones)
     number = F.coalesce(F.col("map_name").try_cast("int"), F.lit(10**9))
     affected = touched.groupBy("closure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), "map_name"))), lambda z: z["map_name"]).alias("affected_zones"))
     length = geo.haversine_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
@@ -228,3 +242,15 @@ def unreal_intersections(intersections: DataFrame, segments: DataFrame, limit_m:
         d = n.join(s, f"canon_{side}").groupBy("canon_a", "canon_b", "x", "y").agg(F.min(geo.edge_distance_m(F.col("x"), F.col("y"), _edge(*SEGMENT))).alias(f"{side}_m"))
         n = n.join(d, [c for c in n.columns if c in d.columns], "left")
     return n.where(f"a_m is null or b_m is null or a_m > {limit_m} or b_m > {limit_m}")
+
+
+def street_segments(roads: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """AGG-18: (canon, road_id, part, seq, x1, y1, x2, y2): the segments of all roads under their canonical street name.
+
+    Roads: road_id, roadname, roadtype, lines (array of parts, each an array of lng, lat). A street's geometry is its rows;
+    no union is built. Roads without a name are left out.
+    """
+    r = with_canon(roads, vocabulary).where("canon is not null").select("canon", "road_id", F.posexplode("lines").alias("part", "p"))
+    pair = lambda i: F.struct(F.get("p", i)["lng"].alias("x1"), F.get("p", i)["lat"].alias("y1"), F.get("p", i + 1)["lng"].alias("x2"), F.get("p", i + 1)["lat"].alias("y2"))
+    r = r.where(F.size("p") > 1).select("canon", "road_id", "part", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("p") - 2), pair)).alias("seq", "s"))
+    return r.select("canon", "road_id", "part", "seq", "s.*")

@@ -49,16 +49,20 @@ def with_building(targets: DataFrame, buildings: DataFrame) -> DataFrame:
     """CLN-25: targets whose address holds a known building's name, address or alias take its address, name and entrance.
 
     Targets: address, lat, lng and others; buildings: position, name, address, aliases, lat, lng, entrance_lat,
-    entrance_lng, the lowest position wins. Buildings are a bounded list: each distinct address looks through them as one
-    array. Others keep their values and a null building.
+    entrance_lng, the lowest position wins. Distinct addresses and the buildings' words meet by three letters, a word's
+    first, so neither list is gathered anywhere. Others keep their values and a null building.
     """
-    b = buildings.select("position", F.struct(F.array_append(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.upper(a)), F.upper("name")).alias("words"), F.upper("address").alias("upper"), "name", "address", F.coalesce("entrance_lat", "lat").alias("lat"), F.coalesce("entrance_lng", "lng").alias("lng")).alias("b"))
-    one = b.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "b"))), lambda x: x["b"]).alias("all"))
-    raw = F.upper(F.trim(F.coalesce("address", F.lit(""))))
-    holds = lambda x: F.exists(F.array_append(x["words"], x["upper"]), lambda w: F.contains(raw, w) & (w != ""))
-    t = targets.join(F.broadcast(one)).withColumn("_b", F.get(F.filter("all", holds), F.lit(0)))
-    keep = [F.coalesce(F.col("_b")[c], F.col(c)).alias(c) if c in ("address", "lat", "lng") else F.col(c) for c in targets.columns]
-    return t.select(*keep, F.col("_b.name").alias("building"))
+    b = buildings.select("position", "name", F.col("address").alias("b_address"), F.coalesce("entrance_lat", "lat").alias("b_lat"), F.coalesce("entrance_lng", "lng").alias("b_lng"),
+        F.explode(F.array_distinct(F.filter(F.transform(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name", "address")), lambda w: F.upper(w)), lambda w: w != ""))).alias("word"))
+    b = b.withColumn("g", F.substring("word", 1, 3))
+    raw = targets.select(F.col("address").alias("__a")).where("__a is not null").distinct().withColumn("raw", F.upper(F.trim("__a")))
+    pieces = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("raw"), F.lit(1))), lambda i: F.substr(F.col("raw"), i, k)))))
+    met = raw.withColumn("g", F.explode(pieces)).join(b, "g").where(F.contains("raw", "word"))
+    best = met.groupBy("__a").agg(F.min(F.struct("position", "name", "b_address", "b_lat", "b_lng")).alias("__b"))
+    t = targets.join(best, F.col("address") == F.col("__a"), "left")
+    new = {"address": "b_address", "lat": "b_lat", "lng": "b_lng"}
+    keep = [F.coalesce(F.col("__b")[new[c]], F.col(c)).alias(c) if c in new else F.col(c) for c in targets.columns]
+    return t.select(*keep, F.col("__b.name").alias("building"))
 
 
 def view_changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -37,14 +37,6 @@ def zone_for_point(spark: SparkSession, d: str) -> DataFrame:
     return spatial.with_zone(load(spark, d, "parcels"), zone_shapes(load(spark, d, "zones"))).select("parcel_id", "zone_id")
 
 
-@query(with_sql("zones", "hydrants") + f", q AS (SELECT object_id, {_ZONE_OF.replace('p.', 'h.')} AS zone_id FROM hydrants h) SELECT hall_id, count(*) AS hydrants, count(DISTINCT zone_id) AS zones FROM q LEFT JOIN zones ON zone_id = map_name GROUP BY hall_id")
-def hydrants_per_hall(spark: SparkSession, d: str) -> DataFrame:
-    """SPJ-06 and AGG-03: hydrants by zone, counted per hall."""
-    shapes = zone_shapes(load(spark, d, "zones"))
-    h = spatial.with_zone(load(spark, d, "hydrants"), shapes).join(shapes.select(F.col("map_name").alias("zone_id"), "hall_id"), "zone_id", "left")
-    return h.groupBy("hall_id").agg(F.count("*").alias("hydrants"), F.count_distinct("zone_id").alias("zones"))
-
-
 @query(
     with_sql("dispatches", "hydrants")
     + f""", t AS (SELECT dispatch_id, lat, lng FROM dispatches), n AS (
@@ -112,7 +104,7 @@ def unit_responses(spark: SparkSession, d: str) -> DataFrame:
     """JN-19 with CLN-20, no router."""
     rows = load(spark, d, "dispatches").withColumn("units", F.array("u1", "u2"))
     halls = spark.createDataFrame(HALLS, "hall_id string, lat double, lng double")
-    return dispatch.unit_responses(rows, halls).drop("crow_m", "distance_m").join(dispatch.unit_responses(rows, halls).select("dispatch_id", "unit", F.round("distance_m").cast("long").alias("distance_m")), ["dispatch_id", "unit"])
+    return dispatch.unit_responses(rows, halls).drop("crow_m").withColumn("distance_m", F.round("distance_m").cast("long"))
 
 
 @query(
@@ -205,21 +197,6 @@ def hydrant_diff(spark: SparkSession, d: str) -> DataFrame:
     return upsert.snapshot_diff(old, new, "object_id", ["status", "flow_class"])
 
 
-_FOLD = "arg_max({c}, (ts, seq)) FILTER ({c} IS NOT NULL) AS {c}"
-
-
-@query(
-    with_sql("changes")
-    + f""", g AS (SELECT dispatch_id, arg_max(op, (ts, seq)) AS op, {_FOLD.format(c="address")}, {_FOLD.format(c="incident_type")}, {_FOLD.format(c="confidence_score")} FROM changes GROUP BY 1)
-SELECT dispatch_id, address, incident_type, confidence_score FROM g WHERE op <> 'DELETE'"""
-)
-def dispatch_state(spark: SparkSession, d: str) -> DataFrame:
-    """STR-01 as one batch on an empty state."""
-    c = load(spark, d, "changes").select("op", "ts", "seq", F.struct("dispatch_id", *ch.FIELDS).alias("record"))
-    empty = spark.createDataFrame([], "dispatch_id string, address string, incident_type string, confidence_score double")
-    return ch.apply_changes(empty, c)
-
-
 @query(
     with_sql("readings")
     + """, l AS (SELECT device, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts)) > 3000000 THEN 1 WHEN lag(ts) OVER (PARTITION BY device ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM readings WHERE value >= 30),
@@ -231,12 +208,6 @@ def capture_sessions(spark: SparkSession, d: str) -> DataFrame:
     return ch.sessions(load(spark, d, "readings").withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("value", "rms")).withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-@query()
-def loud_readings(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-05; the rolling list of quiet rows is tested against brute force."""
-    return dispatch.loud_readings(load(spark, d, "readings").withColumnRenamed("value", "rms"))
-
-
 _XING = """, p AS (SELECT a.canon AS ca, b.canon AS cb, a.x1, a.y1, a.x2 - a.x1 AS ax, a.y2 - a.y1 AS ay, b.x2 - b.x1 AS bx, b.y2 - b.y1 AS by_, b.x1 - a.x1 AS ox, b.y1 - a.y1 AS oy FROM segments a JOIN segments b ON a.canon < b.canon),
 q AS (SELECT *, (ox * by_ - oy * bx) / (ax * by_ - ay * bx) AS t, (ox * ay - oy * ax) / (ax * by_ - ay * bx) AS u FROM p WHERE abs(ax * by_ - ay * bx) > 1e-18),
 n AS (SELECT DISTINCT ca AS canon_a, cb AS canon_b, round(x1 + t * ax, 6) AS x, round(y1 + t * ay, 6) AS y FROM q WHERE t BETWEEN -1e-9 AND 1 + 1e-9 AND u BETWEEN -1e-9 AND 1 + 1e-9)"""

@@ -26,9 +26,9 @@ def write_manifest(d: DataFrame, path: str) -> None:
     training_manifest(d).orderBy("file_name").write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_evaluation(metrics: DataFrame, path: str) -> None:
-    """SNK-06: adds evaluation rows to the history table."""
-    metrics.write.mode("append").parquet(path)
+def append_evaluation(metrics: DataFrame, path: str, run: str) -> None:
+    """SNK-06: adds the evaluation rows of one run to the history table, in the folder run=<name>; a retry replaces its own rows only."""
+    metrics.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
 def street_view_merge(parcels: DataFrame, overrides: DataFrame) -> DataFrame:

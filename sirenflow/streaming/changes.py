@@ -9,39 +9,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sirenflow.operators.dispatch import LOUD_FACTOR, LOUD_FLOOR, QUIET_BELOW, QUIET_ROWS, QUIET_SEED
 from sirenflow.operators.upsert import patch
 
 FIELDS = ["address", "incident_type", "confidence_score"]
 TTL_S, QUIET_S, CAP_S, SILENCE_RMS = 600, 3, 75, 30.0
+LOOK_S, FIRST_TICK_S, TICK_S, LOUD_OF, LOUD_NEED = 3.5, 10, 3, 5, 4
+APPARATUS = ("Chief Tone", "Engine Tone", "Rescue Tone")  # fixed values; a page for the station alone is none of them
 
 
 def latest_changes(changes: DataFrame, key: str = "dispatch_id") -> DataFrame:
-    """Changes folded to one row per key: op of the last one; each field from the last change that carries it."""
-    order = F.struct("ts", "seq")
-    rec = changes.select(F.col(f"record.{key}").alias(key), "op", order.alias("at"), *[F.col(f"record.{c}").alias(c) for c in FIELDS])
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in FIELDS]
-    return rec.groupBy(key).agg(F.max_by("op", "at").alias("op"), *last)
+    """Changes folded to one row per key: op of the last one; whether there was a delete; each field from the last change after
+    the last delete that carries it. Order is by (ts, seq)."""
+    rec = changes.select(F.col(f"record.{key}").alias(key), "op", F.struct("ts", "seq").alias("at"), *[F.col(f"record.{c}").alias(c) for c in FIELDS])
+    rec = rec.withColumn("gone", F.max(F.when(F.col("op") == "DELETE", F.col("at"))).over(Window.partitionBy(key)))
+    alive = F.col("gone").isNull() | (F.col("at") > F.col("gone"))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull() & alive, F.col("at"))).alias(c) for c in FIELDS]
+    return rec.groupBy(key).agg(F.max_by("op", "at").alias("op"), F.max(F.col("gone").isNotNull()).alias("deleted"), *last)
 
 
 def apply_changes(state: DataFrame, changes: DataFrame, key: str = "dispatch_id") -> DataFrame:
-    """STR-01: the state after a batch of changes: inserts, partial updates, deletes."""
+    """STR-01: the state after a batch of changes: inserts, partial updates, deletes. A key that comes back after a delete
+    starts anew, without values from before."""
     got = latest_changes(changes, key)
     named = got.where("op != 'DELETE'").withColumn("present", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in FIELDS])))
-    live = state.join(got.where("op = 'DELETE'"), key, "left_anti")
+    live = state.join(got.where("deleted"), key, "left_anti")
     return patch(live, named, key, FIELDS)
 
 
 def run_changes(stream: DataFrame, target: str, checkpoint: str, key: str = "dispatch_id"):
-    """STR-01 as a stream: one Parquet snapshot per batch under ``target``/v=<batch>; the batch number makes a retry harmless."""
+    """STR-01 as a stream: one Parquet snapshot per batch under ``target``/v=<batch>; the batch number makes a retry harmless.
+
+    Only batch 0 starts from nothing; a snapshot that cannot be read stops the stream. The snapshot before the last is removed.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         empty = spark.createDataFrame([], f"{key} string, address string, incident_type string, confidence_score double")
-        try:
-            state = spark.read.parquet(f"{target}/v={number - 1}") if number else empty
-        except Exception:
-            state = empty
+        state = spark.read.parquet(f"{target}/v={number - 1}") if number else empty
         apply_changes(state, batch, key).write.mode("overwrite").parquet(f"{target}/v={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -85,7 +93,7 @@ def run_correlation(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def sessions(readings: DataFrame) -> DataFrame:
-    """STR-03: (device, start, end): readings above 30 no more than 3 s apart, cut every 75 s from a session's start."""
+    """STR-03: (device, start, end, readings): readings above 30 no more than 3 s apart, cut every 75 s from a session's start."""
     w = Window.partitionBy("device").orderBy("ts")
     loud = readings.where(F.col("rms") >= SILENCE_RMS)
     new = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > QUIET_S * 1_000_000, F.lit(True))
@@ -93,3 +101,76 @@ def sessions(readings: DataFrame) -> DataFrame:
     begin = F.min(F.unix_micros("ts")).over(Window.partitionBy("device", "run"))
     s = s.withColumn("part", F.floor((F.unix_micros("ts") - begin) / (CAP_S * 1_000_000)))
     return s.groupBy("device", "run", "part").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("readings")).drop("run", "part")
+
+
+def with_ticks(captures: DataFrame) -> DataFrame:
+    """STR-03: captures (start, end) with ``ticks``, the times of the phase-1 checks: the first once 10 s are recorded, then every 3 s up to the end."""
+    first = F.unix_micros("start") + FIRST_TICK_S * 1_000_000
+    steps = F.when(first <= F.unix_micros("end"), F.sequence(first, F.unix_micros("end"), F.lit(TICK_S * 1_000_000)))
+    return captures.withColumn("ticks", F.coalesce(F.transform(steps, lambda t: F.timestamp_micros(t)), F.array().cast("array<timestamp>")))
+
+
+def capture_steps(rows: Iterator[tuple], state: dict | None) -> tuple[list[tuple], dict]:
+    """One device's readings (ts in microseconds, rms, tone) in order, from a state on: finished captures (start, end, ticks, reason), and the new state.
+
+    Listening: the loud rule of WIN-05; four loud readings of the last five start a look at the tone for 3.5 s. A page
+    for the station alone, or no known tone, clears the baseline and listens on. Else a capture runs until the readings
+    have been below 30 for 3 s or 75 s are full; phase-1 ticks come every 3 s once it has 10 s.
+    """
+    s = state or {"quiet": [QUIET_SEED], "loud": [], "look": None, "tones": [], "start": None, "silent": None, "tick": 0, "ticks": []}
+    out = []
+    for ts, rms, tone in rows:
+        if s["start"] is None and s["look"] is None:
+            if rms is not None and rms < QUIET_BELOW:
+                s["quiet"] = [*s["quiet"], rms][-QUIET_ROWS:]
+            loud = rms is not None and rms > max(LOUD_FLOOR, LOUD_FACTOR * sum(s["quiet"]) / len(s["quiet"]))
+            s["loud"] = [*s["loud"], loud][-LOUD_OF:]
+            if sum(s["loud"]) >= LOUD_NEED:
+                s["look"], s["tones"] = ts, [tone] if tone else []
+        elif s["start"] is None:
+            if tone:
+                s["tones"].append(tone)
+            if ts - s["look"] >= LOOK_S * 1_000_000:
+                if any(t in APPARATUS for t in s["tones"]):
+                    s |= {"start": s["look"], "silent": None, "tick": ts, "ticks": []}
+                else:
+                    s |= {"quiet": [QUIET_SEED]}
+                s |= {"look": None, "tones": []}
+        if s["start"] is not None:
+            if ts - s["start"] >= FIRST_TICK_S * 1_000_000 and ts - s["tick"] >= TICK_S * 1_000_000:
+                s["tick"] = ts
+                s["ticks"].append(ts)
+            if rms is None or rms < SILENCE_RMS:
+                s["silent"] = ts if s["silent"] is None else s["silent"]
+            else:
+                s["silent"] = None
+            full = ts - s["start"] >= CAP_S * 1_000_000
+            if full or (s["silent"] is not None and ts - s["silent"] >= QUIET_S * 1_000_000):
+                out.append((s["start"], ts, s["ticks"], "full" if full else "silence"))
+                s = {"quiet": [QUIET_SEED], "loud": [], "look": None, "tones": [], "start": None, "silent": None, "tick": 0, "ticks": []}
+    return out, s
+
+
+CAPTURE = "device string, start timestamp, end timestamp, ticks array<timestamp>, reason string"
+_STATE = "quiet array<double>, loud array<boolean>, look long, tones array<string>, start long, silent long, tick long, ticks array<long>"
+
+
+def _captures(device: str, found: list[tuple]) -> pd.DataFrame:
+    at = lambda us: pd.Timestamp(us, unit="us")
+    return pd.DataFrame([(device, at(a), at(b), [at(t) for t in ticks], why) for a, b, ticks, why in found], columns=["device", "start", "end", "ticks", "reason"])
+
+
+def captures(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """STR-03 state function over (device, us, rms, tone): readings of a batch in time order, the state carried to the next."""
+    names = ["quiet", "loud", "look", "tones", "start", "silent", "tick", "ticks"]
+    old = dict(zip(names, (list(v) if isinstance(v, (list, tuple)) else v for v in state.get), strict=True)) if state.exists else None
+    pdf = pd.concat(list(rows)).sort_values("us", kind="stable")
+    found, new = capture_steps(((int(r.us), None if pd.isna(r.rms) else float(r.rms), r.tone) for r in pdf.itertuples()), old)
+    state.update(tuple(new[n] for n in names))
+    yield _captures(key[0], found)
+
+
+def run_captures(stream: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """STR-03 on a stream with columns device (string), ts, rms, tone (or null); readings later than the watermark are dropped."""
+    s = stream.withWatermark("ts", late).select("device", "ts", F.unix_micros("ts").alias("us"), "rms", "tone")
+    return s.groupBy("device").applyInPandasWithState(captures, CAPTURE, _STATE, "append", GroupStateTimeout.NoTimeout)
