@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header"
-    " hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead title tr ul".split()
+    " hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead title tr ul".split()
 )
 DROPPED = frozenset("head title script style noscript template iframe object svg math canvas audio video nav aside footer form select option button textarea input label dialog menu search".split())
 HOLDERS = frozenset("article main section div td body".split())
@@ -44,7 +44,7 @@ MARKS = frozenset("ad ads advert advertisement sponsor banner nav navbar navigat
 #: The same inside article and main, where few words are free of doubt.
 STRONG = frozenset("ad ads advert advertisement sidebar cookie newsletter comments breadcrumb breadcrumbs pagination".split())
 #: An open element of the first kind ends where one of its second kind begins.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LINKED = 0.5
 _WORDS = re.compile(r"[^a-z]+")
 _HUMP = re.compile(r"([a-z])([A-Z])")
@@ -143,7 +143,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.end_line()
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag != "option" else set())
+            ends = CLOSES.get(tag, set()) | {"p"}
             if self.tops[-1] in ends or any(self.here[-1][t] for t in ends):
                 while self.pop() not in ends:
                     pass
