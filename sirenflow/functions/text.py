@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spoken or written street suffix -> municipal abbreviation. Fixed values; the vocabulary table overrides them.
+# ---- fixed values: words and patterns whose results must stay equal to what dispatch staff see today
+#: Spoken or written street suffix -> municipal abbreviation; the vocabulary table overrides them.
 SUFFIXES = {
     "AVENUE": "AVE", "AVE": "AVE", "STREET": "ST", "ST": "ST", "ROAD": "RD", "RD": "RD", "DRIVE": "DR", "DR": "DR",
     "BOULEVARD": "BLVD", "BLVD": "BLVD", "HIGHWAY": "HWY", "HWY": "HWY", "WAY": "WAY", "CRESCENT": "CRES", "CRES": "CRES", "COURT": "CRT", "CRT": "CRT",
@@ -27,6 +28,26 @@ UNIT_TYPES = (
 #: Beginnings of units that are kept at a hall whose number they do not carry, or carry beside other digits.
 HOME_HALLS = {"2": "E2|L2|R2|SQ2|T2|WT2", "3": "E3|Q5|H3|HT3|S3|SQ3", "4": "E4|T4|WT4|LAV4|SQ4"}
 HALLS = ("1", "2", "3", "4")
+#: Of an address for lookups: what may stand at its edges, the city tail, a unit before and after it, and its street types.
+ADDRESS_EDGE = r"^[ ,.\-]+|[ ,.\-]+$"
+CITY_TAIL = r"(^|\b|,)\s*(COQUITLAM|PORT COQUITLAM|PORT MOODY|BC|BRITISH COLUMBIA)\b.*$"
+UNIT_BEFORE = r"^\s*(?:UNIT|APT|STE|SUITE|#)\.?\s*#?\s*\d+[\w-]*[,\-\s]+"
+UNIT_AFTER = r"[,\-\s]+\s*(?:UNIT|APT|STE|SUITE|#)\.?\s*#?\s*\d+[\w-]*[,\-\s]*$"
+LOOKUP_TYPES = (("AVE?", "AVE"), ("RD?", "RD"), ("ST?", "ST"), ("DR?", "DR"), ("HWY?", "HIGHWAY"), ("BLVD?", "BLVD"), ("CRT?", "CRT"), ("PL?", "PL"))
+#: What is cut after a comma.
+POSTAL_CODE = r"(?i),\s*[A-Z]\d[A-Z]\s*\d[A-Z]\d"
+REGIONS = ("BC|British Columbia", "Canada", "Coquitlam", "Port Coquitlam", "Port Moody")
+#: Of a civic address: separators of an intersection, a unit as "7-12 Oak", before, anywhere, and alone after the street type.
+CROSSING_WORDS = r"(?i)\s+(?:AND|AT|/|@)\s+"
+UNIT_DASH = r"^\d+[-/]\s*(\d+\s+[A-Za-z])"
+UNIT_LEAD = r"(?i)^(?:UNIT|APT|STE|SUITE|BAY|BLDG|BUILDING|#)\s*\w+(?:[-/\s]+|\s+-\s+)(\d{1,5}\s+[A-Za-z])"
+UNIT_WITHIN = r"(?i)\s+(?:UNIT|APT|SUITE|STE|BAY|BLDG|BUILDING|LOT|WHSE|WAREHOUSE|PHASE|PH|COMP|RM|ROOM|FL|FLOOR|#)\s*[\w-]+"
+UNIT_LAST = r"(?i)(\b(?:AVE|AVENUE|ST|STREET|RD|ROAD|WAY|DR|DRIVE|CRT|COURT|BLVD|BOULEVARD|CRES|CRESCENT|PL|PLACE|LANE|LN|HWY|HIGHWAY))\s+(?:#\w+|\d+[A-Za-z]?|[A-Za-z])$"
+#: Of a house and street: the block mark, and the unit that ends the text.
+BLOCK_WORDS = r"(?i)\b(block|blk)\b"
+BLOCK_OR_OF = r"(?i)\b(block|blk|of)\b"
+UNIT_TAIL = r"(?i)\b(number|num|unit|suite|apt|apartment|#)\s+\w+\b.*"
+# ---- end of fixed values
 
 
 def blank_to_null(c: Column) -> Column:
@@ -70,17 +91,17 @@ def intersection_parts(c: Column) -> Column:
 
 
 def house_and_street(c: Column, suffixes: dict[str, str] = SUFFIXES) -> Column:
-    """CLN-07: struct(house, street, street_type, has_block); null without a leading number."""
-    block = c.rlike(r"(?i)\b(block|blk)\b")
-    s = F.trim(F.regexp_replace(c, r"(?i)\b(number|num|unit|suite|apt|apartment|#)\s+\w+\b.*", ""))
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?i)\b(block|blk|of)\b", ""), r"\s+", " "))
-    words = F.split(F.regexp_extract(s, r"^\d+\s+(.*)", 1), " ")
-    last = F.upper(F.element_at(words, -1))
-    known = F.try_element_at(_suffix_map(suffixes), last)
-    many = F.size(words) > 1
-    street = F.when(many, F.array_join(F.slice(words, 1, F.size(words) - 1), " ")).when(known.isNotNull(), "").otherwise(words[0])
-    kind = F.when(many, F.coalesce(known, last)).otherwise(F.coalesce(known, F.lit("")))
-    return F.when(s.rlike(r"^\d+\s+"), F.struct(F.regexp_extract(s, r"^(\d+)", 1).alias("house"), street.alias("street"), kind.alias("street_type"), block.alias("has_block")))
+    """CLN-07: struct(house, street, street_type, has_block); null without a leading number.
+
+    The last word is the type: abbreviated if the suffixes have it, else as it is; a lone word is a type only if they have it.
+    """
+    s = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, UNIT_TAIL, "")), BLOCK_OR_OF, ""), r"\s+", " "))
+    house, name, last = (F.regexp_extract(s, r"^(\d+)\s+(.*?)(\S+)$", i) for i in (1, 2, 3))
+    short = F.try_element_at(_suffix_map(suffixes), F.upper(last))
+    lone = name == ""
+    street = F.when(~lone, F.trim(name)).when(short.isNull(), last).otherwise("")
+    kind = F.coalesce(short, F.when(lone, "").otherwise(F.upper(last)))
+    return F.when(s.rlike(r"^\d+\s+\S"), F.struct(house.alias("house"), street.alias("street"), kind.alias("street_type"), c.rlike(BLOCK_WORDS).alias("has_block")))
 
 
 def near_clause(c: Column) -> Column:
@@ -91,36 +112,29 @@ def near_clause(c: Column) -> Column:
 
 def lookup_address(c: Column) -> Column:
     """CLN-09: address for lookups, without city tail and unit, with standard street types (lone letters included)."""
-    edge = r"^[ ,.\-]+|[ ,.\-]+$"
-    s = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), edge, "")
-    s = F.regexp_replace(s, r"(^|\b|,)\s*(COQUITLAM|PORT COQUITLAM|PORT MOODY|BC|BRITISH COLUMBIA)\b.*$", "")
-    s = F.regexp_replace(s, edge, "")
-    s = F.regexp_replace(s, r"^\s*(?:UNIT|APT|STE|SUITE|#)\.?\s*#?\s*\d+[\w-]*[,\-\s]+", "")
-    s = F.regexp_replace(s, r"[,\-\s]+\s*(?:UNIT|APT|STE|SUITE|#)\.?\s*#?\s*\d+[\w-]*[,\-\s]*$", "")
-    s = F.regexp_replace(s, edge, "")
-    for spelling, kind in (("AVE?", "AVE"), ("RD?", "RD"), ("ST?", "ST"), ("DR?", "DR"), ("HWY?", "HIGHWAY"), ("BLVD?", "BLVD"), ("CRT?", "CRT"), ("PL?", "PL")):
+    s = F.upper(F.coalesce(c, F.lit("")))
+    for pattern in (ADDRESS_EDGE, CITY_TAIL, ADDRESS_EDGE, UNIT_BEFORE, UNIT_AFTER, ADDRESS_EDGE):
+        s = F.regexp_replace(s, pattern, "")
+    for spelling, kind in LOOKUP_TYPES:
         s = F.regexp_replace(s, rf"\b{spelling}\b", kind)
-    return F.regexp_replace(F.regexp_replace(s, r"\s+", " "), edge, "")
+    return F.regexp_replace(F.regexp_replace(s, r"\s+", " "), ADDRESS_EDGE, "")
 
 
 def without_region(c: Column) -> Column:
     """CLN-10: cuts postal code, province, country and city after a comma."""
-    s = F.regexp_replace(c, r"(?i),\s*[A-Z]\d[A-Z]\s*\d[A-Z]\d", "")
-    for tail in ("BC|British Columbia", "Canada", "Coquitlam", "Port Coquitlam", "Port Moody"):
+    s = F.regexp_replace(c, POSTAL_CODE, "")
+    for tail in REGIONS:
         s = F.regexp_replace(s, rf"(?i),\s*(?:{tail})\b.*", "")
     return F.trim(s)
 
 
 def civic_address(c: Column) -> Column:
     """CLN-11: the civic address of a unit address, and one spelling of intersection separators. Null is empty."""
-    kinds = "AVE|AVENUE|ST|STREET|RD|ROAD|WAY|DR|DRIVE|CRT|COURT|BLVD|BOULEVARD|CRES|CRESCENT|PL|PLACE|LANE|LN|HWY|HIGHWAY"
     s = F.trim(F.coalesce(c, F.lit("")))
-    s = F.regexp_replace(s, r"(?i)\s+(?:AND|AT|/|@)\s+", " & ")
-    s = F.regexp_replace(s, r"\s*&\s*", " & ")
-    s = F.regexp_replace(s, r"^\d+[-/]\s*(\d+\s+[A-Za-z])", "$1")
-    s = F.regexp_replace(s, r"(?i)^(?:UNIT|APT|STE|SUITE|BAY|BLDG|BUILDING|#)\s*\w+(?:[-/\s]+|\s+-\s+)(\d{1,5}\s+[A-Za-z])", "$1")
-    s = F.regexp_replace(s, r"(?i)\s+(?:UNIT|APT|SUITE|STE|BAY|BLDG|BUILDING|LOT|WHSE|WAREHOUSE|PHASE|PH|COMP|RM|ROOM|FL|FLOOR|#)\s*[\w-]+", "")
-    return F.trim(F.regexp_replace(s, rf"(?i)(\b(?:{kinds}))\s+(?:#\w+|\d+[A-Za-z]?|[A-Za-z])$", "$1"))
+    s = F.regexp_replace(F.regexp_replace(s, CROSSING_WORDS, " & "), r"\s*&\s*", " & ")
+    for pattern, kept in ((UNIT_DASH, "$1"), (UNIT_LEAD, "$1"), (UNIT_WITHIN, "")):
+        s = F.regexp_replace(s, pattern, kept)
+    return F.trim(F.regexp_replace(F.trim(s), UNIT_LAST, "$1"))
 
 
 def training_text(c: Column, seconds: Column | None = None) -> Column:
