@@ -110,7 +110,7 @@ def municipal_issues(spark: SparkSession, path: str) -> DataFrame:
     geom = "struct<NumPoints:int,MarkerInfo:struct<RoadClosureType:long,LocationName:string>>"
     desc = "struct<BaseDescription:string,Headline:string,BaseLocationDescription:string,ProposedStartTimeUtcEpochMillis:long,ProposedEndTimeUtcEpochMillis:long>"
     issue = f"struct<IssueId:string,Source:string,Geometry:array<{geom}>,Description:{desc},TableViewInfo:struct<Location:string>>"
-    f = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.from_json("value", f"struct<CoordsEncoded:string,Issues:array<{issue}>>").alias("j"))
+    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"struct<CoordsEncoded:string,Issues:array<{issue}>>").alias("j"))
     g = f.select("file", F.posexplode("j.Issues").alias("i", "issue")).select("file", "i", "issue", F.posexplode("issue.Geometry").alias("k", "g"))
     n = F.coalesce("g.NumPoints", F.lit(0))
     taken = F.sum(n).over(Window.partitionBy("file").orderBy("i", "k")) - n

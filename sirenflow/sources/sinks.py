@@ -26,8 +26,13 @@ def write_manifest(d: DataFrame, path: str) -> None:
     training_manifest(d).orderBy("file_name").write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_evaluation(metrics: DataFrame, path: str, run: str) -> None:
-    """SNK-06: adds the evaluation rows of one run to the history table, in the folder run=<name>; a retry replaces its own rows only."""
+def append_evaluation(metrics: DataFrame, path: str, run: str | None = None) -> None:
+    """SNK-06: adds the evaluation rows of one run to the history table, in the folder run=<name>; a retry replaces its own rows only.
+
+    Without a name the run is named after a digest of its rows.
+    """
+    if run is None:
+        run = str(metrics.agg(F.coalesce(F.bit_xor(F.xxhash64(F.to_json(F.struct("*")))), F.lit(0)).alias("h")).first()["h"])
     metrics.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
