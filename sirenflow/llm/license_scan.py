@@ -114,38 +114,39 @@ def _text_licenses(vectors: list[tuple[str, int, dict[str, float]]], idf: dict[s
 
     ``vectors``: licence, number of terms and unit vector of each template.
     """
-    vocab = frozenset(idf)
-    short = [(v, name) for name, n, v in vectors if n <= LINE_TERMS]
-    long = [(v, name, n, frozenset(v)) for name, n, v in vectors if n > LINE_TERMS]
+    known = [(name, n, v, {t: x * x for t, x in v.items()}) for name, n, v in vectors]
 
     def score(tf: Counter, v: dict[str, float]) -> float:
         norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in tf.items()))
         return sum(n * idf[t] * v.get(t, 0.0) for t, n in tf.items() if t in idf) / norm
 
+    def reachable(terms: set[str], templates: list) -> list:
+        """The templates whose cosine with a choice of these terms can reach the wanted one: it is at most the norm of the template on them."""
+        return [t for t in templates if sum(t[3][x] for x in t[3].keys() & terms) >= cosine * cosine - 1e-9]
+
     def licence(text: str) -> tuple[float, str, bool]:
-        best = (cosine, "")
-        lines = text.split("\n")
-        by_line = [_terms(x) for x in lines]
-        terms = [t for line in by_line for t in line]
+        best, terms = (cosine, ""), _terms(text)
+        near = reachable(set(terms), known)
+        if not near:
+            return *best, False
         covered = np.zeros(len(terms), bool)
-        at = 0
-        for line, own in zip(lines, by_line, strict=True):
-            # a part without two terms of one notice cannot reach the cosine, nor can one with fewer than two of all
-            if len(vocab.intersection(own)) >= 2:
-                parts = [own, *(map(_terms, _SENTENCE.split(line.strip())) if _SENTENCE.search(line.strip()) else ())]
-                for k, part in enumerate(parts):
-                    if len(vocab.intersection(part)) < 2:
-                        continue
-                    tf = Counter(part)
-                    got = max((score(tf, v), name) for v, name in short)
+        short, at = [t for t in near if t[1] <= LINE_TERMS], 0
+        for line in text.split("\n") if short else ():
+            own = _terms(line)
+            fits = reachable(set(own), short) if len(own) > 1 else []
+            if fits:
+                pieces = [_terms(x) for x in _SENTENCE.split(line.strip())]
+                for k, part in enumerate([own, *pieces] if len(pieces) > 1 else [own]):
+                    distinct = set(part)
+                    got = max(((score(Counter(part), v), name) for name, _, v, _ in reachable(distinct, fits)), default=(0.0, "")) if len(distinct) > 1 else (0.0, "")
                     if got[0] >= cosine:
                         best = max(best, got)
-                        start = at if k == 0 else at + sum(map(len, parts[1:k]))
+                        start = at if k == 0 else at + sum(map(len, pieces[: k - 1]))
                         covered[start : start + len(part)] = True
             at += len(own)
-        if long and len(vocab.intersection(terms)) >= LINE_TERMS // 4:
-            for v, name, size, template in long:
-                for a, b in windows(terms, template, size):
+        for name, size, v, _ in near:
+            if size > LINE_TERMS:
+                for a, b in windows(terms, frozenset(v), size):
                     got = score(Counter(terms[a:b]), v)
                     if got >= cosine:
                         best = max(best, (got, name))
