@@ -9,8 +9,9 @@ Grid: the 32 counts form six blocks. Two vectors at distance 3 or less agree on
 so each vector enters the 20 grid cells named by three of its blocks, and every pair within range meets in a
 cell. Only distinct fingerprints enter the grid; copies never multiply. A cell keeps a minimum spanning
 forest of its links rather than all its pairs. Cells above ``cell_limit`` members (dense groups of near copies) are not
-compared there: their members go to a second, exact grid on the bits themselves (16 nibbles, any 13 equal),
-whose cells hold at most 4096 distinct fingerprints by construction.
+compared there: their members enter a finer grid of the same embedding (8, then 11 blocks, any 5 or 8 equal), and
+what is dense even there a last, exact one on the bits themselves (16 nibbles, any 13 equal), whose cells
+hold at most 4096 distinct fingerprints by construction.
 
 Near copies by Jaccard similarity (``near_dedup``) are searched by shingle prefixes instead: at similarity 0.8 the
 fingerprints often differ in more than three bits.
@@ -19,22 +20,28 @@ fingerprints often differ in more than three bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import cut, text_key
+from sirenflow.llm.common import KeyFilter, batches_of, cut, saved, text_key
 from sirenflow.llm.components import components
 
 MAX_BITS = 3
 EVEN = 0x5555555555555555
 LINK = "s int, a long, b long"
-#: Of near_dedup: texts sampled for the order of shingles, shingles in that order, bits of a text's parity sketch.
-SAMPLE_TEXTS, COMMON_SHINGLES, SKETCH_BITS = 20_000, 100_000, 512
+#: Blocks of the embedding's grids, the next for what is dense in the one before; three blocks are left free.
+GRIDS = (6, 8, 11)
+#: Of near_dedup: texts sampled for the order of shingles, shingles in that order, least and most bits of a text's parity sketch (four a shingle
+#: between), rows of an Arrow batch, nodes of a block whose pairs are tested together, pairs of a
+#: call on average.
+SAMPLE_TEXTS, COMMON_SHINGLES, LEAST_SKETCH, MOST_SKETCH, BATCH_ROWS, BLOCK_NODES, GROUP_PAIRS = 5_000, 100_000, 512, 1 << 17, 1_000, 1_000, 5_000
 
 
 def _signed(x: int) -> int:
@@ -155,12 +162,17 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, cell_limit: int
     if max_bits != 3:
         raise ValueError("the grid is laid out for 3 bits")
     cell = ["s", "cell", "part"]
-    cells = _grid(fps, _masks(6, 3, 2), embed(F.col("fp")))
-    sizes = cut(cells.groupBy(*cell).count().where("count > 1"))
-    small = cells.join(sizes.where(F.col("count") <= cell_limit), cell).groupBy(*cell).agg(F.collect_set("fp").alias("fps")).select("s", "fps")
-    dense = cut(cells.join(sizes.where(F.col("count") > cell_limit), cell, "left_semi").select("s", "fp").distinct())
-    exact = _grid(dense, _masks(16, 3, 4), F.col("fp")).groupBy(*cell).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("s", "fps")
-    return _cell_links(small.union(exact), max_bits).distinct()
+    rest, parts = fps, []
+    for blocks in GRIDS:
+        cells = _grid(rest, _masks(blocks, 3, 2), embed(F.col("fp")))
+        sizes = cut(cells.groupBy(*cell).count().where("count > 1"))
+        parts.append(cells.join(sizes.where(F.col("count") <= cell_limit), cell).groupBy(*cell).agg(F.collect_set("fp").alias("fps")).select("s", "fps"))
+        rest = cut(cells.join(sizes.where(F.col("count") > cell_limit), cell, "left_semi").select("s", "fp").distinct())
+        if rest.isEmpty():
+            break
+    else:
+        parts.append(_grid(rest, _masks(16, 3, 4), F.col("fp")).groupBy(*cell).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("s", "fps"))
+    return _cell_links(reduce(DataFrame.union, parts), max_bits).distinct()
 
 
 def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
@@ -186,27 +198,78 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(text.encode().lower().split() if isinstance(text, str) else [], k, 7).view(np.int64))
 
 
+def _fresh(pdf: pd.DataFrame, seen: set[int]) -> pd.DataFrame:
+    """The rows of nodes that the task has not seen yet."""
+    new = pdf[~pdf["node"].isin(seen) & ~pdf["node"].duplicated()]
+    seen.update(new["node"].tolist())
+    return new
+
+
 def _shingle_sets(nodes: DataFrame, k: int) -> DataFrame:
-    """(node, sh): the sorted distinct hashes of the ``k``-word shingles of each text."""
+    """(node, sh): the sorted distinct hashes of the ``k``-word shingles of each text; one row a node and task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "sh": [_shingle_set(t, k) for t in pdf["text"]]})
+            pdf = _fresh(pdf, seen)
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(np.int64), "sh": [_shingle_set(t, k) for t in pdf["text"]]})
 
     return nodes.mapInPandas(run, "node long, sh array<long>")
 
 
+def _packed_texts(nodes: DataFrame, wanted: KeyFilter) -> DataFrame:
+    """(node, z): the texts of nodes that may be wanted, compressed: a third of what their shingle hashes take."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, pack = set(), zstandard.ZstdCompressor(level=6)
+        for pdf in batches:
+            pdf = _fresh(pdf[wanted.may_hold(pdf["node"].to_numpy(np.int64))], seen)
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(np.int64), "z": [pack.compress((t or "").encode()) for t in pdf["text"]]})
+
+    return nodes.mapInPandas(run, "node long, z binary")
+
+
+def _tested(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of packed texts (a, za, b, zb) whose shingle sets have the wanted Jaccard similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack, sets = zstandard.ZstdDecompressor(), {}
+
+        def of(node: int, z: bytes) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= 200:
+                    sets.clear()
+                sets[node] = _shingle_set(unpack.decompress(z).decode(), k)
+            return sets[node]
+
+        for pdf in batches:
+            ok = []
+            for a, za, b, zb in zip(pdf["a"], pdf["za"], pdf["b"], pdf["zb"], strict=True):
+                x, y = of(a, za), of(b, zb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return pairs.mapInPandas(run, "a long, b long")
+
+
 def _common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that several texts of a sample share, sorted, and their counts. They only order prefixes: any order gives the same pairs."""
     every = max(1, rows.count() // SAMPLE_TEXTS)
-    some = rows.where(F.pmod("node", F.lit(every)) == 0).dropDuplicates(["node"])
-    found = _shingle_sets(some, k).select(F.explode("sh").alias("h")).groupBy("h").count().where("count > 1")
-    top = found.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).orderBy("h").collect()  # bounded
-    return np.array([r["h"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+    some = rows.where(F.pmod("node", F.lit(every)) == 0)
+    found = _shingle_sets(some, k).dropDuplicates(["node"]).select(F.explode("sh").alias("h")).groupBy("h").count().where("count > 1")
+    top = found.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).toPandas().sort_values("h")  # bounded
+    return top["h"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set of hashes, a power of two of them: bit j is the parity of the hashes that end in j."""
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (4 * max(1, len(s)) - 1).bit_length()))
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1 == 1).view(np.int64)
 
 
 def _prefixes(rows: DataFrame, k: int, similarity: float, common: np.ndarray, count: np.ndarray) -> DataFrame:
-    """(node, n, sketch, prefix) of each text: size of its shingle set, parity bits, and its first shingles in the global order.
+    """(node, n, sketch, prefix) of each text: size of its shingle set, parity bits, and its first shingles in the global order; one row a node and task.
 
     The order is by count in the sample, then hash. Two sets of the wanted similarity share a shingle of both
     prefixes: each prefix leaves out fewer shingles than the two must share. Sets without a shingle share the prefix [0].
@@ -222,84 +285,128 @@ def _prefixes(rows: DataFrame, k: int, similarity: float, common: np.ndarray, co
         return s[np.lexsort((s, np.where(common[at] == s, count[at], 0)))[:size]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
-            pdf = pdf.drop_duplicates("node")
-            sets = [_shingle_set(t, k) for t in pdf["text"]]
-            sketch = [np.packbits(np.bincount(s & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1 == 1).view(np.int64) for s in sets]
-            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "n": np.array([len(s) for s in sets], np.int32), "sketch": sketch, "prefix": [one(s) for s in sets]})
+            pdf = _fresh(pdf, seen)
+            for i in range(0, len(pdf), 500):
+                part = pdf.iloc[i : i + 500]
+                sets = [_shingle_set(t, k) for t in part["text"]]
+                yield pd.DataFrame({"node": part["node"].to_numpy(np.int64), "n": np.array([len(s) for s in sets], np.int32), "sketch": [_sketch(s) for s in sets], "prefix": [one(s) for s in sets]})
+
+    return rows.mapInPandas(run, "node long, n int, sketch array<long>, prefix array<long>")
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(node, block): nodes that meet a common smallest node share a block, of about ``BLOCK_NODES`` nodes; larger groups have several."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
+    size = met.groupBy("label").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_NODES))
+    return met.join(size, "label").select("node", F.xxhash64("label", part).alias("block"))
+
 
-    return rows.mapInPandas(run, "node long, n int, sketch array<long>, prefix array<long>").dropDuplicates(["node"])
+def _unlike(similarity: float):
+    """Of some block pairs' pairs (a, b) and their nodes' sketches (node, n, sketch): the pairs whose sizes and parity bits allow the similarity."""
 
+    def run(pairs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        n = dict(zip(nodes["node"].tolist(), nodes["n"].tolist(), strict=True))
+        bits = {k: np.asarray(v, np.int64) for k, v in zip(nodes["node"].tolist(), nodes["sketch"], strict=True)}
+        ok = []
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+            fits = n[a] >= similarity * n[b] - 1e-6 and n[b] >= similarity * n[a] - 1e-6
+            if fits:
+                x, y = (bits[a], bits[b]) if len(bits[a]) <= len(bits[b]) else (bits[b], bits[a])
+                while len(y) > len(x):  # the longer sketch folds to the shorter one's length
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                fits = int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) * (1 + similarity) <= (n[a] + n[b]) * (1 - similarity) + 1e-6
+            ok.append(fits)
+        return pairs.loc[ok, ["a", "b"]]
 
-def _can_match(similarity: float):
-    """Size and position bounds on a pair of occurrences (na, pa) and (nb, pb) of its first common shingle."""
-    fits = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return fits & (rest >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6)
+    run.__annotations__ = {}
+    return run
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of distinct nodes whose shingle sets have the wanted Jaccard similarity.
 
-    Differing parity bits never outnumber the shingles in which two sets differ, so they reject pairs before
-    any set is built; the rest are compared exactly.
+    ``sizes``: node, n, sketch, one row a node. Sizes that differ too much reject a pair, and so do differing parity
+    bits, which never outnumber the shingles in which two sets differ; a sketch goes once to each pair of blocks that
+    needs it, not along with each pair. The rest are compared exactly.
     """
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    meta = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
-    near = pairs.join(meta("a"), "a").join(meta("b"), "b").where(differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6)
-    near = cut(near.select("a", "b"))
-    ends = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
-    sets = cut(_shingle_sets(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), k))
-    tested = near.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return cut(tested.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    blocks = saved(_blocks(pairs))
+    side = lambda c: blocks.select(F.col("node").alias(c), F.col("block").alias(f"k{c}"))
+    groups = max(1, pairs.count() // GROUP_PAIRS)  # small block pairs share a call
+    own = F.pmod(F.xxhash64(F.least("ka", "kb"), F.greatest("ka", "kb")), F.lit(groups))
+    placed = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", own.alias("x")))
+    needs = placed.select(F.col("x").alias("u"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node").select("u", "node", "n", "sketch")
+    near = saved(placed.groupBy("x").cogroup(needs.groupBy("u")).applyInPandas(_unlike(similarity), "a long, b long"))
+    if near.isEmpty():
+        return near
+    wanted = KeyFilter(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    packed = _packed_texts(texts, wanted).dropDuplicates(["node"])
+    both = near.join(packed.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(packed.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    return saved(_tested(both.select("a", "za", "b", "zb"), k, similarity))
 
 
 def similar_links(texts: DataFrame, k: int = 5, similarity: float = 0.8, posting_limit: int = 64) -> DataFrame:
     """Verified links (a, b) among texts (node long, text); they span the components of all pairs of the wanted similarity.
 
-    Every pair of that similarity meets in the posting of a prefix shingle. All pairs of a short posting are
-    tested. In a posting above ``posting_limit`` the members are tested with one of them first; then every
-    pair that these links left in different components is tested: one of its ends is outside the posting's
-    largest component.
+    Every pair of that similarity meets in the posting of a prefix shingle. Pairs are tested in three rounds: each text
+    with the smallest it meets; each posting's smallest with its others; all pairs of a posting. Postings up to
+    ``posting_limit`` are tested whole at once. A later round tests the pairs that the links so far left in different
+    components, so a large group of near copies costs a few pairs a text; one end of such a pair is
+    outside the posting's largest component.
     """
-    sizes = cut(_prefixes(texts, k, similarity, *_common_shingles(texts, k)))
-    posting = sizes.select("node", "n", F.posexplode("prefix").alias("p", "h"))
-    many = cut(posting.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1"))
-    hits = cut(posting.join(many, "h"))
-    side = lambda df, c: df.select("h", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"))
+    prefix = saved(_prefixes(texts, k, similarity, *_common_shingles(texts, k)))
+    sizes = prefix.select("node", "n", "sketch").dropDuplicates(["node"])
+    posting = prefix.select(F.explode("prefix").alias("h"), "node")
+    many = posting.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("first"), F.max("node").alias("other")).where("first < other").select("h", "m", "first")
+    hits = saved(posting.join(many, "h").distinct())
+    side = lambda df, c: df.select("h", F.col("node").alias(c))
     short = hits.where(F.col("m") <= posting_limit)
-    inside = side(short, "a").join(side(short, "b"), "h").where(F.col("a") < F.col("b")).where(_can_match(similarity)).select("a", "b")
+    inside = side(short, "a").join(side(short, "b"), "h").where(F.col("a") < F.col("b")).select("a", "b")
     long = hits.where(F.col("m") > posting_limit)
-    star = side(long.where("node = first"), "a").join(side(long, "b"), "h").where(F.col("a") != F.col("b")).where(_can_match(similarity)).select("a", "b")
-    good = similar_pairs(inside.union(star), texts, sizes, k, similarity)
-    if long.isEmpty():
-        return good
-    rooted = cut(long.join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    split = rooted.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("h", "most")
-    open_ = cut(rooted.join(split, "h"))
-    rside = lambda df, c: df.select("h", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.col("root").alias(f"r{c}"))
-    rest = rside(open_.where("root != most"), "a").join(rside(open_, "b"), "h").where("ra != rb").where(_can_match(similarity)).select("a", "b")
-    return good.union(similar_pairs(rest, texts, sizes, k, similarity))
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    lowest = long.where("node != first").groupBy("node").agg(F.min("first").alias("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    good = similar_pairs(inside.union(lowest), texts, sizes, k, similarity)
+    for whole in (False, True):
+        if long.isEmpty():
+            break
+        rooted = saved(long.join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        split = rooted.groupBy("h", "root").agg(F.count("*").alias("c"), F.min("node").alias("low"))
+        split = split.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.min_by("root", "low").alias("of_first"), F.count("*").alias("roots")).where("roots > 1").select("h", "most", "of_first")
+        long = saved(rooted.join(split, "h").select("h", "node", "m", "first", "root", "most", "of_first"))
+        if whole:
+            rside = lambda df, c: df.select("h", F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+            rest = rside(long.where("root != most"), "a").join(rside(long, "b"), "h").where("ra != rb").select("a", "b")
+        else:
+            rest = long.where("root != of_first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        long = long.select("h", "node", "m", "first")
+        good = saved(good.union(similar_pairs(rest, texts, sizes, k, similarity)))
+    return good
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, posting_limit: int = 2) -> DataFrame:
     """``docs`` with one row of each group of exact or near copies: the one with the smallest id (nulls last).
 
     A link is an exact Jaccard similarity of the sets of ``k``-word shingles of at least ``similarity``; groups
     are the components of all such links. Equal texts are one node, so copies cost nothing more; texts
-    without a word (null, empty, blank) form one group. Repeated rows collapse to one.
+    without a word (null, empty, blank) form one group. Repeated rows collapse to one. Rows without a copy or
+    link are kept where they are read; only the others are shuffled.
     """
     if not docs.columns:
         return docs
+    row_key = lambda i, tk: F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), F.coalesce(tk, F.lit("null"))).cast("binary"))
     low = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tk"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_key(text).alias("tk"))
-    rows = rows.withColumn("node", F.coalesce(F.xxhash64("tk"), F.lit(0)))
-    found = components(similar_links(rows.select("node", "text"), k, similarity))
-    heads = rows.groupBy("node").agg(F.min(low).alias("low"))
-    heads = heads.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("low").alias("low")).select("low.id", "low.tk")
-    heads = cut(heads)
-    named = docs.withColumns({"__id": F.col(id_col), "__tk": text_key(text)})
-    kept = named.join(heads, named["__id"].eqNullSafe(heads.id) & named["__tk"].eqNullSafe(heads.tk), "left_semi")
-    return kept.dropDuplicates(["__id", "__tk"]).drop("__id", "__tk")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_key(text).alias("tk")).withColumn("node", F.coalesce(F.xxhash64("tk"), F.lit(0)))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        found = saved(components(similar_links(rows.select("node", "text"), k, similarity, posting_limit)))
+    heads = rows.groupBy("node").agg(F.min(low).alias("low"), F.count("*").alias("n")).join(found, "node", "left").where("n > 1 or root is not null")
+    heads = saved(heads.select("node", "low", F.coalesce("root", "node").alias("root")))
+    best = heads.groupBy("root").agg(F.min("low").alias("low")).select("root", row_key(F.col("low.id"), F.col("low.tk")).alias("best"))
+    ruled = rows.select("node", row_key(F.col("id"), F.col("tk")).alias("__key")).join(heads.join(best, "root").select("node", "best"), "node")
+    ruled = saved(ruled.select("__key", (F.col("__key") == F.col("best")).alias("__head")).distinct())
+    keyed = docs.withColumn("__key", row_key(F.col(id_col), text_key(text)))
+    keyed = keyed.withColumn("__in", KeyFilter(ruled.select(F.xxhash64("__key").alias("key")), "key").column(F.xxhash64("__key")))
+    alone = keyed.where(~F.col("__in"))
+    among = keyed.where("__in").join(ruled, "__key", "left").where("__head is null or __head").dropDuplicates(["__key"])
+    return alone.select(*docs.columns).union(among.select(*docs.columns))

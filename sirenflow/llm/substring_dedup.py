@@ -1,19 +1,26 @@
-"""Substring dedup by hashing lines, and sentences inside lines, over the whole corpus."""
+"""Substring dedup by hashing lines, and sentences inside lines, over the whole corpus.
+
+Digests are grouped twice: first 64 bits of them alone, to learn which repeat, then whole ones with their places, only
+of units that may repeat.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sirenflow.llm.common import saved, text_key
+from sirenflow.llm.common import KeyFilter, batches_of, saved, text_key
 
 #: A shorter sentence inside a line repeats by chance; it counts only as part of a run of sentences that has as many words.
 MIN_WORDS = 8
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 _END = re.compile(r"[.!?]+(?=\s)")
 _SPAN = "array<struct<start:int,stop:int>>"
 
@@ -65,14 +72,38 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
         at += len(line) + 1
 
 
-def _unit_rows(rows: DataFrame, min_words: int) -> DataFrame:
+def _short(u: bytes) -> int:
+    return int.from_bytes(u[:8], "little", signed=True)
+
+
+def _digests(rows: DataFrame, min_words: int) -> DataFrame:
+    """(short): the first 64 bits of each unit of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 500):
+                yield pd.DataFrame({"short": np.array([_short(u) for x in pdf["text"].iloc[i : i + 500] for _, _, u in units(x, min_words)], np.int64)})
+
+    return rows.select("text").mapInPandas(run, "short long")
+
+
+def _unit_rows(rows: DataFrame, min_words: int, wanted: KeyFilter) -> DataFrame:
+    """(id, tk, start, stop, unit): the occurrences of the units that may be wanted."""
+    schema = "id string, tk binary, start int, stop int, unit binary"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(d, t, s, e, u) for d, t, x in zip(pdf["id"], pdf["tk"], pdf["text"], strict=True) if isinstance(x, str) for s, e, u in units(x, min_words)]
-            df = pd.DataFrame(out, columns=["id", "tk", "start", "stop", "unit"])
-            yield df.astype({"id": "Int64", "start": "int32", "stop": "int32"})
+            for i in range(0, len(pdf), 500):
+                part = pdf.iloc[i : i + 500]
+                found = [(j, s, e, u) for j, x in enumerate(part["text"]) for s, e, u in units(x, min_words)]
+                ok = wanted.may_hold(np.fromiter((_short(f[3]) for f in found), np.int64, len(found)))
+                found = [f for f, o in zip(found, ok.tolist(), strict=True) if o]
+                at = np.fromiter((f[0] for f in found), np.int64, len(found))
+                out = pd.DataFrame({"start": [f[1] for f in found], "stop": [f[2] for f in found], "unit": [f[3] for f in found]}, columns=["start", "stop", "unit"])
+                ids = part[["id", "tk"]].iloc[at].reset_index(drop=True)
+                yield pd.concat([ids, out.astype({"start": "int32", "stop": "int32"})], axis=1)
 
-    return rows.mapInPandas(run, "id long, tk binary, start int, stop int, unit binary")
+    return rows.select("id", "tk", "text").mapInPandas(run, schema)
 
 
 def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,20 +137,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     one document and get the same result, so a document is never cut because of its own second row. Extra
     columns are kept, whatever their names, except that ``removed`` and ``removed_chars`` are replaced.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(text_key(text)).alias("tk"), F.col(text).alias("text"))
-    occ = _unit_rows(src, min_words)
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "tk", "start")
-    first = saved(occ.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("unit", "first"))
-    again = occ.join(first, "unit").where(rank != F.col("first"))
-    gone = again.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    kind = docs.schema[id_col].dataType  # ids travel as text, so that any type of id and null ones come through
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.unhex(text_key(text)).alias("tk"), F.col(text).alias("text")).where("text != ''")
+    # a unit that stands but once in all rows is settled here; repeated rows and chance equality of 64 bits are sorted out by rank below
+    often = _digests(src, min_words).groupBy("short").count().where("count > 1")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        occ = saved(_unit_rows(src, min_words, KeyFilter(often.select("short"), "short")))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(kind).alias("id"), "tk", "start")
+    first = occ.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("unit", "first")
+    gone = occ.join(first, "unit").where(rank != F.col("first")).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    gone = saved(gone)
 
     keep = [c for c in docs.columns if c not in (text, "removed", "removed_chars")]
-    row = docs.select(F.struct(*keep).alias("__row"), F.col(text).alias("__text"), F.col(id_col).cast("long").alias("__id"), F.unhex(text_key(text)).alias("__tk"))
-    row = row.join(gone, row["__id"].eqNullSafe(gone.id) & row["__tk"].eqNullSafe(gone.tk), "left")
-    cutter = F.pandas_udf(_rewrite, f"text string, removed {_SPAN}, removed_chars int")
-    done = row.withColumn("__new", F.when(F.col("spans").isNotNull(), cutter("__text", "spans")))
-    new = {text: F.coalesce(F.col("__new.text"), F.col("__text")), "removed": F.coalesce(F.col("__new.removed"), F.array().cast(_SPAN)), "removed_chars": F.coalesce(F.col("__new.removed_chars"), F.lit(0))}
-    return done.select(*[new[c].alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("removed", "removed_chars")], *[new[c].alias(c) for c in ("removed", "removed_chars")])
+    row = docs.select(F.struct(*keep).alias("__row"), F.col(text).alias("__text"), F.col(id_col).cast("string").alias("__id"), F.unhex(text_key(text)).alias("__tk"))
+    # rows that lose nothing are passed on where they are read
+    key = lambda i, t: F.xxhash64(i, t)
+    row = row.withColumn("__in", KeyFilter(gone.select(key(F.col("id"), F.col("tk")).alias("key")), "key").column(key(F.col("__id"), F.col("__tk"))))
+    none = {text: F.col("__text"), "removed": F.array().cast(_SPAN), "removed_chars": F.lit(0)}
+    cut_ = F.pandas_udf(_rewrite, f"text string, removed {_SPAN}, removed_chars int")
+    hit = row.where("__in").join(gone, F.col("__id").eqNullSafe(gone.id) & F.col("__tk").eqNullSafe(gone.tk), "left")
+    hit = hit.withColumn("__new", cut_("__text", "spans"))
+    new = {text: F.col("__new.text"), "removed": F.col("__new.removed"), "removed_chars": F.col("__new.removed_chars")}
+
+    def shaped(part: DataFrame, new: dict) -> DataFrame:
+        own = [c for c in docs.columns if c not in ("removed", "removed_chars")]
+        return part.select(*[new[c].alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in own], new["removed"].alias("removed"), new["removed_chars"].alias("removed_chars"))
+
+    return shaped(row.where(~F.col("__in")), none).union(shaped(hit, new))
 
 
 def _rewrite(texts, spans):

@@ -33,7 +33,7 @@ TOP = 1_000
 MIN_Z = 4.0
 THRESHOLD = 0.7
 _PUNCT = string.punctuation
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 50_000
 
 
 def _word_ids(word: str) -> tuple[int, ...]:
