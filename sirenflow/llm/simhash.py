@@ -38,7 +38,7 @@ EVEN = 0x5555555555555555
 LINK = "s int, a long, b long"
 #: Blocks of the embedding's grids, the next for what is dense in the one before; three blocks are left free.
 GRIDS = (6, 8, 11)
-#: Of near_dedup: texts sampled for the order of shingles, shingles in that order, least and most bits of a text's parity sketch (four a shingle
+#: Of near_dedup: texts sampled for the order of shingles, shingles in that order, least and most bits of a text's parity sketch (two a shingle
 #: between), rows of an Arrow batch, nodes of a block whose pairs are tested together, pairs of a
 #: call on average.
 SAMPLE_TEXTS, COMMON_SHINGLES, LEAST_SKETCH, MOST_SKETCH, BATCH_ROWS, BLOCK_NODES, GROUP_PAIRS = 5_000, 100_000, 512, 1 << 17, 1_000, 1_000, 5_000
@@ -264,7 +264,7 @@ def _common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(s: np.ndarray) -> np.ndarray:
     """Parity bits of a set of hashes, a power of two of them: bit j is the parity of the hashes that end in j."""
-    bits = min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (4 * max(1, len(s)) - 1).bit_length()))
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (2 * max(1, len(s)) - 1).bit_length()))
     return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1 == 1).view(np.int64)
 
 
