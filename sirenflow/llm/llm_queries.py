@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenflow.llm import chat_repair, decontaminate, html_extract, license_scan, mixing, quality_lines, simhash, substring_dedup, toxicity, warc
+from sirenflow.llm import chat_repair, decontaminate, html_extract, license_scan, merkle, mixing, quality_lines, simhash, substring_dedup, toxicity, warc
+from sirenflow.llm.common import ascii_lower
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: digests of the manifest, and whether a row whose text is lower-cased for every third crc still leads to the root."""
+    text = F.col("text")
+    low = merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], ascii_lower(text))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, low)
+    m = merkle.manifest(_table(spark, sf_dir, "documents"), also={"tampered": tampered})
+    m = m.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("tampered", "leaf")))
+    return m.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_license_scan, op3_source_mix, op4_simhash, op5_toxicity, op6_chat_repair, op7_html_extract, op8_quality_lines, op9_decontaminate, op10_warc, pipeline)
+    for f in (op1_substring_dedup, op2_license_scan, op3_source_mix, op4_simhash, op5_toxicity, op6_chat_repair, op7_html_extract, op8_quality_lines, op9_decontaminate, op10_warc, op11_merkle_manifest, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -164,3 +175,46 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM top THEN true END AS intact
 FROM d""",
 }
+#: crc32 of a list of codes, as SQL: the usual reflected polynomial, a byte and eight bits a step.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda y, bit: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"
+
+ORACLE["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('v' || lang, '') AS g, text,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+         coalesce(octet_length(encode(text)) || ':', '-') AS mark
+  FROM documents
+), l AS (
+  SELECT doc_id, g, sha256(head || mark || coalesce(text, '')) AS leaf,
+         CASE WHEN {_CRC.format(s="doc_id::VARCHAR")} % 3 = 0 THEN sha256(head || mark || coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')) END AS low
+  FROM d
+), r AS (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+), u AS (
+  SELECT g, 0 AS lv, i, n, leaf AS h FROM r
+  UNION ALL
+  SELECT g, lv + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY g, lv, i // 8
+), s AS (
+  SELECT g, lv, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM u WHERE n = 1
+), t AS (
+  SELECT 0 AS lv, i, n, subroot AS h FROM s
+  UNION ALL
+  SELECT lv + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lv, i // 8
+), p AS (
+  SELECT r.rid, u.lv, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < r.i >> (3 * u.lv)), '') AS a, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > r.i >> (3 * u.lv)), '') AS b
+  FROM r JOIN u ON u.g = r.g AND u.n > 1 AND u.i >> 3 = r.i >> (3 * u.lv + 3) GROUP BY r.rid, u.lv
+  UNION ALL
+  SELECT r.rid, s.lv + t.lv, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < s.i >> (3 * t.lv)), ''), coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > s.i >> (3 * t.lv)), '')
+  FROM r JOIN s USING (g) JOIN t ON t.n > 1 AND t.i >> 3 = s.i >> (3 * t.lv + 3) GROUP BY r.rid, s.lv, t.lv
+), f AS (
+  SELECT rid, 0 AS lv, coalesce(low, leaf) AS h FROM r
+  UNION ALL
+  SELECT f.rid, f.lv + 1, sha256(p.a || f.h || p.b) FROM f JOIN p USING (rid, lv)
+), e AS (
+  SELECT rid, max_by(h, lv) AS folded_root FROM f GROUP BY rid
+), q AS (
+  SELECT rid, string_agg(a || b, '' ORDER BY lv) AS sib FROM p GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(sib, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM r JOIN s USING (g) JOIN e USING (rid) LEFT JOIN q USING (rid), (SELECT h AS root FROM t WHERE n = 1)"""
