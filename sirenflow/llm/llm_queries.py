@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenflow.llm import chat_repair, decontaminate, html_extract, license_scan, merkle, mixing, quality_lines, simhash, substring_dedup, toxicity, warc
+from sirenflow.llm import chat_repair, decontaminate, html_extract, license_scan, merkle, mixing, quality_lines, simhash, substring_dedup, token_count, toxicity, warc
 from sirenflow.llm.common import ascii_lower
 
 
@@ -70,6 +70,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: bytes and tokens of the whole text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return token_count.token_counts(_table(spark, sf_dir, "documents"), f.read())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_license_scan, op3_source_mix, op4_simhash, op5_toxicity, op6_chat_repair, op7_html_extract, op8_quality_lines, op9_decontaminate, op10_warc, op11_merkle_manifest, pipeline)
+    for f in (op1_substring_dedup, op2_license_scan, op3_source_mix, op4_simhash, op5_toxicity, op6_chat_repair, op7_html_extract, op8_quality_lines, op9_decontaminate, op10_warc, op11_merkle_manifest, op13_token_counts, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
