@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenflow.llm import chat_repair, decontaminate, html_extract, license_scan, merkle, mixing, quality_lines, simhash, substring_dedup, token_count, toxicity, warc
+from sirenflow.llm import chat_repair, conversation_audit, decontaminate, html_extract, license_scan, merkle, mixing, quality_lines, simhash, substring_dedup, token_count, toxicity, warc
 from sirenflow.llm.common import ascii_lower
 
 
@@ -70,6 +70,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule: their faults, and the cheapest edits that repair their roles."""
+    turns = _table(spark, sf_dir, "conversations")
+    return conversation_audit.audit(conversation_audit.damaged(turns), turns.select(F.col("conv_id").alias("conv")))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: bytes and tokens of the whole text."""
     import public_tokenizers
@@ -86,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_license_scan, op3_source_mix, op4_simhash, op5_toxicity, op6_chat_repair, op7_html_extract, op8_quality_lines, op9_decontaminate, op10_warc, op11_merkle_manifest, op13_token_counts, pipeline)
+    for f in (op1_substring_dedup, op2_license_scan, op3_source_mix, op4_simhash, op5_toxicity, op6_chat_repair, op7_html_extract, op8_quality_lines, op9_decontaminate, op10_warc, op11_merkle_manifest, op12_conversation_audit, op13_token_counts, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -226,3 +232,52 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(sib, '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM r JOIN s USING (g) JOIN e USING (rid) LEFT JOIN q USING (rid), (SELECT h AS root FROM t WHERE n = 1)"""
+
+ORACLE["op12_conversation_audit"] = rf"""
+WITH RECURSIVE src AS (
+  SELECT coalesce('v' || conv_id, '') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), kinds AS (
+  SELECT *, {_CRC.format(s="name")} % 20 AS kind FROM src
+), hurt AS (
+  SELECT g, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), num AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k FROM hurt
+), flt AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY k) > 1 THEN 'd'
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') THEN 't' END AS fault,
+         lag(role[1]) OVER (PARTITION BY g ORDER BY k) || role[1] AS two
+  FROM num
+), x AS (
+  SELECT *, CASE WHEN fault IN ('b', 'd') THEN '-' WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS sym, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS extra FROM flt
+), c AS (
+  SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY g
+), b AS (
+  SELECT g, n + 1 AS k, [0, 6, 3, 0] AS v FROM c
+  UNION ALL
+  SELECT g, k, [least(d0, d2 + 3, d3 + 6), least(d1, d2 + 3, d3 + 6), least(d2, d3 + 3), least(d3, d2 + 3)] FROM (
+    SELECT g, x.k, least(4 + v[1], CASE WHEN sym <> '-' THEN 3 + extra + v[3] END, CASE sym WHEN 's' THEN extra + v[2] WHEN 'u' THEN extra + v[3] END) AS d0,
+           least(4 + v[2], CASE WHEN sym <> '-' THEN 3 + extra + v[3] END, CASE sym WHEN 'u' THEN extra + v[3] END) AS d1,
+           least(4 + v[3], CASE WHEN sym <> '-' THEN 3 + extra + v[4] END, CASE sym WHEN 'a' THEN extra + v[4] END) AS d2,
+           least(4 + v[4], CASE WHEN sym <> '-' THEN 3 + extra + v[3] END, CASE sym WHEN 'u' THEN extra + v[3] END) AS d3
+    FROM b JOIN x USING (g) WHERE x.k = b.k - 1)
+), t AS (
+  SELECT g, 1::BIGINT AS k, 0 AS st, '' AS audit, NULL::VARCHAR AS rep FROM c
+  UNION ALL
+  SELECT g, CASE e WHEN 'I' THEN k ELSE k + 1 END, CASE e WHEN 'D' THEN st WHEN 'K' THEN kt ELSE put END, audit || e,
+         CASE e WHEN 'D' THEN rep ELSE coalesce(rep || chr(10), '') || CASE e WHEN 'K' THEN role || ':' || text ELSE CASE put WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END END END
+  FROM (
+    SELECT *, CASE WHEN sym IS NULL THEN 'I' WHEN 4 + f[st + 1] = h[st + 1] THEN 'D' WHEN 3 + h[put + 1] = h[st + 1] THEN 'I' WHEN extra + f[kt + 1] = h[st + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT t.*, x.sym, x.extra, x.role, x.text, here.v AS h, later.v AS f, [2, 2, 3, 2][st + 1] AS put,
+             CASE WHEN sym = 's' AND st = 0 THEN 1 WHEN sym = 'u' AND st <> 2 THEN 2 WHEN sym = 'a' AND st = 2 THEN 3 END AS kt
+      FROM t JOIN c USING (g) JOIN b AS here ON here.g = t.g AND here.k = t.k LEFT JOIN x ON x.g = t.g AND x.k = t.k LEFT JOIN b AS later ON later.g = t.g AND later.k = t.k + 1
+      WHERE NOT (t.k = n + 1 AND st IN (0, 3))))
+), done AS (
+  SELECT t.g, audit, sha256(coalesce(rep, '')) AS sha FROM t JOIN c USING (g) WHERE t.k = n + 1 AND st IN (0, 3)
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('v' || conv_id, '') AS g FROM conversations) a LEFT JOIN c USING (g) LEFT JOIN done USING (g) LEFT JOIN (SELECT g, v FROM b WHERE k = 1) USING (g)"""
