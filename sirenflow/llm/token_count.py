@@ -65,6 +65,7 @@ def words_of(texts: pa.BinaryArray) -> Iterator[list[bytes]]:
     after[off[:-1][full]] = False
     marks = np.flatnonzero(((kind & _MARK) > 0) & ends & after)
     wide = np.append(d[1:] >= 128, False)
+    wide[off[1:][full] - 1] = False  # a text's words depend on no other text
     small = np.where(((kind & _UPPER) > 0) & ~wide, d | 32, d)
     out = np.insert(small, marks, 32).tobytes()
     at = off + np.searchsorted(marks, off)
