@@ -1,13 +1,42 @@
-"""Lineage cut in the folder that driver and executors share."""
+"""Lineage cut, and small tables written, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder beside the warehouse where it is unset.
+
+    On a cluster an unset folder beside a warehouse on a local disk is an error: other machines would not see it.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        named = f"{warehouse}/_checkpoints"
+        if not sc.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def fresh(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``, or beside the warehouse where it is unset; survives the loss of any executor."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    """Reliable checkpoint in the shared folder; survives the loss of any executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder and read back, so that it is computed once and the planner knows its size."""
+    path = fresh(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

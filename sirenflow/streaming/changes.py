@@ -1,4 +1,4 @@
-"""Keyed state from streams (STR-01, STR-02, STR-03). Batch functions do the work, so a batch run is the test of the stream."""
+"""Changes folded into a table (STR-01), sessions and captures of readings (STR-03), in batches; see ``keyed`` for their streams."""
 
 from __future__ import annotations
 
@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sirenflow.operators.dispatch import LOUD_FACTOR, LOUD_FLOOR, QUIET_BELOW, QUIET_ROWS, QUIET_SEED
 from sirenflow.operators.upsert import patch
 
 FIELDS = ["address", "incident_type", "confidence_score"]
-TTL_S, QUIET_S, CAP_S, SILENCE_RMS = 600, 3, 75, 30.0
+QUIET_S, CAP_S, SILENCE_RMS = 3, 75, 30.0
 LOOK_S, FIRST_TICK_S, TICK_S, LOUD_OF, LOUD_NEED = 3.5, 10, 3, 5, 4
 APPARATUS = ("Chief Tone", "Engine Tone", "Rescue Tone")  # fixed values; a page for the station alone is none of them
 
@@ -54,44 +53,6 @@ def run_changes(stream: DataFrame, target: str, checkpoint: str, key: str = "dis
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def correlate(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STR-02 state function over (dispatch_id, phase, address, ts): phase 1 waits up to 600 s of event time for phase 2."""
-    def out(address, outcome):
-        return pd.DataFrame({"dispatch_id": [key[0]], "address": [address], "outcome": [outcome]})
-
-    if state.hasTimedOut:
-        address = state.get[0]
-        state.remove()
-        yield out(address, "single phase 1")
-        return
-    first, second, seen = (state.get[0] if state.exists else None), None, state.exists
-    latest = None
-    for pdf in rows:
-        for r in pdf.sort_values(["ts", "phase"]).itertuples():
-            latest = r.ts if latest is None or r.ts > latest else latest
-            if r.phase == 1:
-                first, seen = r.address, True
-            else:
-                second = (r.address,)
-    if second is not None:
-        if state.exists:
-            state.remove()
-        if not seen:
-            yield out(second[0], "single phase 2")
-        elif second[0] is None:
-            yield out(first, "kept")
-        else:
-            yield out(second[0], "confirmed" if second[0] == first else "regeocode")
-    elif seen:
-        state.update((first,))
-        state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + TTL_S * 1000)
-
-
-def run_correlation(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """STR-02 on a stream with columns dispatch_id, phase, address, ts; rows later than the watermark are dropped."""
-    return stream.withWatermark("ts", late).groupBy("dispatch_id").applyInPandasWithState(correlate, "dispatch_id string, address string, outcome string", "address string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def sessions(readings: DataFrame) -> DataFrame:
     """STR-03: (device, start, end, readings): readings above 30 no more than 3 s apart, cut every 75 s from a session's start."""
     w = Window.partitionBy("device").orderBy("ts")
@@ -110,36 +71,26 @@ def with_ticks(captures: DataFrame) -> DataFrame:
     return captures.withColumn("ticks", F.coalesce(F.transform(steps, lambda t: F.timestamp_micros(t)), F.array().cast("array<timestamp>")))
 
 
+def fresh_listener() -> dict:
+    return {"quiet": [QUIET_SEED], "loud": [], "recent": [], "look": None, "tones": [], "start": None, "silent": None, "tick": 0, "ticks": []}
+
+
 def capture_steps(rows: Iterator[tuple], state: dict | None) -> tuple[list[tuple], dict]:
     """One device's readings (ts in microseconds, rms, tone) in order, from a state on: finished captures (start, end, ticks, reason), and the new state.
 
-    Listening: the loud rule of WIN-05; four loud readings of the last five start a look at the tone for 3.5 s. A page
-    for the station alone, or no known tone, clears the baseline and listens on. Else a capture runs until the readings
-    have been below 30 for 3 s or 75 s are full; phase-1 ticks come every 3 s once it has 10 s.
+    Listening: the loud rule of WIN-05; four loud readings of the last five start a look at the tone and empty the list of
+    loud ones. The look covers the last five readings too and ends once it is 3.5 s long. A page for the station alone, or no known
+    tone, clears the baseline and listens on. Else a capture runs, from the first reading of the look, until the readings
+    have been below 30 for 3 s or 75 s are full; phase-1 ticks come every 3 s after the look once it has 10 s. After it all is
+    as at the start.
     """
-    s = state or {"quiet": [QUIET_SEED], "loud": [], "look": None, "tones": [], "start": None, "silent": None, "tick": 0, "ticks": []}
+    s = dict(state) if state else fresh_listener()
     out = []
     for ts, rms, tone in rows:
-        if s["start"] is None and s["look"] is None:
-            if rms is not None and rms < QUIET_BELOW:
-                s["quiet"] = [*s["quiet"], rms][-QUIET_ROWS:]
-            loud = rms is not None and rms > max(LOUD_FLOOR, LOUD_FACTOR * sum(s["quiet"]) / len(s["quiet"]))
-            s["loud"] = [*s["loud"], loud][-LOUD_OF:]
-            if sum(s["loud"]) >= LOUD_NEED:
-                s["look"], s["tones"] = ts, [tone] if tone else []
-        elif s["start"] is None:
-            if tone:
-                s["tones"].append(tone)
-            if ts - s["look"] >= LOOK_S * 1_000_000:
-                if any(t in APPARATUS for t in s["tones"]):
-                    s |= {"start": s["look"], "silent": None, "tick": ts, "ticks": []}
-                else:
-                    s |= {"quiet": [QUIET_SEED]}
-                s |= {"look": None, "tones": []}
         if s["start"] is not None:
             if ts - s["start"] >= FIRST_TICK_S * 1_000_000 and ts - s["tick"] >= TICK_S * 1_000_000:
                 s["tick"] = ts
-                s["ticks"].append(ts)
+                s["ticks"] = [*s["ticks"], ts]
             if rms is None or rms < SILENCE_RMS:
                 s["silent"] = ts if s["silent"] is None else s["silent"]
             else:
@@ -147,30 +98,52 @@ def capture_steps(rows: Iterator[tuple], state: dict | None) -> tuple[list[tuple
             full = ts - s["start"] >= CAP_S * 1_000_000
             if full or (s["silent"] is not None and ts - s["silent"] >= QUIET_S * 1_000_000):
                 out.append((s["start"], ts, s["ticks"], "full" if full else "silence"))
-                s = {"quiet": [QUIET_SEED], "loud": [], "look": None, "tones": [], "start": None, "silent": None, "tick": 0, "ticks": []}
+                s = fresh_listener()
+        elif s["look"] is not None:
+            if tone:
+                s["tones"] = [*s["tones"], tone]
+            if ts - s["look"] >= LOOK_S * 1_000_000:
+                if any(t in APPARATUS for t in s["tones"]):
+                    s |= {"start": s["look"], "silent": None, "tick": ts, "ticks": []}
+                else:
+                    s |= {"quiet": [QUIET_SEED]}
+                s |= {"look": None, "tones": []}
+        else:
+            s["recent"] = [*s["recent"], (ts, tone)][-LOUD_OF:]
+            if rms is not None and rms < QUIET_BELOW:
+                s["quiet"] = [*s["quiet"], rms][-QUIET_ROWS:]
+            loud = rms is not None and rms > max(LOUD_FLOOR, LOUD_FACTOR * sum(s["quiet"]) / len(s["quiet"]))
+            s["loud"] = [*s["loud"], loud][-LOUD_OF:]
+            if sum(s["loud"]) >= LOUD_NEED:
+                s |= {"look": s["recent"][0][0], "tones": [t for _, t in s["recent"] if t], "loud": []}
     return out, s
 
 
 CAPTURE = "device string, start timestamp, end timestamp, ticks array<timestamp>, reason string"
-_STATE = "quiet array<double>, loud array<boolean>, look long, tones array<string>, start long, silent long, tick long, ticks array<long>"
 
 
-def _captures(device: str, found: list[tuple]) -> pd.DataFrame:
+def captured(device: str, found: list[tuple]) -> pd.DataFrame:
     at = lambda us: pd.Timestamp(us, unit="us")
     return pd.DataFrame([(device, at(a), at(b), [at(t) for t in ticks], why) for a, b, ticks, why in found], columns=["device", "start", "end", "ticks", "reason"])
 
 
-def captures(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STR-03 state function over (device, us, rms, tone): readings of a batch in time order, the state carried to the next."""
-    names = ["quiet", "loud", "look", "tones", "start", "silent", "tick", "ticks"]
-    old = dict(zip(names, (list(v) if isinstance(v, (list, tuple)) else v for v in state.get), strict=True)) if state.exists else None
-    pdf = pd.concat(list(rows)).sort_values("us", kind="stable")
-    found, new = capture_steps(((int(r.us), None if pd.isna(r.rms) else float(r.rms), r.tone) for r in pdf.itertuples()), old)
-    state.update(tuple(new[n] for n in names))
-    yield _captures(key[0], found)
+def captures(readings: DataFrame) -> DataFrame:
+    """STR-03 in one batch: captures (device, start, end, ticks, reason) of readings (device string, ts, rms, tone).
 
-
-def run_captures(stream: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """STR-03 on a stream with columns device (string), ts, rms, tone (or null); readings later than the watermark are dropped."""
-    s = stream.withWatermark("ts", late).select("device", "ts", F.unix_micros("ts").alias("us"), "rms", "tone")
-    return s.groupBy("device").applyInPandasWithState(captures, CAPTURE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    A task sorts the readings of its devices and passes over them once, with one device's state at a time; readings without a
+    device or time are left out, and a capture that the readings do not end is not reported.
+    """
+    r = readings.where("device is not null and ts is not null").select("device", F.unix_micros("ts").alias("us"), "rms", "tone")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        device, state = None, None
+        for pdf in batches:
+            for name, part in pdf.groupby("device", sort=False):
+                if name != device:
+                    device, state = name, None
+                rows = ((int(u), None if pd.isna(v) else float(v), t) for u, v, t in zip(part["us"], part["rms"], part["tone"], strict=True))
+                found, state = capture_steps(rows, state)
+                if found:
+                    yield captured(device, found)
+
+    return r.repartition("device").sortWithinPartitions("device", "us", "rms", "tone").mapInPandas(run, CAPTURE)

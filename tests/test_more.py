@@ -65,18 +65,6 @@ def test_change_stream_equals_one_batch_and_stops_on_a_lost_snapshot(spark, tmp_
         assert "v=2" in str(e)
 
 
-def test_correlation_stream_equals_the_plain_rule(spark, tmp_path):
-    t0 = datetime(2024, 1, 1)
-    rows = [("a", 1, "x", t0), ("a", 2, "x", t0 + timedelta(seconds=50)), ("b", 1, "x", t0), ("b", 2, "y", t0 + timedelta(seconds=60)), ("c", 2, "z", t0), ("d", 1, "w", t0), ("d", 2, None, t0 + timedelta(seconds=5)), ("e", 1, "late", t0)]
-    late = [("f", 1, "q", t0 + timedelta(hours=2))]
-    for k, part in enumerate((rows[:4], rows[4:], late, [("g", 1, "q", t0 + timedelta(hours=4))])):
-        spark.createDataFrame(part, "dispatch_id string, phase int, address string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        s = spark.readStream.schema("dispatch_id string, phase int, address string, ts timestamp").parquet(str(tmp_path / "in"))
-        ch.run_correlation(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {x.dispatch_id: (x.address, x.outcome) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert {k: got[k] for k in "abcde"} == {"a": ("x", "confirmed"), "b": ("y", "regeocode"), "c": ("z", "single phase 2"), "d": ("w", "kept"), "e": ("late", "single phase 1")}
-
-
 def _sound():
     rms = [(k * 0.5, 10.0, None) for k in range(40)]
     rms += [(20 + k * 0.5, 200.0, "PA Tone" if k == 6 else None) for k in range(14)]  # a page for the station
@@ -101,18 +89,6 @@ def test_captures_follow_tone_silence_and_cap():
     assert parts == whole
 
 
-def test_capture_stream_equals_one_pass(spark, tmp_path):
-    t0, sound = datetime(2024, 1, 1), _sound()
-    for k in range(0, len(sound), 120):
-        part = [("m", t0 + timedelta(seconds=t), v, x) for t, v, x in sound[k : k + 120]]
-        spark.createDataFrame(part, "device string, ts timestamp, rms double, tone string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        s = spark.readStream.schema("device string, ts timestamp, rms double, tone string").parquet(str(tmp_path / "in"))
-        ch.run_captures(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = sorted((x.start, x.end, x.reason) for x in spark.read.parquet(str(tmp_path / "out")).collect())
-    want, _ = ch.capture_steps([(int(t * 1e6), v, x) for t, v, x in sound], None)
-    assert [(round((a - t0).total_seconds() * 1e6), round((b - t0).total_seconds() * 1e6), why) for a, b, why in got] == [(a, b, why) for a, b, _, why in want]
-
-
 def test_nearest_civic_with_blank_types_and_units(spark):
     parcels = spark.createDataFrame([(1, "100", "MAIN", "ST", None, 1.0, 1.0), (2, "899", "main", "AVE", "", 2.0, 2.0), (3, "901", "MAIN", "AVE", "4", 3.0, 3.0), (4, "99999999999", "MAIN", "AVE", None, 4.0, 4.0), (5, "101", "MAIN", "ST", None, None, 1.0)], "parcel_id int, house string, street string, street_type string, unit string, lat double, lng double")
     asked = spark.createDataFrame([(1, "900", "Main", "Ave"), (2, "900", "Main", ""), (3, "150", "Main", None), (4, "90", "Main", "Rd"), (5, "x", "Main", "St"), (6, "500", None, "St")], "request_id int, house string, street string, street_type string")
