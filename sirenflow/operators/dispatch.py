@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sirenflow.functions.geo import haversine_m
 from sirenflow.functions.text import unit_class, unit_hall, unit_type
+from sirenflow.operators.carry import scanned
 from sirenflow.operators.views import call_tones
 
 QUIET_SEED, QUIET_ROWS, QUIET_BELOW, LOUD_FLOOR, LOUD_FACTOR = 16.0, 50, 60.0, 40.0, 2.5
+LOUD_OF, LOUD_NEED = 5, 4
 
 
 def unreviewed(d: DataFrame) -> DataFrame:
@@ -113,18 +116,56 @@ def sync_closures(existing: DataFrame, notices: DataFrame, now) -> DataFrame:
     return fresh.unionByName(kept)
 
 
-def loud_readings(r: DataFrame) -> DataFrame:
+class _Loudness:
+    """Carries the last quiet readings of a device and whether its last four readings were loud.
+
+    A block's summary has its own last quiet readings, and its last four readings with the number of quiet ones after each: enough to
+    tell their loudness once the quiet readings before the block are known.
+    """
+
+    columns = ["rms"]
+
+    def start(self):
+        return np.array([QUIET_SEED]), np.array([], bool)
+
+    def read(self, summary, rows):
+        tail, last = summary or (np.array([]), [])
+        v = rows["rms"].to_numpy(float)
+        quiet = v < QUIET_BELOW
+        after = quiet[::-1].cumsum()[::-1] - quiet
+        own = list(zip(v[-LOUD_OF + 1 :], after[-LOUD_OF + 1 :], strict=True))
+        return np.concatenate((tail, v[quiet]))[-QUIET_ROWS - LOUD_OF :], [*((x, k + quiet.sum()) for x, k in last), *own][-LOUD_OF + 1 :]
+
+    def absorb(self, state, summary):
+        quiet, loud = state
+        tail, last = summary
+        both = np.concatenate((quiet, tail))
+        flags = [x > max(LOUD_FLOOR, LOUD_FACTOR * both[: len(both) - k][-QUIET_ROWS:].mean()) for x, k in last]
+        return both[-QUIET_ROWS:], np.concatenate((loud, np.array(flags, bool)))[-LOUD_OF + 1 :]
+
+    def write(self, state, rows):
+        quiet, loud = state
+        v = rows["rms"].to_numpy(float)
+        is_quiet = v < QUIET_BELOW
+        both = np.concatenate((quiet, v[is_quiet]))
+        end = len(quiet) + is_quiet.cumsum()
+        begin = np.maximum(end - QUIET_ROWS, 0)
+        total = np.concatenate(([0.0], both.cumsum()))
+        now = v > np.maximum(LOUD_FLOOR, LOUD_FACTOR * (total[end] - total[begin]) / (end - begin))
+        seen = np.concatenate((loud, now)).astype(int)
+        sums = np.concatenate(([0], seen.cumsum()))
+        at = np.arange(len(loud), len(seen)) + 1
+        out = rows.drop(columns="__device").assign(loud=now, triggered=sums[at] - sums[np.maximum(at - LOUD_OF, 0)] >= LOUD_NEED)
+        return out, (both[-QUIET_ROWS:], seen[-LOUD_OF + 1 :].astype(bool))
+
+
+def loud_readings(r: DataFrame, tasks: int | None = None) -> DataFrame:
     """WIN-05: (device, seq, rms, loud, triggered): loud above max(40, 2.5 x the mean of the last 50 quiet readings), triggered at 4 loud ones of 5.
 
     Quiet readings are those below 60, the current one included; a reading of 16 stands before a device's first. The mean
-    runs over quiet rows only, however far back they are. A null reading is neither quiet nor loud. One shuffle by
-    device serves all windows.
+    runs over quiet rows only, however far back they are. A null reading is neither quiet nor loud; readings of a null
+    device are one device's. A device's readings may lie in many tasks.
     """
-    r = r.repartition("device").withColumn("quiet", F.coalesce(F.col("rms") < QUIET_BELOW, F.lit(False)))
-    own = Window.partitionBy("device", "quiet").orderBy("seq")
-    n, tail = F.row_number().over(own), F.sum("rms").over(own.rowsBetween(1 - QUIET_ROWS, 0))
-    mean = F.when(n < QUIET_ROWS, (tail + QUIET_SEED) / (n + 1)).otherwise(tail / QUIET_ROWS)
-    w = Window.partitionBy("device").orderBy("seq")
-    r = r.withColumn("mean", F.when(F.col("quiet"), mean)).withColumn("mean", F.coalesce(F.last("mean", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(QUIET_SEED)))
-    r = r.withColumn("loud", F.coalesce(F.col("rms") > F.greatest(F.lit(LOUD_FLOOR), LOUD_FACTOR * F.col("mean")), F.lit(False)))
-    return r.select("device", "seq", "rms", "loud", (F.sum(F.col("loud").cast("int")).over(w.rowsBetween(-4, 0)) >= 4).alias("triggered"))
+    own = r.select("device", "seq", F.col("rms").cast("double").alias("rms"), F.coalesce(F.concat(F.lit("v"), F.col("device").cast("string")), F.lit("")).alias("__device"))
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("device", "seq", "rms"))
+    return scanned(own, "__device", ["seq"], _Loudness(), f"{kinds}, loud boolean, triggered boolean", tasks)

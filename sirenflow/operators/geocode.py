@@ -70,17 +70,20 @@ def nearest_civic(requests: DataFrame, parcels: DataFrame) -> DataFrame:
     """JN-04: the parcel without unit (null or blank) whose number on the street is closest, then lowest; confidence 70, 60 or 55 by distance.
 
     A request without a street type (null or blank) takes parcels of any type. Requests and parcels of a street are sorted
-    by number together, and each request looks at the next number below and above it, so a street's requests never
+    by number together, and each number asked for looks at the next one below and above it, so a street's requests never
     meet all its parcels.
     """
     digits = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("int"))
     p = parcels.where("(unit is null or trim(unit) = '') and lat is not null and lng is not null").select(digits("house").alias("n"), F.upper("street").alias("name"), F.upper(F.coalesce("street_type", F.lit(""))).alias("kind"), F.struct("parcel_id", "lat", "lng").alias("p")).where("n is not null")
     p = p.select("n", "name", F.explode(F.array_distinct(F.array("kind", F.lit("")))).alias("kind"), "p").groupBy("name", "kind", "n").agg(F.min("p").alias("p"))
     r = requests.select("request_id", digits("house").alias("n"), F.upper("street").alias("name"), F.upper(F.trim(F.coalesce("street_type", F.lit("")))).alias("kind")).where("n is not null and name is not null")
-    both = r.withColumn("p", F.lit(None).cast(p.schema["p"].dataType)).unionByName(p.withColumn("request_id", F.lit(None).cast(r.schema["request_id"].dataType)))
+    # one row a number asked for: a street's group is bounded by its different numbers, however often they are asked
+    asked = r.select("name", "kind", "n").distinct()
+    both = asked.withColumn("p", F.lit(None).cast(p.schema["p"].dataType)).unionByName(p)
     near = F.when(F.col("p").isNotNull(), F.struct("n", "p"))
     seen = lambda order: F.last(near, ignorenulls=True).over(Window.partitionBy("name", "kind").orderBy(order, F.col("p").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    m = both.withColumns({"below": seen(F.asc("n")), "above": seen(F.desc("n"))}).where("p is null")
+    m = both.withColumns({"below": seen(F.asc("n")), "above": seen(F.desc("n"))}).where("p is null").drop("p")
+    m = r.join(m, ["name", "kind", "n"])
     side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("n") - F.col(f"{c}.n")).alias("gap"), F.col(f"{c}.n").alias("p_n"), F.col(f"{c}.p.parcel_id").alias("parcel_id"), F.col(f"{c}.p.lat").alias("lat"), F.col(f"{c}.p.lng").alias("lng")))
     best = m.select("request_id", F.least(side("below"), side("above")).alias("b")).where("b is not null")
     g = F.col("b.gap")

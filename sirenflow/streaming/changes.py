@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sirenflow.operators.dispatch import LOUD_FACTOR, LOUD_FLOOR, QUIET_BELOW, QUIET_ROWS, QUIET_SEED
+from sirenflow.operators.carry import scanned
+from sirenflow.operators.dispatch import LOUD_FACTOR, LOUD_FLOOR, LOUD_NEED, LOUD_OF, QUIET_BELOW, QUIET_ROWS, QUIET_SEED
 from sirenflow.operators.upsert import patch
 
 FIELDS = ["address", "incident_type", "confidence_score"]
 QUIET_S, CAP_S, SILENCE_RMS = 3, 75, 30.0
-LOOK_S, FIRST_TICK_S, TICK_S, LOUD_OF, LOUD_NEED = 3.5, 10, 3, 5, 4
+LOOK_S, FIRST_TICK_S, TICK_S = 3.5, 10, 3
 APPARATUS = ("Chief Tone", "Engine Tone", "Rescue Tone")  # fixed values; a page for the station alone is none of them
 
 
@@ -53,15 +55,49 @@ def run_changes(stream: DataFrame, target: str, checkpoint: str, key: str = "dis
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sessions(readings: DataFrame) -> DataFrame:
-    """STR-03: (device, start, end, readings): readings above 30 no more than 3 s apart, cut every 75 s from a session's start."""
-    w = Window.partitionBy("device").orderBy("ts")
-    loud = readings.where(F.col("rms") >= SILENCE_RMS)
-    new = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > QUIET_S * 1_000_000, F.lit(True))
-    s = loud.withColumn("run", F.sum(new.cast("int")).over(w))
-    begin = F.min(F.unix_micros("ts")).over(Window.partitionBy("device", "run"))
-    s = s.withColumn("part", F.floor((F.unix_micros("ts") - begin) / (CAP_S * 1_000_000)))
-    return s.groupBy("device", "run", "part").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("readings")).drop("run", "part")
+class _Runs:
+    """Carries the time of a device's last loud reading and of the first one of its session.
+
+    A block's summary has its first and last reading and the begin of the last session that begins inside it, if one does.
+    """
+
+    columns = ["us"]
+
+    def start(self):
+        return None
+
+    def read(self, summary, rows):
+        us = rows["us"].to_numpy()
+        breaks = np.flatnonzero(np.diff(us, prepend=summary[1] if summary else us[0]) > QUIET_S * 1_000_000)
+        begin = int(us[breaks[-1]]) if len(breaks) else summary[2] if summary else None
+        return (summary[0] if summary else int(us[0])), int(us[-1]), begin
+
+    def absorb(self, state, summary):
+        first, last, begin = summary
+        if begin is None:
+            begin = state[1] if state and first - state[0] <= QUIET_S * 1_000_000 else first
+        return last, begin
+
+    def write(self, state, rows):
+        us = rows["us"].to_numpy()
+        new = np.diff(us, prepend=state[0] if state else us[0]) > QUIET_S * 1_000_000
+        new[0] |= state is None
+        at = np.maximum.accumulate(np.where(new, np.arange(len(us)), -1))
+        begin = np.where(at >= 0, us[at], state[1] if state else 0)
+        return rows.drop(columns="__device").assign(begin=begin), (int(us[-1]), int(begin[-1]))
+
+
+def sessions(readings: DataFrame, tasks: int | None = None) -> DataFrame:
+    """STR-03: (device, start, end, readings): readings above 30 no more than 3 s apart, cut every 75 s from a session's start.
+
+    Readings without a time are left out; those of a null device are one device's. A device's readings may lie in many tasks.
+    """
+    loud = readings.where((F.col("rms") >= SILENCE_RMS) & F.col("ts").isNotNull())
+    s = loud.select("device", F.unix_micros("ts").alias("us"), F.coalesce(F.concat(F.lit("v"), F.col("device").cast("string")), F.lit("")).alias("__device"))
+    s = scanned(s, "__device", ["us"], _Runs(), f"device {readings.schema['device'].dataType.simpleString()}, us long, begin long", tasks)
+    s = s.withColumn("part", F.floor((F.col("us") - F.col("begin")) / (CAP_S * 1_000_000)))
+    at = lambda c: F.timestamp_micros(c)
+    return s.groupBy("device", "begin", "part").agg(at(F.min("us")).alias("start"), at(F.max("us")).alias("end"), F.count("*").alias("readings")).drop("begin", "part")
 
 
 def with_ticks(captures: DataFrame) -> DataFrame:
