@@ -149,9 +149,10 @@ class _Loudness:
         is_quiet = v < QUIET_BELOW
         both = np.concatenate((quiet, v[is_quiet]))
         end = len(quiet) + is_quiet.cumsum()
-        begin = np.maximum(end - QUIET_ROWS, 0)
-        total = np.concatenate(([0.0], both.cumsum()))
-        now = v > np.maximum(LOUD_FLOOR, LOUD_FACTOR * (total[end] - total[begin]) / (end - begin))
+        # each window is summed anew, oldest first: a running total would keep rounding errors of all readings before
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(QUIET_ROWS - 1), both)), QUIET_ROWS)
+        total = np.cumsum(windows, axis=1)[:, -1][end - 1]
+        now = v > np.maximum(LOUD_FLOOR, LOUD_FACTOR * total / np.minimum(end, QUIET_ROWS))
         seen = np.concatenate((loud, now)).astype(int)
         sums = np.concatenate(([0], seen.cumsum()))
         at = np.arange(len(loud), len(seen)) + 1

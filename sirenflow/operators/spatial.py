@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sirenflow.functions import geo
+from sirenflow.operators.lineage import saved
 
 ZONE_CELL = 0.01
 NEAR_CELL = 0.013  # above 800 m in both directions at the latitudes served (below 55 degrees)
@@ -85,17 +86,44 @@ def nearest_within(targets: DataFrame, key: str, things: DataFrame, thing: str,
     return got.withColumnsRenamed({"__k": key, "thing": thing})
 
 
+def _nearest_in_rings(places: DataFrame, things: DataFrame, radius_m: float) -> DataFrame:
+    """(py, px, thing, dist_m): the nearest thing (thing, hy, hx) within the radius of each place, ties by id, searched outwards.
+
+    The first ring has cells of a third of the radius: whatever lies within a cell's width is in the nine cells around, so
+    a place that finds a thing that near is done. The others go on with cells of the whole radius.
+    """
+    left, out, around = places, None, F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    for reach in (radius_m / 3, radius_m):
+        lat_size = reach * 1.001 / geo.DEGREE_M
+        lng_size = lat_size / 0.57  # wide enough below 55 degrees
+        h = things.select("thing", "hy", "hx", (geo.cell(F.col("hy"), lat_size)).alias("cy"), geo.cell(F.col("hx"), lng_size).alias("cx"))
+        h = h.withColumn("cy", F.explode(F.transform(around, lambda d: F.col("cy") + d))).withColumn("cx", F.explode(F.transform(around, lambda d: F.col("cx") + d)))
+        t = left.withColumns({"cy": geo.cell(F.col("py"), lat_size), "cx": geo.cell(F.col("px"), lng_size)})
+        # a box of the reach before the distance
+        box = (F.abs(F.col("py") - F.col("hy")) <= lat_size) & (F.abs(F.col("px") - F.col("hx")) * F.cos(F.radians("py")) <= lat_size * 1.01)
+        m = t.join(h, ["cy", "cx"]).where(box).select("py", "px", "thing", geo.haversine_m(F.col("py"), F.col("px"), F.col("hy"), F.col("hx")).alias("dist_m")).where(F.col("dist_m") <= reach)
+        got = m.groupBy("py", "px").agg(F.min(F.struct("dist_m", "thing")).alias("b")).select("py", "px", F.col("b.thing").alias("thing"), F.col("b.dist_m").alias("dist_m"))
+        if out is None:
+            out = saved(got)
+            left = left.join(out.select("py", "px"), ["py", "px"], "left_anti")
+        else:
+            out = out.unionByName(got)
+    return out
+
+
 def nearest_hydrants(targets: DataFrame, hydrants: DataFrame, key: str = "dispatch_id") -> DataFrame:
     """SPJ-12: nearest usable city hydrant within 800 m and nearest private one (no flow class) within 400 m, nulls where none.
 
-    One join serves both, and one aggregate takes both minima.
+    Each different place is looked up once, in rings. Targets without a coordinate get nulls.
     """
-    usable = hydrants.where(~F.coalesce(F.upper("status"), F.lit("")).isin(*OUT_OF_USE)).withColumn("private", F.col("flow_class").isNull())
-    near = _met(targets, key, _around(usable, "object_id", "lat", "lng", "private"), CITY_M, "lat", "lng")
-    first = lambda ok: F.min(F.when(ok, F.struct("dist_m", "thing")))
-    got = near.groupBy("__k").agg(first(~F.col("private")).alias("c"), first(F.col("private") & (F.col("dist_m") <= PRIVATE_M)).alias("p"))
-    got = got.select(F.col("__k").alias(key), F.col("c.thing").alias("city_id"), F.col("c.dist_m").alias("city_m"), F.col("p.thing").alias("private_id"), F.col("p.dist_m").alias("private_m"))
-    return targets.select(key).join(got, key, "left")
+    usable = hydrants.where(~F.coalesce(F.upper("status"), F.lit("")).isin(*OUT_OF_USE) & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    usable = usable.select(F.col("object_id").alias("thing"), F.col("lat").alias("hy"), F.col("lng").alias("hx"), F.col("flow_class").isNull().alias("private"))
+    own = targets.select(key, F.col("lat").alias("py"), F.col("lng").alias("px"))
+    places = saved(own.select("py", "px").where("py is not null and px is not null").distinct())
+    city = _nearest_in_rings(places, usable.where("not private"), CITY_M).select("py", "px", F.col("thing").alias("city_id"), F.col("dist_m").alias("city_m"))
+    private = _nearest_in_rings(places, usable.where("private"), PRIVATE_M).select("py", "px", F.col("thing").alias("private_id"), F.col("dist_m").alias("private_m"))
+    found = city.join(private, ["py", "px"], "full_outer")
+    return own.join(found, ["py", "px"], "left").select(key, "city_id", "city_m", "private_id", "private_m")
 
 
 def in_grid(points: DataFrame, zones: DataFrame, grid: str = "map_grid", lat: str = "lat", lng: str = "lng", out: str = "in_grid") -> DataFrame:
@@ -106,47 +134,65 @@ def in_grid(points: DataFrame, zones: DataFrame, grid: str = "map_grid", lat: st
     return p.join(z, "__g", "left").withColumn(out, F.coalesce(geo.inside(x, y, e) & ~geo.on_edge(x, y, e), F.lit(False))).drop("__g", "__edges")
 
 
-def _segment_pairs(segments: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """Pairs of segments of two different streets that share a cell, each segment padded; a pair may come several times."""
+def _boxes(segments: DataFrame, size: float, pad: float) -> DataFrame:
+    """Segments with their padded box, once in each cell of the box."""
     s = segments.select("canon", "x1", "y1", "x2", "y2").dropna()
-    span = lambda k: F.explode(F.sequence(geo.cell(F.least(f"{k}1", f"{k}2") - pad, size), geo.cell(F.greatest(f"{k}1", f"{k}2") + pad, size)))
-    s = s.withColumn("cx", span("x")).withColumn("cy", span("y"))
-    a, b = s.alias("a"), s.alias("b")
-    m = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.canon") < F.col("b.canon")))
-    return m.select(F.col("a.canon").alias("canon_a"), F.col("b.canon").alias("canon_b"), *[F.col(f"{t}.{k}{n}").alias(f"{t}{k}{n}") for t in "ab" for k in "xy" for n in "12"])
+    s = s.withColumns({f"{k}lo": F.least(f"{k}1", f"{k}2") - pad for k in "xy"} | {f"{k}hi": F.greatest(f"{k}1", f"{k}2") + pad for k in "xy"})
+    for k in "xy":
+        s = s.withColumn(f"c{k}", F.explode(F.sequence(geo.cell(F.col(f"{k}lo"), size), geo.cell(F.col(f"{k}hi"), size))))
+    return s
 
 
-def line_crossings(segments: DataFrame, size: float = 0.01) -> DataFrame:
-    """SPJ-09: (canon_a, canon_b, x, y): points where segments of two different streets cross, each once.
+def segment_pairs(segments: DataFrame, size: float = 0.01, pad: float = 0.0) -> DataFrame:
+    """Pairs of segments of two different streets whose boxes, each padded, meet: canon_a, canon_b, ax1 .. by2, each pair once.
 
-    ``segments``: canon, x1, y1, x2, y2. Segments enter every cell their box touches; a pair that meets in several
-    cells gives one point. Parallel segments give none here; see ``street_nodes``.
+    A pair meets in every cell that both boxes touch; it is kept in the one that holds the lower left corner of what the
+    boxes share, so no pair is told apart by a shuffle.
     """
+    s = _boxes(segments, size, pad)
+    a, b = s.alias("a"), s.alias("b")
+    col = lambda t, c: F.col(f"{t}.{c}")
+    at = lambda k: geo.cell(F.greatest(col("a", f"{k}lo"), col("b", f"{k}lo")), size) == col("a", f"c{k}")
+    meet = (col("a", "cx") == col("b", "cx")) & (col("a", "cy") == col("b", "cy")) & (col("a", "canon") < col("b", "canon"))
+    for k in "xy":
+        meet = meet & (col("a", f"{k}lo") <= col("b", f"{k}hi")) & (col("b", f"{k}lo") <= col("a", f"{k}hi")) & at(k)
+    m = a.join(b, meet)
+    return m.select(col("a", "canon").alias("canon_a"), col("b", "canon").alias("canon_b"), *[col(t, f"{k}{n}").alias(f"{t}{k}{n}") for t in "ab" for k in "xy" for n in "12"])
+
+
+def _crossings(pairs: DataFrame) -> DataFrame:
     ax, ay, bx, by = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"), F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
     det, ox, oy = ax * by - ay * bx, F.col("bx1") - F.col("ax1"), F.col("by1") - F.col("ay1")
-    m = _segment_pairs(segments, size).where(F.abs(det) > 1e-18).select("canon_a", "canon_b", F.col("ax1").alias("x0"), F.col("ay1").alias("y0"), ax.alias("ax"), ay.alias("ay"), F.try_divide(ox * by - oy * bx, det).alias("t"), F.try_divide(ox * ay - oy * ax, det).alias("u"))
+    m = pairs.where(F.abs(det) > 1e-18).select("canon_a", "canon_b", F.col("ax1").alias("x0"), F.col("ay1").alias("y0"), ax.alias("ax"), ay.alias("ay"), F.try_divide(ox * by - oy * bx, det).alias("t"), F.try_divide(ox * ay - oy * ax, det).alias("u"))
     hit = m.where(F.col("t").between(-1e-9, 1 + 1e-9) & F.col("u").between(-1e-9, 1 + 1e-9))
     return hit.select("canon_a", "canon_b", F.round(F.col("x0") + F.col("t") * F.col("ax"), 6).alias("x"), F.round(F.col("y0") + F.col("t") * F.col("ay"), 6).alias("y")).distinct()
 
 
-def shared_stretches(segments: DataFrame, size: float = 0.01) -> DataFrame:
-    """SPJ-09: (canon_a, canon_b, x, y): the middle of each stretch that collinear segments of two streets share (a common end is one too)."""
+def line_crossings(segments: DataFrame, size: float = 0.01) -> DataFrame:
+    """SPJ-09: (canon_a, canon_b, x, y): points where segments of two different streets cross, each once.
+
+    ``segments``: canon, x1, y1, x2, y2. Parallel segments give none here; see ``street_nodes``.
+    """
+    return _crossings(segment_pairs(segments, size, 1e-9))
+
+
+def _stretches(pairs: DataFrame) -> DataFrame:
     ax, ay = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1")
     n = ax * ax + ay * ay
     on = lambda i: F.try_divide((F.col(f"bx{i}") - F.col("ax1")) * ax + (F.col(f"by{i}") - F.col("ay1")) * ay, n)
     off = lambda i: F.abs((F.col(f"bx{i}") - F.col("ax1")) * ay - (F.col(f"by{i}") - F.col("ay1")) * ax) <= geo.EDGE * F.sqrt(n)
-    m = _segment_pairs(segments, size).where((n > 0) & off(1) & off(2))
+    m = pairs.where((n > 0) & off(1) & off(2))
     m = m.withColumns({"lo": F.greatest(F.lit(0.0), F.least(on(1), on(2))), "hi": F.least(F.lit(1.0), F.greatest(on(1), on(2)))}).where(F.col("hi") - F.col("lo") >= -1e-9)
     t = (F.col("lo") + F.col("hi")) / 2
     return m.select("canon_a", "canon_b", F.round(F.col("ax1") + t * ax, 6).alias("x"), F.round(F.col("ay1") + t * ay, 6).alias("y")).distinct()
 
 
-def endpoint_snaps(segments: DataFrame, met: DataFrame, size: float = 0.01, snap_m: float = SNAP_M) -> DataFrame:
-    """SPJ-09: (canon_a, canon_b, x, y): for streets that come within ``snap_m`` of each other and do not meet (``met``: canon_a, canon_b), the middle of their shortest link.
+def shared_stretches(segments: DataFrame, size: float = 0.01) -> DataFrame:
+    """SPJ-09: (canon_a, canon_b, x, y): the middle of each stretch that collinear segments of two streets share (a common end is one too)."""
+    return _stretches(segment_pairs(segments, size, 1e-8))
 
-    Segments that do not cross are closest at an end of one of them.
-    """
-    pad = snap_m / geo.DEGREE_M * 2
+
+def _snaps(pairs: DataFrame, met: DataFrame, snap_m: float) -> DataFrame:
     ends = []
     for p, q in (("a", "b"), ("b", "a")):
         k = F.cos(F.radians(F.col(f"{p}y1")))
@@ -157,15 +203,28 @@ def endpoint_snaps(segments: DataFrame, met: DataFrame, size: float = 0.01, snap
             t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - F.col(f"{q}x1")) * k * dx + (py - F.col(f"{q}y1")) * dy, n), F.lit(0.0))))
             fx, fy = F.col(f"{q}x1") + t * (F.col(f"{q}x2") - F.col(f"{q}x1")), F.col(f"{q}y1") + t * (F.col(f"{q}y2") - F.col(f"{q}y1"))
             ends.append(F.struct((F.sqrt(F.pow((px - fx) * k, 2) + F.pow(py - fy, 2)) * geo.DEGREE_M).alias("m"), ((px + fx) / 2).alias("x"), ((py + fy) / 2).alias("y")))
-    m = _segment_pairs(segments, size, pad).select("canon_a", "canon_b", F.array_min(F.array(*ends)).alias("e")).where(F.col("e.m") <= snap_m)
-    best = m.groupBy("canon_a", "canon_b").agg(F.min("e").alias("e")).join(met.select("canon_a", "canon_b").distinct(), ["canon_a", "canon_b"], "left_anti")
+    apart = pairs.join(met.select("canon_a", "canon_b").distinct(), ["canon_a", "canon_b"], "left_anti")
+    m = apart.select("canon_a", "canon_b", F.array_min(F.array(*ends)).alias("e")).where(F.col("e.m") <= snap_m)
+    best = m.groupBy("canon_a", "canon_b").agg(F.min("e").alias("e"))
     return best.select("canon_a", "canon_b", F.round("e.x", 6).alias("x"), F.round("e.y", 6).alias("y"))
 
 
+def endpoint_snaps(segments: DataFrame, met: DataFrame, size: float = 0.01, snap_m: float = SNAP_M) -> DataFrame:
+    """SPJ-09: (canon_a, canon_b, x, y): for streets that come within ``snap_m`` of each other and do not meet (``met``: canon_a, canon_b), the middle of their shortest link.
+
+    Segments that do not cross are closest at an end of one of them.
+    """
+    return _snaps(segment_pairs(segments, size, snap_m / geo.DEGREE_M * 2), met, snap_m)
+
+
 def street_nodes(segments: DataFrame, size: float = 0.01) -> DataFrame:
-    """SPJ-09 with SET-04: crossings, middles of shared stretches and endpoint snaps of all pairs of streets, each point once."""
-    meets = line_crossings(segments, size).unionByName(shared_stretches(segments, size)).distinct()
-    return meets.unionByName(endpoint_snaps(segments, meets, size))
+    """SPJ-09 with SET-04: crossings, middles of shared stretches and endpoint snaps of all pairs of streets, each point once.
+
+    The pairs of segments that come near are built once and written; all three kinds of points are taken from them.
+    """
+    pairs = saved(segment_pairs(segments, size, SNAP_M / geo.DEGREE_M * 2))
+    meets = saved(_crossings(pairs).unionByName(_stretches(pairs)).distinct())
+    return meets.unionByName(_snaps(pairs, meets, SNAP_M))
 
 
 def number_candidates(nodes: DataFrame) -> DataFrame:
