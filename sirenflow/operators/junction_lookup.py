@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sirenflow.functions import geo
-from sirenflow.functions.fuzzy import fuzzy_ratio
 from sirenflow.functions.text import intersection_key, street_name
 from sirenflow.operators.geocode import FUZZY_MIN, _answer, exact_parcel
+from sirenflow.operators.similarity import near_names
 
 NEAR_NAME, NAMES_KEPT, SUGGESTIONS = 85, 4, 6
 BLOCK_M = 150.0
@@ -29,16 +29,6 @@ def cross_narrow(requests: DataFrame, intersections: DataFrame) -> DataFrame:
     return _answer(m, "cross", F.when(F.col("n") == 2, 75).otherwise(72))
 
 
-def _near_names(wanted: DataFrame, known: DataFrame, floor: int) -> DataFrame:
-    """(street, known, score) of names at or above the floor. Lengths that cannot reach it never meet: a ratio of ``floor``
-    bounds the other length to between floor/(200-floor) and its inverse, so names meet by length."""
-    w = wanted.select("street").distinct().withColumn("n", F.length("street")).where("n > 0")
-    lo, hi = floor - 0.5, 200 - floor + 0.5
-    w = w.withColumn("len", F.explode(F.sequence(F.ceil(F.col("n") * lo / hi).cast("int"), F.floor(F.col("n") * hi / lo).cast("int"))))
-    k = known.select("known").distinct().withColumn("len", F.length("known"))
-    return w.join(k, "len").select("street", "known", fuzzy_ratio("street", "known").alias("score")).where(F.col("score") >= floor)
-
-
 def suggestions(requests: DataFrame, intersections: DataFrame) -> DataFrame:
     """JN-06: (request_id, key, candidate_index, lat, lng, score, rank): existing intersections of similarly named streets.
 
@@ -49,7 +39,7 @@ def suggestions(requests: DataFrame, intersections: DataFrame) -> DataFrame:
     known = intersections.select(F.explode(F.split("key", " & ")).alias("known")).distinct()
     names = r.select(F.explode(F.array("a", "b")).alias("street")).distinct()
     same = names.join(known, F.col("street") == F.col("known")).withColumn("score", F.lit(100))
-    other = _near_names(names.join(same.select("street"), "street", "left_anti"), known, NEAR_NAME)
+    other = near_names(names.join(same.select("street"), "street", "left_anti"), known, NEAR_NAME)
     other = other.groupBy("street").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "known"))), 1, NAMES_KEPT).alias("best"))
     best = same.unionByName(other.select("street", F.explode("best").alias("x")).select("street", "x.known", (-F.col("x.s")).alias("score")))
     side = lambda n: best.select(F.col("street").alias(n), F.col("known").alias(f"k{n}"), F.col("score").alias(f"s{n}"))
@@ -110,7 +100,7 @@ def corrected_names(names: DataFrame, streets: DataFrame, name: str = "name") ->
     tail = F.regexp_extract(F.trim("name"), rf"(?i)^\S.*?\s+({types})$", 1)
     base = F.when(tail != "", F.regexp_replace(F.trim("name"), r"\s+\S+$", "")).otherwise(F.trim("name"))
     n = n.withColumns({"tail": tail, "street": F.trim(F.regexp_replace(F.lower(base), r"^(?:near|at)\s+", ""))})
-    scored = _near_names(n, streets.select(F.lower(F.trim("street")).alias("known")), LONG_MIN)
+    scored = near_names(n, streets.select(F.lower(F.trim("street")).alias("known")), LONG_MIN)
     ok = scored.where(F.col("score") >= F.when(F.length("street") <= SHORT_NAME, SHORT_MIN).otherwise(LONG_MIN))
     best = ok.groupBy("street").agg(F.min(F.struct((-F.col("score")).alias("s"), "known")).alias("b"))
     fixed = F.initcap(F.concat_ws(" ", F.col("b.known"), F.when(F.col("tail") != "", F.lower("tail"))))

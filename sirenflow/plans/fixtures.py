@@ -62,3 +62,11 @@ def zone_shapes(zones: DataFrame) -> DataFrame:
     box = F.array(p(0.0, 0.0), p(0.044, 0.0), p(0.044, 0.038), p(0.0, 0.038))
     ell = F.array(p(0.0, 0.0), p(0.044, 0.0), p(0.044, 0.019), p(0.022, 0.019), p(0.022, 0.038), p(0.0, 0.038))
     return zones.select("map_name", "hall_id", F.array(F.when(F.col("k").isin(7, 17), ell).otherwise(box)).alias("rings"))
+
+
+def ratio_sql(a: str, b: str) -> str:
+    """FN-07 for DuckDB: the ratio by a table of common subsequences."""
+    cell = f"CASE WHEN ascii({b}[j[1]::INT]) = x[1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], acc[len(acc)]) END"
+    row = f"list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len({b}) + 1), lambda j: [j])), lambda acc, j: list_append(acc, {cell}))"
+    lcs = f"list_reduce(list_concat([list_transform(range(0, len({b}) + 1), lambda i: 0::BIGINT)], list_transform(string_split({a}, ''), lambda ch: [ascii(ch)::BIGINT])), lambda prev, x: {row})[-1]"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 100 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE round_even({lcs} * 200 / (len({a}) + len({b})), 0)::INT END"
