@@ -185,3 +185,15 @@ def same_units(a: Column, b: Column) -> Column:
 def shared_units(a: Column, b: Column) -> Column:
     """SET-02: the units of both lists, in the first one's order; null is the empty list."""
     return F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+
+
+def tiles_per_zoom(required: DataFrame, present: DataFrame) -> DataFrame:
+    """AGG-17: (z, required, present, missing): different tiles (z, x, y) of each zoom that are needed, there, and needed but not there.
+
+    Zooms of either table are listed; tiles with a null key are left out.
+    """
+    tile = ["z", "x", "y"]
+    r = required.select(*tile).dropna().distinct().withColumn("r", F.lit(1))
+    p = present.select(*tile).dropna().distinct().withColumn("p", F.lit(1))
+    both = r.join(p, tile, "full_outer")
+    return both.groupBy("z").agg(F.count("r").alias("required"), F.count("p").alias("present"), F.count_if(F.col("r").isNotNull() & F.col("p").isNull()).alias("missing"))

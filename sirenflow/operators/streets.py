@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenflow.functions import geo
 from sirenflow.operators.lineage import cut
 from sirenflow.operators.junction_lookup import with_canon
+from sirenflow.operators.linkage import linked_points
 from sirenflow.operators.spatial import NEAR_CELL, ZONE_CELL, with_zone, zone_cells
 
 REACH = (0.005, 0.03, 0.25)  # degrees; each next one is searched only for points that found nothing
@@ -86,33 +85,14 @@ def with_front(parcels: DataFrame, fronts: DataFrame) -> DataFrame:
     return j.withColumns({"front_lat": F.when(F.col("__open"), F.col("__la")).otherwise(F.col("front_lat")), "front_lng": F.when(F.col("__open"), F.col("__lo")).otherwise(F.col("front_lng"))}).select(*parcels.columns)
 
 
-def _link(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Single linkage of one street pair's nodes: cells of the linking distance, each node against the nine around it."""
-    y, x = nodes["y"].to_numpy(), nodes["x"].to_numpy()
-    north, east = y * geo.DEGREE_M, x * geo.DEGREE_M * np.cos(np.radians(y.mean()))
-    head, cells = np.arange(len(nodes)), {}
-
-    def top(i: int) -> int:
-        while head[i] != i:
-            head[i] = i = head[head[i]]
-        return i
-
-    for i, (a, b) in enumerate(zip((north // JUNCTION_M).astype(int), (east // JUNCTION_M).astype(int))):
-        for j in (j for da in (-1, 0, 1) for db in (-1, 0, 1) for j in cells.get((a + da, b + db), ())):
-            if np.hypot(north[i] - north[j], east[i] - east[j]) <= JUNCTION_M:
-                head[max(top(i), top(j))] = min(top(i), top(j))
-        cells.setdefault((a, b), []).append(i)
-    return nodes.assign(cluster=[top(i) for i in range(len(nodes))])
-
-
 def junctions(nodes: DataFrame) -> DataFrame:
     """SPJ-10: (canon_a, canon_b, x, y, nodes): centroids of crossing points linked within 25 m, per street pair; no point is noise.
 
-    A group is the distinct crossing points of two streets. Null coordinates are left out; order does not matter.
+    Null coordinates are left out; order does not matter. Links are found by cells and joined by contraction, so the
+    crossings of one pair of streets need not fit one task.
     """
     n = nodes.select("canon_a", "canon_b", "x", "y").dropna().distinct()
-    ordered = lambda g: _link(g.sort_values(["x", "y"], ignore_index=True))
-    tagged = n.groupBy("canon_a", "canon_b").applyInPandas(ordered, "canon_a string, canon_b string, x double, y double, cluster long")
+    tagged = linked_points(n, ["canon_a", "canon_b"], JUNCTION_M)
     return tagged.groupBy("canon_a", "canon_b", "cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("nodes")).drop("cluster")
 
 

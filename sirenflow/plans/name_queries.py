@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sirenflow.operators import junction_lookup as jl
-from sirenflow.operators import similarity
+from sirenflow.operators import reports, similarity, spatial, streets, upsert
+from sirenflow.operators.lineage import fresh
 from sirenflow.plans.fixtures import load, ratio_sql, sql_of, with_sql
 from sirenflow.plans.reference_queries import _REQ, _XING
 from sirenflow.plans.stream_queries import ORACLE, QUERIES
-from sirenflow.plans.street_queries import _intersections, query
+from sirenflow.plans.street_queries import _intersections, _rounded, query
+from sirenflow.sources import tables
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -90,3 +92,50 @@ y AS (SELECT request_id, 0 AS step, b[3] AS lat, b[4] AS lng, -b[1] AS confidenc
  UNION ALL SELECT request_id, 5, lat, lng, 50, NULL FROM r JOIN m USING (street, street_type))
 SELECT request_id, min(step) AS step, arg_min(lat, step) AS lat, arg_min(lng, step) AS lng, arg_min(confidence, step) AS confidence, arg_min({{'x': note}}, step).x AS note FROM y GROUP BY 1"""
 )
+
+
+# chains of points along each crossing, some links just over 25 m
+_CHAIN = "SELECT canon_a, canon_b, x + (step * 0.00033D + step * step * 0.000004D) AS x, y + 0.00001D * step AS y FROM {crossings} LATERAL VIEW explode(sequence(0, cast(abs(x * 1000000) as bigint) % 7)) AS step"
+_CHAIN_SQL = "SELECT DISTINCT canon_a, canon_b, x + (step * 0.00033::DOUBLE + step * step * 0.000004::DOUBLE) AS x, y + 0.00001::DOUBLE * step AS y FROM (SELECT *, unnest(range(0, round(abs(x * 1000000))::BIGINT % 7 + 1)) AS step FROM n)"
+_LINKED = """, d AS (SELECT *, cos(radians(avg(y) OVER (PARTITION BY canon_a, canon_b))) AS k FROM g),
+e AS (SELECT a.canon_a, a.canon_b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM d a JOIN d b ON a.canon_a = b.canon_a AND a.canon_b = b.canon_b AND sqrt(((a.x - b.x) * a.k) ** 2 + (a.y - b.y) ** 2) * 6371000.0 * pi() / 180 <= 25),
+w AS (SELECT canon_a, canon_b, ax, ay, bx, by_ FROM e UNION SELECT w.canon_a, w.canon_b, w.ax, w.ay, e.bx, e.by_ FROM w JOIN e ON e.canon_a = w.canon_a AND e.canon_b = w.canon_b AND e.ax = w.bx AND e.ay = w.by_),
+h AS (SELECT canon_a, canon_b, ax, ay, min((bx, by_)) AS head FROM w GROUP BY 1, 2, 3, 4), j AS (SELECT canon_a, canon_b, avg(ax) AS x, avg(ay) AS y, count(*) AS nodes FROM h GROUP BY canon_a, canon_b, head)
+SELECT canon_a, canon_b, round(x, 8) AS x, round(y, 8) AS y, nodes, row_number() OVER (PARTITION BY canon_a, canon_b ORDER BY x, y) - 1 AS candidate_index FROM j"""
+_RECURSIVE = (with_sql("segments") + _XING).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["junction_clusters"] = _RECURSIVE + ", g AS (SELECT * FROM n)" + _LINKED
+
+
+@query(_RECURSIVE + f", g AS ({_CHAIN_SQL})" + _LINKED)
+def junction_chains(spark: SparkSession, d: str) -> DataFrame:
+    """SPJ-10 and WIN-01 on chains of points, linked step by step."""
+    n = spatial.line_crossings(load(spark, d, "segments"))
+    return _rounded(spatial.number_candidates(streets.junctions(spark.sql(_CHAIN.replace("cast(abs(x * 1000000) as bigint)", "cast(round(abs(x * 1000000)) as bigint)"), crossings=n))))
+
+
+@query(ORACLE["parcel_upsert"])
+def parcel_table(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-01 as a table that changes in place: one load, then four changes, each of which writes the buckets that it touches."""
+    p = load(spark, d, "parcels")
+    new = p.select("parcel_id", "gis_id", F.concat("street", F.lit(" NEW")).alias("street"), F.when(F.col("parcel_id") % 4 != 0, F.col("value") + 1).alias("value"), F.lit(None).cast("string").alias("hazard"))
+    t = tables.BucketedTable(spark, fresh(spark, "parcels"), "gis_id", buckets=16)
+    merge = lambda old, rows: rows if old is None else upsert.upsert(old, rows, "gis_id", ["street", "value"], ["hazard"])
+    t.merge(p.where("parcel_id % 3 <> 0").select("gis_id", "street", "value", F.concat(F.lit("note "), F.col("parcel_id").cast("string")).alias("hazard")), merge, "load")
+    for part in (0, 2, 4, 6):
+        t.merge(new.where(f"parcel_id % 8 = {part}").drop("parcel_id"), merge, f"part {part}")
+    return t.read()
+
+
+_TILED = "SELECT z, cast(floor((lng + 180) * 100 * z) as bigint) AS x, cast(floor(lat * 100 * z) as bigint) AS y, parcel_id FROM {p} {zooms}"
+_TILED_SQL = "SELECT z, floor((lng + 180) * 100 * z)::BIGINT AS x, floor(lat * 100 * z)::BIGINT AS y, parcel_id FROM parcels, (SELECT unnest(range(1, 6)) AS z)"
+
+
+@query(
+    with_sql("parcels")
+    + f""", t AS ({_TILED_SQL}), r AS (SELECT DISTINCT z, x, y FROM t WHERE parcel_id % 4 <> 0), p AS (SELECT DISTINCT z, x, y FROM t WHERE parcel_id % 3 = 0)
+SELECT z, count(r.x) AS required, count(p.x) AS present, count(*) FILTER (p.x IS NULL) AS missing FROM r FULL JOIN p USING (z, x, y) GROUP BY z"""
+)
+def tile_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-17: tiles per zoom, there and missing, on grids of five sizes over the parcels."""
+    t = spark.sql(_TILED.replace("{zooms}", "LATERAL VIEW explode(sequence(1L, 5L)) AS z"), p=load(spark, d, "parcels"))
+    return reports.tiles_per_zoom(t.where("parcel_id % 4 <> 0"), t.where("parcel_id % 3 = 0"))

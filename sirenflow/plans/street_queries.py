@@ -74,10 +74,14 @@ def closure_zones(spark: SparkSession, d: str) -> DataFrame:
     return streets.closure_zones(c, zone_shapes(load(spark, d, "zones"))).select("closure_id", "zone_id", F.array_join("affected_zones", ",").alias("affected"), "hall_id")
 
 
+def _rounded(junctions: DataFrame) -> DataFrame:
+    return junctions.withColumns({"x": F.round("x", 8), "y": F.round("y", 8)})
+
+
 @query()
 def junction_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """SPJ-10 and WIN-01 over all crossings; linkage is tested against brute force."""
-    return spatial.number_candidates(streets.junctions(spatial.line_crossings(load(spark, d, "segments"))))
+    """SPJ-10 and WIN-01 over all crossings."""
+    return _rounded(spatial.number_candidates(streets.junctions(spatial.line_crossings(load(spark, d, "segments")))))
 
 
 _OFF = "CASE WHEN road_id % 3 = 0 THEN 0.0005 ELSE 0.0 END"
