@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sirenflow.functions.fuzzy import token_set_ratio
-from sirenflow.functions.lines import point_at
 from sirenflow.functions.text import lookup_address
+from sirenflow.operators.chains import points_at
 
 STEPS = ("exact", "intersection", "block", "cross", "nearest civic", "street centroid", "road centroid")
 ANSWER = ("request_id", "step", "lat", "lng", "confidence", "note")
@@ -51,16 +51,17 @@ def block_range(requests: DataFrame, roads: DataFrame) -> DataFrame:
     by_full = r.join(roads.withColumn("full", F.upper("fullname")), "full").drop("name", "full")
     by_name = r.join(roads.withColumn("name", F.upper("roadname")), "name").drop("name", "full")
     both, hits = by_full.unionByName(by_name), None
-    shape = F.col("lines") if "lines" in roads.columns else F.struct("x1", "y1", "x2", "y2")
+    shape = F.lit(0) if "lines" in roads.columns else F.struct("x1", "y1", "x2", "y2")
     for rank, side in enumerate(("left", "right")):
         a, b = F.col(f"{side}_begin"), F.col(f"{side}_end")
         f = F.when(a == b, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("n") - a) / (b - a))))
         one = both.where(F.col("n").between(F.least(a, b), F.greatest(a, b))).select("request_id", F.struct(F.lit(rank).alias("side"), "road_id", f.alias("f"), shape.alias("shape")).alias("b"))
         hits = one if hits is None else hits.unionByName(one)
-    best = hits.groupBy("request_id").agg(F.min_by("b", F.struct("b.side", "b.road_id")).alias("b")).select("request_id", F.col("b.f").alias("f"), F.col("b.shape").alias("s"))
+    best = hits.groupBy("request_id").agg(F.min_by("b", F.struct("b.side", "b.road_id")).alias("b"))
     if "lines" in roads.columns:
-        at = best.select("request_id", point_at(F.col("s"), F.col("f")).alias("p")).select("request_id", "p.lat", "p.lng")
+        at = points_at(best.select("request_id", "b.road_id", "b.f"), roads)
     else:
+        best = best.select("request_id", F.col("b.f").alias("f"), F.col("b.shape").alias("s"))
         on = lambda k: F.col(f"s.{k}1") + F.col("f") * (F.col(f"s.{k}2") - F.col(f"s.{k}1"))
         at = best.select("request_id", on("y").alias("lat"), on("x").alias("lng"))
     return _answer(at, "block", 70)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sirenflow.functions import fuzzy
-from sirenflow.operators import streets, tones, views
+from sirenflow.operators import geocode, streets, tones, views
 from sirenflow.plans.fixtures import load, ratio_sql, with_sql, zone_shapes
 from sirenflow.plans.name_queries import ORACLE, QUERIES
+from sirenflow.plans.reference_queries import _requests
 from sirenflow.plans.street_queries import _CLIPPED, _shifted, _shifted_sql, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -89,3 +90,15 @@ def token_set_scores(spark: SparkSession, d: str) -> DataFrame:
     """FN-07: token-set ratios of two spoken forms."""
     t = spark.sql(_SAID, customer=spark.read.parquet(f"{d}/customer.parquet"))
     return t.select("k", fuzzy.token_set_ratio("a", "b").alias("score"))
+
+
+# a road's thirds, the middle one first and backwards: the line starts at the end of the second part, the road's end
+@query(ORACLE["block_range"].replace("y1 + t * (y2 - y1) AS lat, x1 + t * (x2 - x1) AS lng", "round(y2 + t * (y1 - y2), 9) AS lat, round(x2 + t * (x1 - x2), 9) AS lng"))
+def block_range_parts(spark: SparkSession, d: str) -> DataFrame:
+    """JN-02 and LIN-02 on roads of three parts each, joined by their ends."""
+    at = lambda t: F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("lng"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("lat"))
+    a, b = 1 / 3, 2 / 3
+    lines = F.array(F.array(at(b), at(0.5), at(a)), F.array(at(b), at(1.0)), F.array(at(0.0), at(a)))
+    roads = load(spark, d, "segments").withColumns({"fullname": F.concat("canon", F.lit(" LANE")), "roadname": F.col("canon"), "lines": lines})
+    got = geocode.block_range(_requests(load(spark, d, "parcels")), roads)
+    return got.withColumns({"lat": F.round("lat", 9), "lng": F.round("lng", 9)})
