@@ -75,7 +75,7 @@ def phase_outcomes_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 # a device's readings half a second apart: half a minute of quiet, half a minute of sound, and every fifth device never falls silent again
-_SOUND = """SELECT concat('d', user_id % 20) AS device, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS rn, user_id % 20 AS dn, value FROM {events}"""
+_SOUND = """SELECT concat('d', user_id % 20) AS device, cast(row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS bigint) AS rn, user_id % 20 AS dn, value FROM {events}"""
 _HEARD = """SELECT device, rn, 1704067200000000 + rn * 500000 AS us, CASE WHEN rn % 97 = 0 THEN NULL WHEN turn % 2 = 1 OR (dn % 5 = 0 AND turn > 2) THEN 120 + value % 50 ELSE value % 25 END AS rms,
  CASE WHEN rn % 60 = 3 AND turn % 8 = 7 THEN 'Chief Tone' WHEN rn % 60 = 7 THEN CASE WHEN turn % 8 IN (1, 5) THEN 'Engine Tone' WHEN turn % 8 = 3 AND dn % 2 = 0 THEN 'PA Tone' END END AS tone
  FROM (SELECT *, (rn - rn % 60) / 60 AS turn FROM {s})"""
