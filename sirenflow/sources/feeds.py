@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sirenflow.functions.fuzzy import polyline
 from sirenflow.functions.text import blank_to_null
 from sirenflow.operators.reports import FIRST_DUE
-from sirenflow.sources.readers import _rings, features
+from sirenflow.sources.readers import _rings, features, listed
 
 #: Address columns taken as they are, fixed values.
 ADDRESS_TEXT = ("GIS_ID", "HOUSE", "STREET", "STREETTYPE", "UNIT", "UNITTYPE", "POSTAL", "BLOCK", "PLAN", "LOT", "PLAN_AREA", "FOLIO", "ZONETYPE1", "ZONETYPE2", "ZONETYPE3", "SC_CARD")
@@ -24,9 +24,9 @@ NO_ACCESS_BIT, ACCESS_ONLY_BITS = 262144, (65536, 32768, 16384)
 CLOSURE = ("closure_id", "street_name", "source", "closure_type", "emergency_access", "headline", "description", "points", "lat", "lng", "start_time", "end_time")
 
 
-def addresses(spark: SparkSession, path: str) -> DataFrame:
+def addresses(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """SRC-05 of a feature collection."""
-    f = features(spark, path)
+    f = features(spark, path, split)
     point = F.from_json("coordinates", "array<double>")
     ring = F.get(_rings(F.col("kind"), F.col("coordinates")), F.lit(0))
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / F.size(ring)
@@ -53,33 +53,32 @@ def parcels(rows: DataFrame) -> DataFrame:
     return best.select("address", "r.*")
 
 
-def zone_units(spark: SparkSession, path: str) -> DataFrame:
+def zone_units(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """SRC-06: (zone_id, unit_id, station, hall_id) of a list or a feature collection; blank rows go, an unknown unit has no hall."""
     row = "struct<zone_id:string,unit_id:string,station:string>"
-    raw = spark.read.text(path, wholetext=True)
-    listed = F.coalesce(F.from_json("value", f"struct<features:array<{row}>>").getField("features"), F.from_json("value", f"array<{row}>"))
-    z = raw.select(F.explode(listed).alias("z")).select(F.trim("z.zone_id").alias("zone_id"), F.upper(F.trim("z.unit_id")).alias("unit_id"), F.nullif(F.trim("z.station"), F.lit("")).alias("station"))
+    z = listed(spark, path, "features", row, split).select(F.col("r").alias("z")).select(F.trim("z.zone_id").alias("zone_id"), F.upper(F.trim("z.unit_id")).alias("unit_id"), F.nullif(F.trim("z.station"), F.lit("")).alias("station"))
     hall = F.try_element_at(F.create_map(*[F.lit(x) for kv in FIRST_DUE.items() for x in kv]), F.col("unit_id"))
     return z.where("zone_id != '' and unit_id != ''").withColumn("hall_id", hall)
 
 
 def _instant(c: Column) -> Column:
-    return c.try_cast("timestamp")
+    """A time of ISO form, seconds or none."""
+    return F.regexp_replace(c, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d)(?![:\d])", "$1:00").try_cast("timestamp")
 
 
 def _middle(points: Column, k: str) -> Column:
     return F.get(points, F.floor(F.size(points) / 2).cast("int"))[k]
 
 
-def open511(spark: SparkSession, path: str) -> DataFrame:
+def open511(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """SRC-08: closures of an Open511 event list. Other geometries than points and lines go; no coordinate is made up.
 
     Times come from the first interval, else the first recurring schedule (from 00:00 to 23:59:59), else the creation.
     """
     event = """struct<id:string,road_name:string,severity:string,headline:string,description:string,created:string,geography:struct<type:string,coordinates:string>,
       schedule:struct<intervals:array<string>,recurring_schedules:array<struct<start_date:string,end_date:string,daily_start_time:string,daily_end_time:string>>>>"""
-    e = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<events:array<{event}>>").getField("events")).alias("e")).select("e.*")
-    xy = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    e = listed(spark, path, "events", event, split).select("r.*")
+    xy = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     text, line = F.col("geography.coordinates"), F.col("geography.type") == "LineString"
     pts = F.when(F.col("geography.type") == "Point", F.array(xy(F.from_json(text, "array<double>")))).when(line, F.transform(F.from_json(text, "array<array<double>>"), xy))
     e = e.withColumn("points", F.filter(pts, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).where(F.size("points") > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sirenflow.functions.text import lookup_address
@@ -26,6 +26,26 @@ def write_manifest(d: DataFrame, path: str) -> None:
     training_manifest(d).orderBy("file_name").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_listed(d: DataFrame, path: str, head: str, tail: str, per_file: int = 50_000) -> None:
+    """JSON files of ``head``, the texts ``value`` in the order of the whole number ``key`` with commas between, and ``tail``.
+
+    A file is one task's work and holds ``per_file`` values of key; rows of one key share a file, and rows without a key share one.
+    """
+    part = F.coalesce(F.floor(F.col("key") / per_file), F.lit(-1)).alias("part")
+    last = F.lead("part").over(Window.partitionBy("part").orderBy("key", "value")).isNull()
+    rows = d.select(part, "key", "value").withColumn("last", last).select("part", F.lit(1).alias("at"), "key", "last", F.when(F.col("last"), F.col("value")).otherwise(F.concat("value", F.lit(","))).alias("value"))
+    ends = d.select(part).distinct().select("part", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("at"), F.lit(tail).alias("value")))).alias("e"))
+    lines = rows.unionByName(ends.select("part", "e.at", "e.value"), allowMissingColumns=True)
+    lines.repartition("part").sortWithinPartitions("part", "at", "key", "last").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+
+
+def write_features(d: DataFrame, path: str, key: str, per_file: int = 50_000) -> None:
+    """Feature collections of the columns ``properties`` and ``geometry``, see :func:`write_listed`."""
+    text = F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", "geometry"), {"ignoreNullFields": "false"})
+    head = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"EPSG:4326"}},"features":['
+    write_listed(d.select(F.col(key).alias("key"), text.alias("value")), path, head, "]}", per_file)
+
+
 def append_evaluation(metrics: DataFrame, path: str, run: str | None = None) -> None:
     """SNK-06: adds the evaluation rows of one run to the history table, in the folder run=<name>; a retry replaces its own rows only.
 
