@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sirenflow.functions import geo
+from sirenflow.operators import density
 from sirenflow.operators.lineage import saved
 
 ZONE_CELL = 0.01
+SPLITS = 6  # down to cells of some 15 m
 NEAR_CELL = 0.013  # above 800 m in both directions at the latitudes served (below 55 degrees)
 NEAR_LAT, NEAR_LNG = 0.0075, 0.013  # the same with cells no higher than need be
 SLIVER_M, SNAP_M = 5.0, 2.0
@@ -22,27 +24,46 @@ def zone_cells(zones: DataFrame, name: str = "map_name", rings: str = "rings", p
     Crossing parity, edge and distance tests of a cell's points look at no other edges, so a long outline is not copied
     whole into each cell.
     """
+    z = _zone_boxes(zones, rings, name, pad_m)
+    return z.select("map_name", "edges", "cx", "cy")
+
+
+def _at_height(rows: DataFrame, size: float, pad: float) -> DataFrame:
+    """Rows of zones in cells, with the edges at their cell's height alone; a cell without any goes."""
+    south, north = F.col("cy") * size - pad, (F.col("cy") + 1) * size + pad
+    level = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
+    return rows.withColumn("edges", level).where(F.size("edges") > 0)
+
+
+def _zone_boxes(zones: DataFrame, rings: str, name: str, pad_m: float) -> DataFrame:
     z = zones.select(F.col(name).alias("map_name"), geo.ring_edges(F.col(rings)).alias("edges"))
     pad = pad_m / geo.DEGREE_M * 2
     lo = lambda k: F.array_min(F.transform("edges", lambda e: F.least(e[f"{k}1"], e[f"{k}2"]))) - pad
     hi = lambda k: F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{k}1"], e[f"{k}2"]))) + pad
-    z = z.withColumns({"xs": F.sequence(geo.cell(lo("x"), ZONE_CELL), geo.cell(hi("x"), ZONE_CELL)), "cy": F.explode(F.sequence(geo.cell(lo("y"), ZONE_CELL), geo.cell(hi("y"), ZONE_CELL)))})
-    south, north = F.col("cy") * ZONE_CELL - pad, (F.col("cy") + 1) * ZONE_CELL + pad
-    level = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
-    return z.select("map_name", level.alias("edges"), F.explode("xs").alias("cx"), "cy").where(F.size("edges") > 0)
+    z = z.withColumns({f"{k}{end}": of(k) for k in "xy" for end, of in (("lo", lo), ("hi", hi))})
+    cells = lambda k: F.sequence(geo.cell(F.col(f"{k}lo"), ZONE_CELL), geo.cell(F.col(f"{k}hi"), ZONE_CELL))
+    z = _at_height(z.withColumns({"xs": cells("x"), "cy": F.explode(cells("y"))}), ZONE_CELL, pad)
+    return z.withColumn("cx", F.explode("xs")).drop("xs")
 
 
-def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str = "lng", out: str = "zone_id", strict: bool = False) -> DataFrame:
+def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str = "lng", out: str = "zone_id", strict: bool = False, per_cell: int | None = None) -> DataFrame:
     """SPJ-01: the zone of each point; with ``strict`` SPJ-02, 03 and 06, where a boundary point has none.
 
     Boundary-inclusive; of several zones the lowest numeric name (other names last); else the nearest zone
     within 5 m; else null. Each different place is looked up once and meets only the zones whose box touches its cell;
     partial minima are taken per place. Points with a null coordinate get null; a column ``out`` is replaced.
+    With ``per_cell`` a cell of more different places is split in four, up to ``SPLITS`` times, so that neither a crowded quarter
+    nor many small zones in one cell are one task's work; it costs a count of the places.
     """
     keyed = points.select(F.col(lat).alias("__y"), F.col(lng).alias("__x")).where("__x is not null and __y is not null").distinct()
-    keyed = keyed.withColumns({"cx": geo.cell(F.col("__x"), ZONE_CELL), "cy": geo.cell(F.col("__y"), ZONE_CELL)})
     x, y = F.col("__x"), F.col("__y")
-    met = keyed.join(zone_cells(zones), ["cx", "cy"])
+    if per_cell:
+        keyed, pad = saved(keyed), SLIVER_M / geo.DEGREE_M * 2
+        dense = density.dense_cells(keyed, "__x", "__y", ZONE_CELL, per_cell, SPLITS)
+        cells = density.to_leaves(_zone_boxes(zones, "rings", "map_name", SLIVER_M), dense, ZONE_CELL, SPLITS, lambda rows, width: _at_height(rows, width, pad))
+        met = density.in_leaf(keyed, dense, x, y, ZONE_CELL, SPLITS).join(cells.select("map_name", "edges", "level", "cx", "cy"), ["level", "cx", "cy"])
+    else:
+        met = keyed.withColumns({"cx": geo.cell(x, ZONE_CELL), "cy": geo.cell(y, ZONE_CELL)}).join(zone_cells(zones), ["cx", "cy"])
     edge = geo.on_edge(x, y, F.col("edges"))
     hit = geo.inside(x, y, F.col("edges")) & ~edge if strict else geo.inside(x, y, F.col("edges")) | edge
     away = F.when(hit, F.lit(-1.0)).otherwise(F.lit(None).cast("double") if strict else geo.edge_distance_m(x, y, F.col("edges")))

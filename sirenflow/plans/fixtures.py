@@ -27,6 +27,8 @@ FIXTURES = {
         case when o_orderkey % 5 = 0 then 'none' else 'CH 2' end as radio_channel, o_totalprice % 100 as confidence_score,
         case o_orderstatus when 'F' then true when 'O' then false end as feedback_submitted,
         case o_orderkey % 4 when 0 then 'Medical Aid' when 1 then 'medical aid ' when 2 then 'Structure Fire' else o_orderpriority end as incident_type from {orders}""",
+    "crowded": """select o_orderkey as id, case when o_orderkey % 10 > 0 then 49.2301D + (o_orderkey * 7907 % 9887) / 1000000D else 49.20D + (o_orderkey * 7907 % 1900) / 10000D end as lat,
+        case when o_orderkey % 10 > 0 then -122.8799D + (o_orderkey * 99991 % 9901) / 1000000D else -122.92D + (o_orderkey * 99991 % 2200) / 10000D end as lng from {orders}""",
     "segments": """select s_suppkey as road_id, concat('STREET', s_suppkey % 40) as canon,
         -122.92D + (s_suppkey * 37 % 200) / 1000D as x1, 49.20D + (s_suppkey * 53 % 180) / 1000D as y1,
         -122.92D + (s_suppkey * 37 % 200) / 1000D + (s_suppkey % 7 - 3) / 30D as x2, 49.20D + (s_suppkey * 53 % 180) / 1000D + (s_suppkey % 5 - 1.5D) / 30D as y2,

@@ -1,16 +1,18 @@
-"""Registered queries, with SQL, of the file readers: rows of the tables written as municipal files and read back in byte ranges."""
+"""Registered queries, with SQL: tables written as municipal files and read back in byte ranges, and zones of crowded places."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sirenflow.functions import transcript
+from sirenflow.operators import spatial
 from sirenflow.operators.lineage import fresh
 from sirenflow.plans.fixtures import load, with_sql, zone_shapes
+from sirenflow.plans.reference_queries import _ZONE_OF, query
 from sirenflow.plans.row_queries import ORACLE, QUERIES
-from sirenflow.plans.street_queries import query
 from sirenflow.sources import feeds, readers
-from sirenflow.sources.sinks import write_features, write_listed
+from sirenflow.sources.sinks import append_evaluation, write_features, write_listed
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -102,3 +104,85 @@ def open511_files(spark: SparkSession, d: str) -> DataFrame:
     write_listed(t.withColumn("plain", plain).select(F.col("event_id").alias("key"), value.alias("value")), path, '{"pagination":{"offset":0},"events":[', "]}", PER_FILE)
     c = feeds.open511(spark, f"{path}/*/*.txt", split=True)
     return c.select("closure_id", "street_name", "closure_type", "emergency_access", "lat", "lng", F.unix_seconds("start_time").alias("start_s"), F.unix_seconds("end_time").alias("end_s"))
+
+
+@query(with_sql("zones", "crowded") + f" SELECT id, {_ZONE_OF} AS zone_id FROM crowded p")
+def crowded_zones(spark: SparkSession, d: str) -> DataFrame:
+    """SPJ-01 where nine places of ten lie in one cell, which four zones meet in: the cell is split by its counts."""
+    return spatial.with_zone(load(spark, d, "crowded"), zone_shapes(load(spark, d, "zones")), per_cell=2_000).select("id", "zone_id")
+
+
+@query(
+    """WITH t AS (SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'E1' WHEN 1 THEN 'E2' WHEN 2 THEN 'E3' WHEN 3 THEN 'Q5' WHEN 4 THEN 'E4' WHEN 5 THEN 'X9' END AS unit_id FROM customer)
+SELECT concat('', k) AS zone_id, unit_id, CASE WHEN k % 2 = 0 THEN 'Hall' END AS station, CASE unit_id WHEN 'E1' THEN '1' WHEN 'E2' THEN '2' WHEN 'E3' THEN '3' WHEN 'Q5' THEN '3' WHEN 'E4' THEN '4' END AS hall_id FROM t WHERE unit_id IS NOT NULL AND k % 9 > 0"""
+)
+def zone_unit_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-06: a bare list of zones with their first-due unit; blank zones and units go."""
+    t = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS key", "to_json(named_struct('zone_id', if(c_custkey % 9 = 0, ' ', concat(c_custkey, ' ')), 'unit_id', element_at(array('e1', ' E2', 'e3', 'q5', 'E4', 'x9', ''), int(c_custkey % 7) + 1), 'station', if(c_custkey % 2 = 0, ' Hall ', ' '))) AS value")
+    path = fresh(spark, "feeds")
+    write_listed(t, path, "[", "]", PER_FILE)
+    return feeds.zone_units(spark, f"{path}/*/*.txt", split=True)
+
+
+@query(
+    """WITH n AS (SELECT concat('Road ', s_suppkey % 70) AS r FROM supplier WHERE s_suppkey % 5 > 0 UNION SELECT concat('Lane ', s_suppkey % 30) FROM supplier WHERE s_suppkey % 4 > 0 UNION SELECT s_name FROM supplier)
+SELECT r AS road_name, upper(r) AS road_name_normalized FROM n"""
+)
+def road_name_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-04: the suppliers' names in files of the three forms, some of them blank or repeated."""
+    t, base = spark.read.parquet(f"{d}/supplier.parquet"), fresh(spark, "feeds")
+    forms = {
+        "a": ("to_json(named_struct('attributes', if(s_suppkey % 2 = 0, map('ROAD_NAME', r), map('road_name', r))))", "if(s_suppkey % 5 = 0, ' ', concat(' Road ', s_suppkey % 70))", '{"features":[', "]}"),
+        "b": ("concat('\"', r, '\"')", "if(s_suppkey % 4 = 0, '', concat('Lane ', s_suppkey % 30, ' '))", "[", "]"),
+        "c": ("to_json(map('RoadName', r))", "s_name", "[", "]"),
+    }
+    for name, (value, r, head, tail) in forms.items():
+        write_listed(t.withColumn("r", F.expr(r)).selectExpr("s_suppkey AS key", f"{value} AS value"), f"{base}/{name}", head, tail, PER_FILE)
+    return readers.road_names(spark, f"{base}/*/*/*.txt")
+
+
+@query(
+    with_sql("dispatches") + """ SELECT dispatch_id, concat(id % 900, ' ', street) AS address, lat, id % 2 = 0 AS include_in_training, CASE WHEN id % 5 > 0 THEN 'CH "2"' END AS channel FROM dispatches"""
+)
+def dispatch_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-10: dispatch records whose target is an object, a JSON text, or a text that holds a quoted JSON text."""
+    t = load(spark, d, "dispatches").withColumn("o", F.expr("to_json(named_struct('address', concat(id % 900, ' ', street), 'lat', lat, 'include_in_training', id % 2 = 0, 'radio_channel', if(id % 5 > 0, 'CH \"2\"', null)))"))
+    quoted = lambda c: F.expr(f"substr(to_json(named_struct('t', {c})), 6, length(to_json(named_struct('t', {c}))) - 6)")
+    t = t.withColumn("q", quoted("o"))
+    target = F.when(F.col("id") % 3 == 0, F.col("o")).when(F.col("id") % 3 == 1, F.col("q")).otherwise(quoted("q"))
+    path = fresh(spark, "feeds")
+    t.select(F.concat(F.lit('{"dispatch_id":"'), "dispatch_id", F.lit('","target":'), target, F.lit("}"))).write.text(path)
+    r = feeds.dispatches(spark, path)
+    return r.select("dispatch_id", *[F.col(f"target.{c}").alias(c) for c in ("address", "lat", "include_in_training")], F.col("target.radio_channel").alias("channel"))
+
+
+@query("SELECT concat('t', event_id) AS timestamp, event_type AS tone, value AS score, concat(user_id, ',', user_id * 2) AS freqs FROM events WHERE event_id % 7 > 0")
+def tone_history_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-13: tone history lines of which each seventh breaks off."""
+    line = "to_json(named_struct('timestamp', concat('t', event_id), 'tone', event_type, 'score', value, 'freqs', array(user_id, user_id * 2)))"
+    path = fresh(spark, "feeds")
+    spark.read.parquet(f"{d}/events.parquet").selectExpr(f"if(event_id % 7 = 0, substr({line}, 1, 20), {line})").write.text(path)
+    return feeds.tone_history(spark, path).select("timestamp", "tone", "score", F.array_join(F.transform("freqs", lambda f: f.cast("long").cast("string")), ",").alias("freqs"))
+
+
+_ROUND = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'E1' END AS units, CASE WHEN o_orderkey % 11 = 0 THEN 'Unknown' ELSE 'Medical Aid' END AS kind, o_orderkey % 7 > 0 AS located,
+ CASE o_orderkey % 5 WHEN 0 THEN '12' WHEN 1 THEN 'Grid 135' WHEN 2 THEN '' END AS grid, CASE o_orderkey % 6 WHEN 0 THEN 'Engine 1 Grade 7' WHEN 1 THEN 'engine 1 ladder 2 map grid 200' WHEN 2 THEN 'Engine 1, engine  1' WHEN 3 THEN 'grid 0' WHEN 4 THEN 'engine 1 engine 2' END AS said FROM {orders}"""
+
+
+@query(
+    f"WITH t AS ({_ROUND.format(orders='orders')}) SELECT id, located AND units <> '' AND kind <> 'Unknown' AND (coalesce(TRY_CAST(regexp_replace(grid, '[^0-9]', '', 'g') AS INT) BETWEEN 1 AND 134, false) OR coalesce(said IN ('Engine 1 Grade 7', 'Engine 1, engine  1'), false)) AS complete FROM t"
+)
+def complete_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """TXT-08: whether a round is complete, by its parsed grid, one in its text or a unit named twice."""
+    t = spark.sql(_ROUND, orders=spark.read.parquet(f"{d}/orders.parquet"))
+    kind = F.when(F.col("kind") == "Unknown", transcript.UNKNOWN).otherwise(F.col("kind"))
+    return t.select("id", transcript.round_complete(F.col("units"), kind, F.col("located"), F.col("grid"), F.col("said"), ("Engine", "Ladder")).alias("complete"))
+
+
+@query("SELECT 'first' AS run, event_type AS metric, round(avg(value), 6) AS score, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'second', event_type, round(avg(value), 6), count(*) FROM events WHERE user_id % 3 > 0 GROUP BY 2")
+def evaluation_history(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-06: the scores of two runs, the first one tried again with other rows before; a run has the rows of its last try."""
+    e, path = spark.read.parquet(f"{d}/events.parquet"), fresh(spark, "feeds")
+    for run, rows in (("first", e.where("user_id % 2 = 0")), ("second", e.where("user_id % 3 > 0")), ("first", e)):
+        append_evaluation(rows.groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("score"), F.count("*").alias("n")), path, run)
+    return spark.read.parquet(path).select("run", "metric", "score", "n")
