@@ -39,6 +39,19 @@ _AS_IS = (
     " (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,"
     " STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+
+
+def _gnu(what: str, name: str, version: str) -> str:
+    """The header of the GNU licences, which differ in these words."""
+    return (
+        f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of"
+        f" the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or"
+        f" FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {what}"
+    )
+
+
+_WRITE_TO = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -48,11 +61,21 @@ TEMPLATES = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and"
      " conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is"
      " granting the License. \"Legal Entity\" shall mean the union of the acting entity and all other entities that control, are controlled by, or are under common control with that entity."),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", _GRANT),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", _gnu("program", "General Public License", "2") + _WRITE_TO),
+    ("GPL-2.0", _gnu("program", "General Public License", "2") + _SEE),
+    ("LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1") + _WRITE_TO),
+    ("LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1") + _SEE),
+    ("LGPL-3.0", _gnu("program", "Lesser General Public License", "3") + _SEE),
+    ("LGPL-3.0", _gnu("library", "Lesser General Public License", "3") + _SEE),
+    ("AGPL-3.0", _gnu("program", "Affero General Public License", "3") + _SEE),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of"
      " the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or"
      " FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see"
@@ -69,6 +92,12 @@ TEMPLATES = (
      " NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "Licensed under CC0 1.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("proprietary", "All rights reserved"),
@@ -80,10 +109,24 @@ _SENTENCE = re.compile(r"(?<=[.!?;])\s+(?=\S)")
 _TERM = re.compile(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9])?")
 
 
+#: Words that tell licences of one family apart, fixed values.
+FAMILY = frozenset(("lesser", "affero"))
+
+
 def _terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def marks(terms: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """(the family's words, the versions named after "version" or "v") of a text."""
+    return FAMILY.intersection(terms), frozenset(b for a, b in zip(terms, terms[1:], strict=False) if a in ("version", "v") and b[0].isdigit())
+
+
+def agree(template: tuple[frozenset[str], frozenset[str]], part: tuple[frozenset[str], frozenset[str]]) -> bool:
+    """The same family, and the template's versions named; a template without a version fits parts without one only."""
+    return template[0] == part[0] and (template[1] <= part[1] if template[1] else not part[1])
+
+
 def _text_counts(vocab: frozenset[str]):
     """Per batch of texts: how many hold each term of the notices."""
 
@@ -109,12 +152,12 @@ def windows(terms: list[str], template: frozenset[str], size: int, shared: float
         yield at, at + n
 
 
-def _text_licenses(vectors: list[tuple[str, int, dict[str, float]]], idf: dict[str, float], other: float, cosine: float):
+def _text_licenses(vectors: list[tuple[str, int, dict[str, float], tuple]], idf: dict[str, float], other: float, cosine: float):
     """Per text: the best licence of its parts and windows, its score, and whether matching parts hold half of the words.
 
-    ``vectors``: licence, number of terms and unit vector of each template.
+    ``vectors``: licence, number of terms, unit vector and marks of each template.
     """
-    known = [(name, n, v, {t: x * x for t, x in v.items()}) for name, n, v in vectors]
+    known = [(name, n, v, {t: x * x for t, x in v.items()}, own) for name, n, v, own in vectors]
 
     def score(tf: Counter, v: dict[str, float]) -> float:
         norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in tf.items()))
@@ -138,16 +181,17 @@ def _text_licenses(vectors: list[tuple[str, int, dict[str, float]]], idf: dict[s
                 pieces = [_terms(x) for x in _SENTENCE.split(line.strip())]
                 for k, part in enumerate([own, *pieces] if len(pieces) > 1 else [own]):
                     distinct = set(part)
-                    got = max(((score(Counter(part), v), name) for name, _, v, _ in reachable(distinct, fits)), default=(0.0, "")) if len(distinct) > 1 else (0.0, "")
+                    named = marks(part)
+                    got = max(((score(Counter(part), v), name) for name, _, v, _, own_ in reachable(distinct, fits) if agree(own_, named)), default=(0.0, "")) if len(distinct) > 1 else (0.0, "")
                     if got[0] >= cosine:
                         best = max(best, got)
                         start = at if k == 0 else at + sum(map(len, pieces[: k - 1]))
                         covered[start : start + len(part)] = True
             at += len(own)
-        for name, size, v, _ in near:
+        for name, size, v, _, own_ in near:
             if size > LINE_TERMS:
                 for a, b in windows(terms, frozenset(v), size):
-                    got = score(Counter(terms[a:b]), v)
+                    got = score(Counter(terms[a:b]), v) if agree(own_, marks(terms[a:b])) else 0.0
                     if got >= cosine:
                         best = max(best, (got, name))
                         covered[a:b] = True
@@ -166,7 +210,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     """One row per file: path, own_license, score, is_license_file, license, inherited_from.
 
     Each line of the whole text, each sentence of a line and each window of a template's length is a TF-IDF vector; its
-    cosine to the templates gives the file's licence (best score, then name). Document frequencies of the templates'
+    cosine to the templates gives the file's licence (best score, then name), if both name the same version and family:
+    a notice of another version is no copy of the template, however alike. "GPL" is the GNU licence of no named version. Document frequencies of the templates'
     terms are counted over all files; terms outside the templates weigh as if one file had them. A file whose
     matching parts hold at least half of its words is a licence file: it
     also covers its directory and, by nearest ancestor, the directories below. Files without a licence of their
@@ -184,7 +229,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     for name, notice in templates:
         tf = Counter(_terms(notice))
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in tf.items()))
-        vectors.append((name, sum(tf.values()), {t: c * idf[t] / norm for t, c in tf.items()}))
+        vectors.append((name, sum(tf.values()), {t: c * idf[t] / norm for t, c in tf.items()}, marks(_terms(notice))))
     schema = src.select("path").schema.add("own_license", "string").add("score", "double").add("is_license_file", "boolean")
     rows = saved(src.mapInPandas(_text_licenses(vectors, idf, _idf(n, 1), cosine), schema).withColumn("score", F.nanvl("score", F.lit(None).cast("double"))))
     folder = F.regexp_replace("path", "/?[^/]*$", "")

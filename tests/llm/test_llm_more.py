@@ -299,3 +299,29 @@ def test_warc_headers_and_split_size(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[0] == seen[1] and len(seen[0]) == 40 and all(x[2] for x in seen[0])
     assert all(raw.encode()[o : o + 10] == b"WARC/1.1\r\n" for o, *_ in seen[0])
+
+
+def test_licences_of_one_family_are_told_apart(spark):
+    """Usual headers, wrapped as comments; none comes out as another version or family."""
+    gnu = "This {w} is free software{c} you can redistribute it and/or modify it under the terms of the {n} as published by the Free Software Foundation{d} either version {v} of the License, or (at your option) any later version. This {w} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {n} for more details. "
+    lib, out = "GNU Lesser General Public License", "You should have received a copy of the {n} along with this {w}. If not, see <http://www.gnu.org/licenses/>."
+    cases = {
+        "GPL-2.0": gnu.format(w="program", c=";", d=";", n="GNU General Public License", v="2") + out.format(w="program", n="GNU General Public License"),
+        "GPL-3.0": gnu.format(w="program", c=":", d=",", n="GNU General Public License", v="3") + out.format(w="program", n="GNU General Public License"),
+        "LGPL-2.1": gnu.format(w="library", c=";", d=";", n=lib, v="2.1") + "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+        "LGPL-3.0": gnu.format(w="program", c=":", d=",", n=lib, v="3") + out.format(w="program", n=lib),
+        "AGPL-3.0": gnu.format(w="program", c=":", d=",", n="GNU Affero General Public License", v="3") + out.format(w="program", n="GNU Affero General Public License"),
+        "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+        "CC-BY-4.0": "Licensed under CC BY 4.0",
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+    }
+    rows = [(f"{k}/a", "\n".join([words(40), *(" * " + " ".join(x) for x in (t.split()[i : i + 11] for i in range(0, len(t.split()), 11))), words(60)]) if len(t.split()) > 40 else words(20) + "\n" + t + "\n" + words(20)) for k, t in cases.items()]
+    rows += [(f"none{v}/a", f"{words(9)}\nLicensed under the Apache License, Version {v}.\n{words(9)}") for v in ("3.0", "1.0")]
+    rows += [(f"x/{i}", words(50)) for i in range(40)]
+    got = {r.path: r.own_license for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: got[f"{k}/a"] for k in cases} == {k: k for k in cases}
+    assert got["none3.0/a"] is None and got["none1.0/a"] is None
