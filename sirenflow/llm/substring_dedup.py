@@ -140,9 +140,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kind = docs.schema[id_col].dataType  # ids travel as text, so that any type of id and null ones come through
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.unhex(text_key(text)).alias("tk"), F.col(text).alias("text")).where("text != ''")
     # a unit that stands but once in all rows is settled here; repeated rows and chance equality of 64 bits are sorted out by rank below
-    often = _digests(src, min_words).groupBy("short").count().where("count > 1")
+    often = saved(_digests(src, min_words).groupBy("short").count().where("count > 1").select("short"))  # the filter asks it twice
     with batches_of(docs.sparkSession, BATCH_ROWS):
-        occ = saved(_unit_rows(src, min_words, KeyFilter(often.select("short"), "short")))
+        occ = saved(_unit_rows(src, min_words, KeyFilter(often, "short")))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(kind).alias("id"), "tk", "start")
     first = occ.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("unit", "first")
     gone = occ.join(first, "unit").where(rank != F.col("first")).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
