@@ -140,8 +140,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kind = docs.schema[id_col].dataType  # ids travel as text, so that any type of id and null ones come through
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.unhex(text_key(text)).alias("tk"), F.col(text).alias("text")).where("text != ''")
     # a unit that stands but once in all rows is settled here; repeated rows and chance equality of 64 bits are sorted out by rank below
-    often = saved(_digests(src, min_words).groupBy("short").count().where("count > 1").select("short"))  # the filter asks it twice
     with batches_of(docs.sparkSession, BATCH_ROWS):
+        often = saved(_digests(src, min_words).groupBy("short").count().where("count > 1").select("short"))  # the filter asks it twice
         occ = saved(_unit_rows(src, min_words, KeyFilter(often, "short")))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(kind).alias("id"), "tk", "start")
     first = occ.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first != last").select("unit", "first")
@@ -163,7 +163,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         own = [c for c in docs.columns if c not in ("removed", "removed_chars")]
         return part.select(*[new[c].alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in own], new["removed"].alias("removed"), new["removed_chars"].alias("removed_chars"))
 
-    return shaped(row.where(~F.col("__in")), none).union(shaped(hit, new))
+    # written here: read later, texts would reach Python in batches of the session's size
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        changed = saved(hit.select(F.struct("__row", "__new").alias("__both")))
+    changed = changed.select("__both.__row", "__both.__new")
+    return shaped(row.where(~F.col("__in")), none).union(shaped(changed, new))
 
 
 def _rewrite(texts, spans):

@@ -325,3 +325,21 @@ def test_licences_of_one_family_are_told_apart(spark):
     got = {r.path: r.own_license for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert {k: got[f"{k}/a"] for k in cases} == {k: k for k in cases}
     assert got["none3.0/a"] is None and got["none1.0/a"] is None
+
+
+def test_substring_dedup_sends_texts_in_small_batches(spark, monkeypatch):
+    """Whatever the session's batch size, no batch of texts to rewrite has more than BATCH_ROWS rows."""
+
+    def bounded(texts, spans):
+        from sirenflow.llm import substring_dedup
+
+        if len(texts) > 20:
+            raise ValueError(f"a batch of {len(texts)} texts")
+        return substring_dedup.__dict__["_rewrite"](texts, spans)
+
+    monkeypatch.setattr(substring_dedup, "BATCH_ROWS", 20)
+    monkeypatch.setattr(substring_dedup, "_rewrite", bounded)
+    line = words(30)
+    t = docs(spark, [(k, f"{line}\n{words(9)}", "a") for k in range(100)]).coalesce(1)
+    got = {x.doc_id: x.removed_chars for x in substring_dedup.substring_dedup(t).collect()}
+    assert got == {k: len(line) if k else 0 for k in range(100)}
