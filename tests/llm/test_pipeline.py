@@ -114,9 +114,10 @@ def test_a_crowd_of_alike_texts_makes_no_row_a_pair(spark, monkeypatch):
 
     def spy(df):
         out = write(df)
-        rows.append(out.count())
+        if df.columns == ["a", "b"]:  # pairs of texts
+            rows.append(out.count())
         return out
 
     monkeypatch.setattr(simhash, "saved", spy)
     assert simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() > 1
-    assert max(rows) <= 20 * len(texts)
+    assert max(rows) < len(texts)
