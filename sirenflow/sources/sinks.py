@@ -32,11 +32,11 @@ def write_listed(d: DataFrame, path: str, head: str, tail: str, per_file: int =
     A file is one task's work and holds ``per_file`` values of key; rows of one key share a file, and rows without a key share one.
     """
     part = F.coalesce(F.floor(F.col("key") / per_file), F.lit(-1)).alias("part")
-    last = F.lead("part").over(Window.partitionBy("part").orderBy("key", "value")).isNull()
-    rows = d.select(part, "key", "value").withColumn("last", last).select("part", F.lit(1).alias("at"), "key", "last", F.when(F.col("last"), F.col("value")).otherwise(F.concat("value", F.lit(","))).alias("value"))
-    ends = d.select(part).distinct().select("part", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("at"), F.lit(tail).alias("value")))).alias("e"))
-    lines = rows.unionByName(ends.select("part", "e.at", "e.value"), allowMissingColumns=True)
-    lines.repartition("part").sortWithinPartitions("part", "at", "key", "last").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
+    order = Window.partitionBy("part").orderBy("key", "value")
+    # head and tail go with the first and last row: as rows of their own, joined by a union, the planner may leave them in another task and so in another file
+    rows = d.select(part, "key", "value").withColumns({"first": F.lag("part").over(order).isNull(), "last": F.lead("part").over(order).isNull()})
+    line = F.concat(F.when(F.col("first"), head + "\n").otherwise(""), "value", F.when(F.col("last"), "\n" + tail).otherwise(","))
+    rows.sortWithinPartitions("part", "key", "last").select("part", line.alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_features(d: DataFrame, path: str, key: str, per_file: int = 50_000) -> None:

@@ -8,7 +8,7 @@ import pytest
 from sirenflow.sources.feeds import open511, zone_units
 from sirenflow.sources.json_parts import json_objects
 from sirenflow.sources.readers import features, roads
-from sirenflow.sources.sinks import write_features
+from sirenflow.sources.sinks import write_features, write_listed
 
 TEXTS = ['plain', 'a } b', '{[", "', 'quote " and \\ back', '\\"}', 'é☃ }{', '', 'x' * 300 + '}' * 40]
 
@@ -80,3 +80,14 @@ def test_many_tasks_read_one_file(spark, tmp_path):
     rows = features(spark, str(tmp_path / "f/*/*.txt"), split=True)
     assert sorted(int(r.props["ID"]) for r in rows.collect()) == list(range(3000))
     assert rows.where("props['TEXT'] != concat(repeat('} {\"', cast(props['ID'] % 5 as int)), props['ID'])").count() == 0
+
+
+def test_head_and_tail_share_the_file_of_their_rows(spark, tmp_path):
+    # rows large enough to be shuffled in several partitions
+    t = "concat_ws('', transform(sequence(1, 40), i -> sha2(concat(id, '-', i), 256)))"
+    d = spark.range(4000).selectExpr("id AS key", f"to_json(named_struct('ID', id, 'T', {t})) AS value")
+    write_listed(d, str(tmp_path / "f"), '{"features":[', "]}", 500)
+    files = list((tmp_path / "f").rglob("*.txt"))
+    assert len(files) == 8
+    assert sorted(o["ID"] for f in files for o in json.loads(f.read_text())["features"]) == list(range(4000))
+    assert json_objects(spark, str(tmp_path / "f/*/*.txt")).where("member = 'features'").count() == 4000
