@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
 DEGREE_M = EARTH_M * pi / 180
 EDGE = 1e-9
+SEGMENT = ("x1", "y1", "x2", "y2")
 MERCATOR_M = pi * 6_378_137.0  # half the width of the EPSG:3857 plane
 
 
@@ -19,6 +20,11 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """Halves away from zero at ``digits`` decimals of the double itself, as SQL engines round; Spark's own round takes the shortest decimal text that names it."""
+    return F.round(v * float(10**digits), 0) / float(10**digits)
+
+
 def cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
@@ -59,6 +65,19 @@ def edge_distance_m(x: Column, y: Column, edges: Column) -> Column:
     return F.array_min(F.transform(edges, dist))
 
 
+def with_nearest(met: DataFrame) -> DataFrame:
+    """``met`` (px, py, x1..y2) with t, the closest place on the segment, and dist_m, in plain columns of a local plane.
+
+    Coordinates are far larger than distances, so the order of the operations shows in the last decimals: it is that of the registered SQL.
+    """
+    k, dx, dy = F.cos(F.radians("py")), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    n = (dx * k) * (dx * k) + dy * dy
+    along = (F.col("px") - F.col("x1")) * k * dx * k + (F.col("py") - F.col("y1")) * dy
+    m = met.withColumn("t", F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / n))).otherwise(0.0))
+    east, north = (F.col("x1") + F.col("t") * dx - F.col("px")) * k * DEGREE_M, (F.col("y1") + F.col("t") * dy - F.col("py")) * DEGREE_M
+    return m.withColumn("dist_m", F.sqrt(east * east + north * north))
+
+
 def tile_of(lat: Column, lng: Column, zoom: Column) -> Column:
     """FN-02: struct(x, y) of the XYZ tile; integer parts are truncated."""
     n = F.pow(F.lit(2.0), zoom)
