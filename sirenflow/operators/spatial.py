@@ -46,11 +46,11 @@ def _zone_boxes(zones: DataFrame, rings: str, name: str, pad_m: float) -> DataFr
     return z.withColumn("cx", F.explode("xs")).drop("xs")
 
 
-def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str = "lng", out: str = "zone_id", strict: bool = False, per_cell: int | None = None) -> DataFrame:
+def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str = "lng", out: str = "zone_id", strict: bool = False, per_cell: int | None = None, sliver_m: float = SLIVER_M) -> DataFrame:
     """SPJ-01: the zone of each point; with ``strict`` SPJ-02, 03 and 06, where a boundary point has none.
 
     Boundary-inclusive; of several zones the lowest numeric name (other names last); else the nearest zone
-    within 5 m; else null. Each different place is looked up once and meets only the zones whose box touches its cell;
+    within 5 m (``sliver_m``, at most that); else null. Each different place is looked up once and meets only the zones whose box touches its cell;
     partial minima are taken per place. Points with a null coordinate get null; a column ``out`` is replaced.
     With ``per_cell`` a cell of more different places is split in four, up to ``SPLITS`` times, so that neither a crowded quarter
     nor many small zones in one cell are one task's work; it costs a count of the places.
@@ -68,7 +68,7 @@ def with_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lng: str =
     hit = geo.inside(x, y, F.col("edges")) & ~edge if strict else geo.inside(x, y, F.col("edges")) | edge
     away = F.when(hit, F.lit(-1.0)).otherwise(F.lit(None).cast("double") if strict else geo.edge_distance_m(x, y, F.col("edges")))
     number = F.col("map_name").try_cast("int")
-    ranked = met.withColumn("__d", away).where(F.col("__d") <= SLIVER_M)
+    ranked = met.withColumn("__d", away).where(F.col("__d") <= sliver_m)
     best = ranked.groupBy("__x", "__y").agg(F.min(F.struct("__d", number.isNull().alias("word"), number.alias("number"), F.col("map_name").alias("name"))).alias("__z"))
     own = [F.col(c) for c in points.columns if c != out]
     return points.join(best, (points[lng] == best["__x"]) & (points[lat] == best["__y"]), "left").select(*own, F.col("__z.name").alias(out))

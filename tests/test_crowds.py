@@ -60,3 +60,11 @@ def test_sections_count_every_segment_and_each_request_once(spark):
     r = spark.range(2).selectExpr("'r' AS request_id", "'Oak' AS street", "'Grid 7' AS map_grid")
     got = streets.street_sections(r, s, z).collect()
     assert [(g.request_id, g.pieces, g.length_m) for g in got] == [("r", 2, round(2 * geo.DEGREE_M))]
+
+
+def test_closure_zone_without_the_sliver_rule(spark):
+    box = lambda x0, x1: f"array(array(struct({x0}D AS x, 0.0D AS y), struct({x1}D AS x, 0.0D AS y), struct({x1}D AS x, 0.01D AS y), struct({x0}D AS x, 0.01D AS y)))"
+    z = spark.sql(f"SELECT '1' AS map_name, '1' AS hall_id, {box(-0.01, -0.001)} AS rings UNION ALL SELECT '2', '2', {box(0.00002, 0.01)}")
+    c = spark.sql("SELECT 'R' AS closure_id, array(struct(-0.005D AS x, 0.005D AS y), struct(0.005D AS x, 0.005D AS y)) AS points")
+    zone = lambda **kw: streets.closure_zones(c, z, **kw).first().zone_id
+    assert zone() == "2" and zone(sliver_m=0.0) == "1"
