@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sirenflow.functions.fuzzy import token_set_ratio
 from sirenflow.functions.text import lookup_address
 from sirenflow.operators.chains import points_at
+from sirenflow.operators.lineage import saved
 
 STEPS = ("exact", "intersection", "block", "cross", "nearest civic", "street centroid", "road centroid")
 ANSWER = ("request_id", "step", "lat", "lng", "confidence", "note")
@@ -26,17 +27,23 @@ def _point(kind: str):
 def exact_parcel(requests: DataFrame, parcels: DataFrame) -> DataFrame:
     """JN-01: same house number and the best street; equal names first, then token-set score of 80 or more, then lowest parcel id.
 
-    Requests: request_id, house, street. Parcels: parcel_id, house, street, lat, lng, front_*, entrance_*. Only
+    Requests: request_id, house, street. Parcels: parcel_id, house, street, lat, lng, front_*, entrance_*. Of parcels with
+    one house number and street the lowest id alone can win, and each different address asked for is looked up once. Only
     distinct (request street, parcel street) pairs that share a house number and are not equal are scored.
     """
-    p = parcels.select("parcel_id", "house", F.upper("street").alias("p_street"), _point("lat").alias("lat"), _point("lng").alias("lng"))
-    r = requests.select("request_id", "house", F.upper("street").alias("r_street"))
-    same = r.join(p, (r.house == p.house) & (r.r_street == p.p_street)).select("request_id", "parcel_id", "lat", "lng", F.lit(100).alias("score"))
-    rest = r.join(same.select("request_id").distinct(), "request_id", "left_anti")
+    p = parcels.select("house", F.upper("street").alias("p_street"), F.struct("parcel_id", _point("lat").alias("lat"), _point("lng").alias("lng")).alias("p"))
+    p = saved(p.where("house is not null and p_street is not null").groupBy("house", "p_street").agg(F.min("p").alias("p")).select("house", "p_street", "p.*"))
+    every = requests.select("request_id", "house", F.upper("street").alias("r_street"))
+    r = saved(every.select("house", "r_street").where("house is not null and r_street is not null").distinct())
+    asked = ["house", "r_street"]
+    same = r.join(p.withColumnRenamed("p_street", "r_street"), asked).select(*asked, "parcel_id", "lat", "lng", F.lit(100).alias("score"))
+    rest = r.join(same.select(*asked), asked, "left_anti")
     pairs = rest.join(p.select("house", "p_street").distinct(), "house").select("r_street", "p_street").distinct()
     scored = pairs.withColumn("score", token_set_ratio("r_street", "p_street")).where(F.col("score") >= FUZZY_MIN)
-    fuzzy = rest.join(scored, "r_street").join(p, ["house", "p_street"]).select("request_id", "parcel_id", "lat", "lng", "score")
-    best = same.unionByName(fuzzy).groupBy("request_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "parcel_id", "lat", "lng")).alias("b"))
+    fuzzy = rest.join(scored, "r_street").join(p, ["house", "p_street"]).select(*asked, "parcel_id", "lat", "lng", "score")
+    best = same.unionByName(fuzzy).groupBy(*asked).agg(F.min(F.struct((-F.col("score")).alias("s"), "parcel_id", "lat", "lng")).alias("b"))
+    best = every.join(best, asked)  # requests with one id: the best of theirs
+    best = best.groupBy("request_id").agg(F.min("b").alias("b"))
     return _answer(best.select("request_id", F.col("b.lat").alias("lat"), F.col("b.lng").alias("lng"), (-F.col("b.s")).alias("score")), "exact", F.col("score"))
 
 

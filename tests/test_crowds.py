@@ -35,6 +35,11 @@ def _requests(spark):
     return spark.range(N).selectExpr("id AS request_id", "'7' AS house", "'OAK' AS street", "'ST' AS street_type")
 
 
+def test_exact_parcel(spark):
+    got, most = _most_rows(geocode.exact_parcel(_requests(spark), _parcels(spark)))
+    assert {(r.request_id, r.lat, r.confidence) for r in got} == {(i, 0.0, 100) for i in range(N)} and most <= 2 * N
+
+
 def test_parcel_hydrants(spark):
     none = F.lit(None).cast("array<struct<x:double,y:double>>")
     t = spark.range(N).select(F.col("id").alias("dispatch_id"), F.lit(0.001).alias("lat"), F.lit(0.0).alias("lng"), none.alias("ring"), none.alias("route"))
