@@ -52,9 +52,11 @@ def block_range(requests: DataFrame, roads: DataFrame) -> DataFrame:
 
     Roads: road_id, fullname, roadname, left_begin, left_end, right_begin, right_end, and lines (array of parts, each an
     array of lng, lat) or the ends of a straight road as x1, y1, x2, y2. The left side is preferred, then the lowest
-    road id. Equal ends put the point in the middle.
+    road id. Equal ends put the point in the middle. Each different number and name asked for is looked up once.
     """
-    r = requests.select("request_id", F.expr("try_cast(house as int)").alias("n"), F.upper("street").alias("name"), F.upper(F.concat_ws(" ", "street", "street_type")).alias("full"))
+    every = requests.select("request_id", F.expr("try_cast(house as int)").alias("n"), F.upper("street").alias("name"), F.upper(F.concat_ws(" ", "street", "street_type")).alias("full"))
+    asked = ["n", "name", "full"]
+    r = saved(every.where("n is not null").select(*asked).distinct().withColumn("__k", F.monotonically_increasing_id()))
     by_full = r.join(roads.withColumn("full", F.upper("fullname")), "full").drop("name", "full")
     by_name = r.join(roads.withColumn("name", F.upper("roadname")), "name").drop("name", "full")
     both, hits = by_full.unionByName(by_name), None
@@ -62,9 +64,11 @@ def block_range(requests: DataFrame, roads: DataFrame) -> DataFrame:
     for rank, side in enumerate(("left", "right")):
         a, b = F.col(f"{side}_begin"), F.col(f"{side}_end")
         f = F.when(a == b, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("n") - a) / (b - a))))
-        one = both.where(F.col("n").between(F.least(a, b), F.greatest(a, b))).select("request_id", F.struct(F.lit(rank).alias("side"), "road_id", f.alias("f"), shape.alias("shape")).alias("b"))
+        one = both.where(F.col("n").between(F.least(a, b), F.greatest(a, b))).select("__k", F.struct(F.lit(rank).alias("side"), "road_id", f.alias("f"), shape.alias("shape")).alias("b"))
         hits = one if hits is None else hits.unionByName(one)
-    best = hits.groupBy("request_id").agg(F.min_by("b", F.struct("b.side", "b.road_id")).alias("b"))
+    best = hits.groupBy("__k").agg(F.min_by("b", F.struct("b.side", "b.road_id")).alias("b"))
+    same = (F.col("e.n") == F.col("k.n")) & F.col("e.name").eqNullSafe(F.col("k.name")) & F.col("e.full").eqNullSafe(F.col("k.full"))
+    best = every.alias("e").join(best.join(r, "__k").alias("k"), same).groupBy("e.request_id").agg(F.min_by("k.b", F.struct("k.b.side", "k.b.road_id")).alias("b"))
     if "lines" in roads.columns:
         at = points_at(best.select("request_id", "b.road_id", "b.f"), roads)
     else:

@@ -40,6 +40,12 @@ def test_exact_parcel(spark):
     assert {(r.request_id, r.lat, r.confidence) for r in got} == {(i, 0.0, 100) for i in range(N)} and most <= 2 * N
 
 
+def test_block_range(spark):
+    roads = spark.range(N).selectExpr("id AS road_id", "'OAK ST' AS fullname", "'Oak' AS roadname", "1 AS left_begin", "13 AS left_end", "2 AS right_begin", "14 AS right_end", *STRAIGHT)
+    got, most = _most_rows(geocode.block_range(_requests(spark), roads))
+    assert {(r.request_id, round(r.lng, 9)) for r in got} == {(i, 0.005) for i in range(N)} and most <= 4 * N
+
+
 def test_parcel_hydrants(spark):
     none = F.lit(None).cast("array<struct<x:double,y:double>>")
     t = spark.range(N).select(F.col("id").alias("dispatch_id"), F.lit(0.001).alias("lat"), F.lit(0.0).alias("lng"), none.alias("ring"), none.alias("route"))
