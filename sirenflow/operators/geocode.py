@@ -163,15 +163,17 @@ def parcel_lookup(queries: DataFrame, parcels: DataFrame) -> DataFrame:
     contains the cleaned query; lowest id.
 
     Only queries without an equal parcel go to the last step; there a query meets the addresses that hold its
-    rarest three-letter piece, its rarest by the number of addresses.
+    rarest three-letter piece, its rarest by the number of addresses. Parcels of one address count as their lowest id.
     """
-    p = parcels.select("parcel_id", "gis_id", F.upper("address").alias("raw"), lookup_address(F.col("address")).alias("clean"), F.lower("address").alias("normal"))
+    lots = parcels.groupBy("address").agg(F.min("parcel_id").alias("parcel_id"))
+    p = saved(lots.select("parcel_id", F.upper("address").alias("raw"), lookup_address(F.col("address")).alias("clean"), F.lower("address").alias("normal")))
     q = queries.select("query").distinct().select("query", F.upper("query").alias("raw"), lookup_address(F.col("query")).alias("clean"), F.lower("query").alias("normal"), F.col("query").alias("gis_id"))
+    q = saved(q)
     hits = None
     for rank, col in enumerate(("clean", "raw", "normal", "gis_id")):
-        one = q.select("query", col).where(F.col(col) != "").join(p.select("parcel_id", col), col).select("query", F.lit(rank).alias("rank"), F.lit(col).alias("match"), "parcel_id")
+        one = q.select("query", col).where(F.col(col) != "").join((parcels if col == "gis_id" else p).groupBy(col).agg(F.min("parcel_id").alias("parcel_id")), col).select("query", F.lit(rank).alias("rank"), F.lit(col).alias("match"), "parcel_id")
         hits = one if hits is None else hits.unionByName(one)
-    best = hits.groupBy("query").agg(F.min(F.struct("rank", "parcel_id", "match")).alias("b"))
+    best = saved(hits.groupBy("query").agg(F.min(F.struct("rank", "parcel_id", "match")).alias("b")))
     pieces_of = lambda c, sizes: F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, k)))))
     held = p.where("raw is not null").select("parcel_id", "raw", F.explode(pieces_of("raw", F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("g"))
     rest = q.join(best, "query", "left_anti").where("clean != ''").select("query", F.upper("clean").alias("part"))

@@ -46,6 +46,12 @@ def test_block_range(spark):
     assert {(r.request_id, round(r.lng, 9)) for r in got} == {(i, 0.005) for i in range(N)} and most <= 4 * N
 
 
+def test_parcel_lookup(spark):
+    q = spark.range(N).selectExpr("CASE WHEN id % 2 = 0 THEN '7 oak st' ELSE 'AK ST' END AS query")
+    got, most = _most_rows(geocode.parcel_lookup(q, spark.range(N).selectExpr("id AS parcel_id", "concat('G', id) AS gis_id", "'7 OAK ST' AS address")))
+    assert sorted((g.query, g.parcel_id, g.match) for g in got) == sorted([("7 oak st", 0, "clean"), ("AK ST", 0, "contains")] * (N // 2)) and most <= 3 * N
+
+
 def test_parcel_hydrants(spark):
     none = F.lit(None).cast("array<struct<x:double,y:double>>")
     t = spark.range(N).select(F.col("id").alias("dispatch_id"), F.lit(0.001).alias("lat"), F.lit(0.0).alias("lng"), none.alias("ring"), none.alias("route"))
