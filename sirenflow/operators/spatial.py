@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenflow.functions import geo
@@ -10,6 +10,7 @@ from sirenflow.operators import density
 from sirenflow.operators.lineage import saved
 
 ZONE_CELL = 0.01
+PAIR_CELL = 0.01  # at least, for pairs of segments
 SPLITS = 6  # down to cells of some 15 m
 NEAR_CELL = 0.013  # above 800 m in both directions at the latitudes served (below 55 degrees)
 NEAR_LAT, NEAR_LNG = 0.0075, 0.013  # the same with cells no higher than need be
@@ -155,22 +156,29 @@ def in_grid(points: DataFrame, zones: DataFrame, grid: str = "map_grid", lat: st
     return p.join(z, "__g", "left").withColumn(out, F.coalesce(geo.inside(x, y, e) & ~geo.on_edge(x, y, e), F.lit(False))).drop("__g", "__edges")
 
 
-def _boxes(segments: DataFrame, size: float, pad: float) -> DataFrame:
+def _pair_cell(s: DataFrame) -> float:
+    """A cell's width for pairs of segments: half of their mean extent, where long ones meet in few cells and cells stay small."""
+    wide = s.agg(*[F.avg(F.abs(F.col(f"{k}2") - F.col(f"{k}1"))) for k in "xy"]).first()
+    return max(PAIR_CELL, sum(w or 0.0 for w in wide) / 4)
+
+
+def _boxes(s: DataFrame, size: float, pad: float) -> DataFrame:
     """Segments with their padded box, once in each cell of the box."""
-    s = segments.select("canon", "x1", "y1", "x2", "y2").dropna()
     s = s.withColumns({f"{k}lo": F.least(f"{k}1", f"{k}2") - pad for k in "xy"} | {f"{k}hi": F.greatest(f"{k}1", f"{k}2") + pad for k in "xy"})
     for k in "xy":
         s = s.withColumn(f"c{k}", F.explode(F.sequence(geo.cell(F.col(f"{k}lo"), size), geo.cell(F.col(f"{k}hi"), size))))
     return s
 
 
-def segment_pairs(segments: DataFrame, size: float = 0.01, pad: float = 0.0) -> DataFrame:
+def segment_pairs(segments: DataFrame, size: float | None = None, pad: float = 0.0) -> DataFrame:
     """Pairs of segments of two different streets whose boxes, each padded, meet: canon_a, canon_b, ax1 .. by2, each pair once.
 
     A pair meets in every cell that both boxes touch; it is kept in the one that holds the lower left corner of what the
-    boxes share, so no pair is told apart by a shuffle.
+    boxes share, so no pair is told apart by a shuffle. Repeats of a segment add no pair.
     """
-    s = _boxes(segments, size, pad)
+    s = saved(segments.select("canon", "x1", "y1", "x2", "y2").dropna().distinct())
+    size = size or _pair_cell(s)
+    s = _boxes(s, size, pad)
     a, b = s.alias("a"), s.alias("b")
     col = lambda t, c: F.col(f"{t}.{c}")
     at = lambda k: geo.cell(F.greatest(col("a", f"{k}lo"), col("b", f"{k}lo")), size) == col("a", f"c{k}")
@@ -181,39 +189,48 @@ def segment_pairs(segments: DataFrame, size: float = 0.01, pad: float = 0.0) ->
     return m.select(col("a", "canon").alias("canon_a"), col("b", "canon").alias("canon_b"), *[col(t, f"{k}{n}").alias(f"{t}{k}{n}") for t in "ab" for k in "xy" for n in "12"])
 
 
-def _crossings(pairs: DataFrame) -> DataFrame:
+def _at(x: Column, y: Column) -> Column:
+    return F.struct(geo.rounded(x, 6).alias("x"), geo.rounded(y, 6).alias("y"))
+
+
+def _crossing() -> Column:
+    """Where a pair's segments cross; null if they do not."""
     ax, ay, bx, by = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"), F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
     det, ox, oy = ax * by - ay * bx, F.col("bx1") - F.col("ax1"), F.col("by1") - F.col("ay1")
-    m = pairs.where(F.abs(det) > 1e-18).select("canon_a", "canon_b", F.col("ax1").alias("x0"), F.col("ay1").alias("y0"), ax.alias("ax"), ay.alias("ay"), F.try_divide(ox * by - oy * bx, det).alias("t"), F.try_divide(ox * ay - oy * ax, det).alias("u"))
-    hit = m.where(F.col("t").between(-1e-9, 1 + 1e-9) & F.col("u").between(-1e-9, 1 + 1e-9))
-    return hit.select("canon_a", "canon_b", F.round(F.col("x0") + F.col("t") * F.col("ax"), 6).alias("x"), F.round(F.col("y0") + F.col("t") * F.col("ay"), 6).alias("y")).distinct()
+    t, u = F.try_divide(ox * by - oy * bx, det), F.try_divide(ox * ay - oy * ax, det)
+    return F.when((F.abs(det) > 1e-18) & t.between(-1e-9, 1 + 1e-9) & u.between(-1e-9, 1 + 1e-9), _at(F.col("ax1") + t * ax, F.col("ay1") + t * ay))
 
 
-def line_crossings(segments: DataFrame, size: float = 0.01) -> DataFrame:
+def _points(pairs: DataFrame, at: Column) -> DataFrame:
+    return pairs.select("canon_a", "canon_b", at.alias("p")).where("p is not null").select("canon_a", "canon_b", "p.x", "p.y").distinct()
+
+
+def line_crossings(segments: DataFrame, size: float | None = None) -> DataFrame:
     """SPJ-09: (canon_a, canon_b, x, y): points where segments of two different streets cross, each once.
 
     ``segments``: canon, x1, y1, x2, y2. Parallel segments give none here; see ``street_nodes``.
     """
-    return _crossings(segment_pairs(segments, size, 1e-9))
+    return _points(segment_pairs(segments, size, 1e-9), _crossing())
 
 
-def _stretches(pairs: DataFrame) -> DataFrame:
+def _stretch() -> Column:
+    """The middle of what a pair's collinear segments share; null if they share nothing."""
     ax, ay = F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1")
     n = ax * ax + ay * ay
     on = lambda i: F.try_divide((F.col(f"bx{i}") - F.col("ax1")) * ax + (F.col(f"by{i}") - F.col("ay1")) * ay, n)
     off = lambda i: F.abs((F.col(f"bx{i}") - F.col("ax1")) * ay - (F.col(f"by{i}") - F.col("ay1")) * ax) <= geo.EDGE * F.sqrt(n)
-    m = pairs.where((n > 0) & off(1) & off(2))
-    m = m.withColumns({"lo": F.greatest(F.lit(0.0), F.least(on(1), on(2))), "hi": F.least(F.lit(1.0), F.greatest(on(1), on(2)))}).where(F.col("hi") - F.col("lo") >= -1e-9)
-    t = (F.col("lo") + F.col("hi")) / 2
-    return m.select("canon_a", "canon_b", F.round(F.col("ax1") + t * ax, 6).alias("x"), F.round(F.col("ay1") + t * ay, 6).alias("y")).distinct()
+    lo, hi = F.greatest(F.lit(0.0), F.least(on(1), on(2))), F.least(F.lit(1.0), F.greatest(on(1), on(2)))
+    t = (lo + hi) / 2
+    return F.when((n > 0) & off(1) & off(2) & (hi - lo >= -1e-9), _at(F.col("ax1") + t * ax, F.col("ay1") + t * ay))
 
 
-def shared_stretches(segments: DataFrame, size: float = 0.01) -> DataFrame:
+def shared_stretches(segments: DataFrame, size: float | None = None) -> DataFrame:
     """SPJ-09: (canon_a, canon_b, x, y): the middle of each stretch that collinear segments of two streets share (a common end is one too)."""
-    return _stretches(segment_pairs(segments, size, 1e-8))
+    return _points(segment_pairs(segments, size, 1e-8), _stretch())
 
 
-def _snaps(pairs: DataFrame, met: DataFrame, snap_m: float) -> DataFrame:
+def _snap() -> Column:
+    """(m, x, y): metres and middle of the shortest link from an end of one of a pair's segments to the other one."""
     ends = []
     for p, q in (("a", "b"), ("b", "a")):
         k = F.cos(F.radians(F.col(f"{p}y1")))
@@ -224,28 +241,36 @@ def _snaps(pairs: DataFrame, met: DataFrame, snap_m: float) -> DataFrame:
             t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - F.col(f"{q}x1")) * k * dx + (py - F.col(f"{q}y1")) * dy, n), F.lit(0.0))))
             fx, fy = F.col(f"{q}x1") + t * (F.col(f"{q}x2") - F.col(f"{q}x1")), F.col(f"{q}y1") + t * (F.col(f"{q}y2") - F.col(f"{q}y1"))
             ends.append(F.struct((F.sqrt(F.pow((px - fx) * k, 2) + F.pow(py - fy, 2)) * geo.DEGREE_M).alias("m"), ((px + fx) / 2).alias("x"), ((py + fy) / 2).alias("y")))
-    apart = pairs.join(met.select("canon_a", "canon_b").distinct(), ["canon_a", "canon_b"], "left_anti")
-    m = apart.select("canon_a", "canon_b", F.array_min(F.array(*ends)).alias("e")).where(F.col("e.m") <= snap_m)
-    best = m.groupBy("canon_a", "canon_b").agg(F.min("e").alias("e"))
-    return best.select("canon_a", "canon_b", F.round("e.x", 6).alias("x"), F.round("e.y", 6).alias("y"))
+    return F.least(*ends)
+
+
+def _snaps(links: DataFrame, met: DataFrame, snap_m: float) -> DataFrame:
+    apart = links.where(F.col("e.m") <= snap_m).join(met.select("canon_a", "canon_b").distinct(), ["canon_a", "canon_b"], "left_anti")
+    best = apart.groupBy("canon_a", "canon_b").agg(F.min("e").alias("e"))
+    return best.select("canon_a", "canon_b", geo.rounded(F.col("e.x"), 6).alias("x"), geo.rounded(F.col("e.y"), 6).alias("y"))
 
 
-def endpoint_snaps(segments: DataFrame, met: DataFrame, size: float = 0.01, snap_m: float = SNAP_M) -> DataFrame:
+def endpoint_snaps(segments: DataFrame, met: DataFrame, size: float | None = None, snap_m: float = SNAP_M) -> DataFrame:
     """SPJ-09: (canon_a, canon_b, x, y): for streets that come within ``snap_m`` of each other and do not meet (``met``: canon_a, canon_b), the middle of their shortest link.
 
     Segments that do not cross are closest at an end of one of them.
     """
-    return _snaps(segment_pairs(segments, size, snap_m / geo.DEGREE_M * 2), met, snap_m)
+    pairs = segment_pairs(segments, size, snap_m / geo.DEGREE_M * 2)
+    return _snaps(pairs.select("canon_a", "canon_b", _snap().alias("e")), met, snap_m)
 
 
-def street_nodes(segments: DataFrame, size: float = 0.01) -> DataFrame:
+def street_nodes(segments: DataFrame, size: float | None = None) -> DataFrame:
     """SPJ-09 with SET-04: crossings, middles of shared stretches and endpoint snaps of all pairs of streets, each point once.
 
-    The pairs of segments that come near are built once and written; all three kinds of points are taken from them.
+    The pairs of segments whose boxes meet are gone through once; only what they have of the three kinds of points is written.
     """
-    pairs = saved(segment_pairs(segments, size, SNAP_M / geo.DEGREE_M * 2))
-    meets = saved(_crossings(pairs).unionByName(_stretches(pairs)).distinct())
-    return meets.unionByName(_snaps(pairs, meets, SNAP_M))
+    pairs = segment_pairs(segments, size, SNAP_M / geo.DEGREE_M * 2)
+    found = F.struct(F.array_compact(F.array(_crossing(), _stretch())).alias("p"), _snap().alias("e"))
+    # behind a generator, so that the filter does not compute the points once more
+    got = pairs.select("canon_a", "canon_b", F.explode(F.array(found)).alias("f")).select("canon_a", "canon_b", "f.p", F.when(F.col("f.e.m") <= SNAP_M, F.col("f.e")).alias("e"))
+    got = saved(got.where("size(p) > 0 or e is not null"))
+    meets = saved(got.select("canon_a", "canon_b", F.explode("p").alias("p")).select("canon_a", "canon_b", "p.x", "p.y").distinct())
+    return meets.unionByName(_snaps(got, meets, SNAP_M))
 
 
 def number_candidates(nodes: DataFrame) -> DataFrame:

@@ -65,6 +65,12 @@ def test_parcel_hydrants(spark):
     assert {(g.dispatch_id, g.object_id, g.dist_m, g.rank) for g in got} == {(k, j, 111, j + 1) for k in range(N) for j in range(3)} and most <= 3 * N
 
 
+def test_repeated_segments_make_no_pairs(spark):
+    s = spark.range(N).selectExpr("'A' AS canon", *STRAIGHT).unionByName(spark.range(N).selectExpr("'B' AS canon", "0.005D AS x1", "-0.01D AS y1", "0.005D AS x2", "0.01D AS y2"))
+    assert spatial.segment_pairs(s).count() == 1
+    assert [(r.x, r.y) for r in spatial.line_crossings(s).collect()] == [(0.005, 0.0)] == [(r.x, r.y) for r in spatial.street_nodes(s).collect()]
+
+
 def test_repeated_segments_and_places_of_nearest_road(spark):
     s = spark.range(N).selectExpr("id + 5 AS road_id", "'OAK ST' AS fullname", *STRAIGHT)
     assert [r.road_id for r in streets._first_of_each(s).collect()] == [5]
