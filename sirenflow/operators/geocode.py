@@ -134,11 +134,13 @@ def intersection_lookup(requests: DataFrame, intersections: DataFrame) -> DataFr
     match_score (100 for an exact key) and a note.
     """
     score = F.col("match_score") if "match_score" in requests.columns else F.lit(None)
-    m = requests.withColumn("score", score.cast("int")).join(intersections, "key")
+    # a request meets the zones of its candidates, not each candidate
+    zones = intersections.groupBy("key", "zone_id").agg(F.count("*").alias("n"), F.min(F.struct("candidate_index", "lat", "lng")).alias("first"))
+    m = requests.withColumn("score", score.cast("int")).join(zones, "key")
     w = Window.partitionBy("request_id")
     m = m.withColumn("fits", F.coalesce(F.col("zone_id") == F.col("map_grid"), F.lit(False)))
     m = m.withColumn("any_fits", F.max("fits").over(w)).where("fits or not any_fits")
-    best = m.groupBy("request_id").agg(F.count("*").alias("candidates"), F.max(F.col("map_grid").isNotNull() & ~F.col("any_fits")).alias("grid_conflict"), F.max("score").alias("score"), F.min(F.struct("candidate_index", "lat", "lng")).alias("b"))
+    best = m.groupBy("request_id").agg(F.sum("n").alias("candidates"), F.max(F.col("map_grid").isNotNull() & ~F.col("any_fits")).alias("grid_conflict"), F.max("score").alias("score"), F.min("first").alias("b"))
     exact = F.col("score").isNull()
     note = F.when(~exact, "suggested street names").when(F.col("grid_conflict"), "no junction of these streets in the map grid").when(F.col("candidates") > 1, F.concat(F.col("candidates").cast("string"), F.lit(" junctions of these streets")))
     return best.select("request_id", "candidates", "grid_conflict", (exact & (F.col("candidates") == 1) & ~F.col("grid_conflict")).alias("resolved"), F.col("b.lat").alias("lat"), F.col("b.lng").alias("lng"), F.coalesce("score", F.lit(100)).alias("match_score"), note.alias("note"))

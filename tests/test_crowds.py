@@ -46,6 +46,13 @@ def test_block_range(spark):
     assert {(r.request_id, round(r.lng, 9)) for r in got} == {(i, 0.005) for i in range(N)} and most <= 4 * N
 
 
+def test_intersection_lookup(spark):
+    r = spark.range(N).selectExpr("id AS request_id", "'A & B' AS key", "CASE WHEN id < 10 THEN '3' WHEN id < 20 THEN '9' END AS map_grid")
+    i = spark.range(N).selectExpr("'A & B' AS key", "cast(id as int) AS candidate_index", "1.0D * id AS lat", "2.0D AS lng", "cast(id % 4 as string) AS zone_id")
+    got, most = _most_rows(geocode.intersection_lookup(r, i))
+    assert {(g.request_id, g.candidates, g.grid_conflict, g.lat) for g in got} == {(k, 10 if k < 10 else N, 10 <= k < 20, 3.0 if k < 10 else 0.0) for k in range(N)} and most <= 4 * N
+
+
 def test_narrow_by_roads(spark):
     c = spark.range(N).selectExpr("id AS request_id", "0 AS candidate_index", "0.001D AS lat", "0.005D AS lng")
     got, most = _most_rows(jl.narrow_by_roads(c, c.selectExpr("request_id", "'OAK' AS cross"), spark.range(N).selectExpr("'OAK' AS canon", *STRAIGHT)))
